@@ -461,7 +461,7 @@ def _mentioned(sql: str) -> list[str]:
 
 def _assemble(body: str, doubles: str) -> str:
     ctes = [f"{name} AS ({CTES[name].strip()})" for name in _mentioned(body)]
-    rounds = ", ".join(f'round("{c}" * 1048576.0E0) / 1048576.0E0 + 0.0E0 AS "{c}"' for c in doubles.split())
+    rounds = ", ".join(f'floor("{c}" * 1048576.0E0 + 0.5E0) / 1048576.0E0 AS "{c}"' for c in doubles.split())
     replaced = f"* REPLACE ({rounds})" if rounds else "*"
     return f"WITH {', '.join(ctes)}, answer AS ({body.strip()}) SELECT {replaced} FROM answer"
 

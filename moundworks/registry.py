@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def rounded(df: DataFrame) -> DataFrame:
     return df.select([
-        (F.rint(F.col(f"`{c}`") * GRID) / GRID + 0.0).alias(c) if t == "double" else F.col(f"`{c}`")
+        (F.floor(F.col(f"`{c}`") * GRID + 0.5) / GRID).alias(c) if t == "double" else F.col(f"`{c}`")
         for c, t in df.dtypes])
 
 
