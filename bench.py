@@ -11,8 +11,8 @@ import os
 import sys
 import time
 
-from check import session
 from moundworks.registry import Models, queries
+from moundworks.session import local_session
 
 HEADLINE = [
     "season_era_fip_plus", "player_map_dedup", "whiff_plus", "contact_plus", "strike_plus",
@@ -31,7 +31,7 @@ def timed(run) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = session(int(os.environ.get("BENCH_CPUS", "8")))
+    spark = local_session(int(os.environ.get("BENCH_CPUS", "8")))
     spark.range(1000).selectExpr("sum(id)").collect()
 
     def ingest() -> None:

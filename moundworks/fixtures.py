@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from moundworks import schema as S
-from moundworks.functions.text import nan_to_null
 from moundworks.operators.ordinal import HOT_ROWS, ordinal
 from moundworks.plans import raw
 from moundworks.sources.readers import register
@@ -128,7 +127,7 @@ def raw_pitches(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> D
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
     numbered = ordinal(lines, "ln", ["l_orderkey"], LINE_ORDER, hot_rows)
     pitches = spark.sql(RAW_PITCHES, numbered=numbered)
-    return nan_to_null(S.require_columns(pitches, S.RAW_PITCHES.fieldNames(), "pitch events"))
+    return S.require_columns(pitches, S.RAW_PITCHES.fieldNames(), "pitch events")
 
 
 def player_register(spark: SparkSession, sf_dir: str) -> DataFrame:

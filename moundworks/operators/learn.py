@@ -31,20 +31,30 @@ def standardize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFr
 
 # --- principal components -------------------------------------------------------------------
 
-def principal_axes(df: DataFrame, columns: list[str], k: int) -> np.ndarray | None:
-    """First ``k`` eigenvectors of the correlation matrix, one column each.
+@dataclass
+class Components:
+    """Means, population deviations and first principal axes (one column each) of ``columns``."""
+    columns: list[str]
+    means: list[float]
+    deviations: list[float]
+    axes: np.ndarray
+
+
+def principal_components(df: DataFrame, columns: list[str], k: int) -> Components | None:
+    """Components of the standardised columns, from one aggregation over the table.
 
-    One aggregation over the table gives the matrix; its size depends on ``columns`` only.
+    What reaches the driver depends on the number of columns only.
     """
-    pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(*[F.corr(columns[i], columns[j]) for i, j in pairs]).first()
-    if row is None or any(v is None for v in row):
+    p, pairs = len(columns), list(combinations(range(len(columns)), 2))
+    row = df.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns],
+                 *[F.corr(columns[i], columns[j]) for i, j in pairs]).first()
+    if row is None or row[0] is None:
         return None
-    matrix = np.eye(len(columns))
-    for (i, j), value in zip(pairs, row):
-        matrix[i, j] = matrix[j, i] = value
+    matrix = np.diag([1.0 if sd else 0.0 for sd in row[p:2 * p]])
+    for (i, j), value in zip(pairs, row[2 * p:]):
+        matrix[i, j] = matrix[j, i] = value if value is not None and np.isfinite(value) else 0.0
     _, vectors = np.linalg.eigh(matrix)
-    return vectors[:, ::-1][:, :k]
+    return Components(columns, list(row[:p]), list(row[p:2 * p]), vectors[:, ::-1][:, :k])
 
 
 def linear(columns: list[str], weights, intercept: float = 0.0) -> Column:
@@ -55,13 +65,17 @@ def linear(columns: list[str], weights, intercept: float = 0.0) -> Column:
 
 def pca_norm(df: DataFrame, columns: list[str], out: str, k: int = 3) -> DataFrame:
     """Length of each row's score vector on the first ``k`` principal components."""
-    axes = principal_axes(df, columns, k)
-    if axes is None:
+    found = principal_components(df, columns, k)
+    if found is None:
         return df.withColumn(out, F.lit(None).cast("double"))
     scaled = [f"{c}_pca" for c in columns]
-    scores = [linear(scaled, axes[:, i]) for i in range(k)]
-    norm = F.sqrt(reduce(lambda a, b: a + b, (s * s for s in scores)))
-    return standardize(df, columns, "_pca").withColumn(out, norm).drop(*scaled)
+    centred = {z: (F.col(c) - F.lit(m)) / F.lit(sd or 1.0)
+               for z, c, m, sd in zip(scaled, columns, found.means, found.deviations)}
+    scores = [f"{out}_score{i}" for i in range(k)]
+    return (df.withColumns(centred)
+            .withColumns({s: linear(scaled, found.axes[:, i]) for i, s in enumerate(scores)})
+            .withColumn(out, F.sqrt(reduce(lambda a, b: a + b, (F.col(s) * F.col(s) for s in scores))))
+            .drop(*scaled, *scores))
 
 
 # --- ridge with cross validation ------------------------------------------------------------
@@ -128,10 +142,10 @@ def ridge_cv(df: DataFrame, features: list[str], label: str, order_by: list[str]
     """
     columns = [*features, label]
     rows = df.where(known(label))
-    centre = column_means(rows, columns).first()
-    if centre is None or any(v is None for v in centre):
+    n, *centre = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()
+    if n < k or any(v is None for v in centre):
         return RidgeModel(features)
-    folded = contiguous_folds(rows, "fold", order_by, k).withColumns(
+    folded = contiguous_folds(rows, "fold", order_by, k, n).withColumns(
         {c: F.col(c) - F.lit(m) for c, m in zip(columns, centre)})
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
     sums = folded.groupBy("fold").agg(
@@ -143,9 +157,6 @@ def ridge_cv(df: DataFrame, features: list[str], label: str, order_by: list[str]
         for (i, j), value in zip(pairs, row[2 + len(columns):]):
             products[i, j] = products[j, i] = value
         folds.append(_Moments(row[1], np.array(row[2:2 + len(columns)]), products))
-    if len(folds) < k:
-        return RidgeModel(features)
-
     every = reduce(lambda a, b: a + b, folds)
     scores = [np.mean([fold.r_squared(*(every - fold).solve(alpha)) for fold in folds])
               for alpha in alphas]

@@ -18,12 +18,13 @@ def ordinal(df: DataFrame, out: str, keys: list[str], order_by: list[str],
     Keys are counted first (one narrow, map-side combined aggregation). Those above ``hot_rows``
     are range partitioned over tasks and numbered part by part; the others use a plain window.
     """
-    hot_keys = sized_lookup(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
+    hot_keys = cut_lineage(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
     order = [F.col(c) for c in order_by]
     plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")
     if hot_keys.isEmpty():
         return df.withColumn(out, plain)
 
+    hot_keys = sized_lookup(hot_keys)
     cold = df.join(hot_keys, keys, "left_anti").withColumn(out, plain)
     part = f"{out}_part"
     hot = cut_lineage(

@@ -101,12 +101,10 @@ def row_position(df: DataFrame, out: str, order_by: list[str], width: int = WIDT
                       (), width).drop(f"{out}_one")
 
 
-def contiguous_folds(df: DataFrame, out: str, order_by: list[str], k: int = 5) -> DataFrame:
-    """Unshuffled folds 0..k-1 in order; the first (n mod k) folds hold one row more."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    at, size, extra = F.col(f"{out}_at"), F.floor(n / F.lit(k)), n % F.lit(k)
-    in_large = at < extra * (size + 1)
-    fold = F.when(in_large, F.floor(at / (size + 1))).otherwise(
-        extra + F.floor(F.try_divide(at - extra * (size + 1), size)))
-    df = row_position(df, f"{out}_at", order_by)
-    return df.withColumn(out, fold.cast("int")).drop(f"{out}_at")
+def contiguous_folds(df: DataFrame, out: str, order_by: list[str], k: int, n: int) -> DataFrame:
+    """Unshuffled folds 0..k-1 of ``n`` >= k rows in order; the first (n mod k) hold one row more."""
+    size, extra = divmod(n, k)
+    at, in_larger = F.col(f"{out}_at"), extra * (size + 1)
+    fold = F.when(at < in_larger, F.floor(at / (size + 1))).otherwise(
+        extra + F.floor((at - in_larger) / size))
+    return row_position(df, f"{out}_at", order_by).withColumn(out, fold.cast("int")).drop(f"{out}_at")

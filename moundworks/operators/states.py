@@ -78,11 +78,11 @@ def runs_remaining(pitches_with_runs: DataFrame) -> DataFrame:
                      ["game_pk", "inning"])
 
 
-def run_expectancy(pitches: DataFrame, min_samples: int = S.STATE_MIN_SAMPLES) -> DataFrame:
+def run_expectancy(states_with_runs: DataFrame, min_samples: int = S.STATE_MIN_SAMPLES) -> DataFrame:
     """Mean runs to come by outs and occupied bases."""
-    narrow = pitches.withColumn("base_state", P.base_state()).select(
-        "game_pk", "inning", *S.PITCH_ORDER, "bat_score", "outs_when_up", "base_state")
-    return state_expectancy(runs_remaining(runs_in_game(narrow)), ["outs_when_up", "base_state"],
+    narrow = states_with_runs.select(
+        "game_pk", "inning", *S.PITCH_ORDER, "runs_scored", "outs_when_up", "base_state")
+    return state_expectancy(runs_remaining(narrow), ["outs_when_up", "base_state"],
                             "runs_remaining", mean="run_expectancy", min_samples=min_samples)
 
 

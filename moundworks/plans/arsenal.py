@@ -74,6 +74,7 @@ def advanced_interactions(profile: DataFrame) -> DataFrame:
 
 def arsenal_features(profile: DataFrame) -> DataFrame:
     """Base score and all interactions; the pairs are folded once for both families."""
+    profile = cut_lineage(profile)  # an aggregate read three times; its input is every pitch
     folded = _pairs(standardize(profile, SHAPE), {**INTERACTIONS, **ADVANCED}, CLOSEST)
     return base_scores(profile).join(folded, S.SEASON_KEY, "left")
 

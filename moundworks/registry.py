@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks import fixtures
@@ -49,7 +49,7 @@ class Models(fixtures.Tables):
         return self.stuff_matrix().groupBy(*S.ARSENAL_KEY).agg(F.avg("target").alias("stuff_value"))
 
     def grade(self) -> DataFrame:
-        return pitch_level.pitch_grade(self.pitches())
+        return self.workspace.table("pitch_grade", lambda: pitch_level.pitch_grade(self.pitches()))
 
     def gap(self) -> DataFrame:
         return pitch_level.pitch_gap(self.stuff(), self.grade())
@@ -57,25 +57,28 @@ class Models(fixtures.Tables):
     def nastiness(self) -> DataFrame:
         return nastiness.nastiness_plus(self.pitches())
 
+    def game_states(self) -> DataFrame:
+        """Narrow pitch rows with game state and runs, read by all expectancy and relief steps."""
+        return self.workspace.table("game_states", lambda: G.runs_in_game(
+            G.game_state(self.pitches().select(*relief.NEEDED))))
+
     def win_table(self) -> DataFrame:
-        return self.workspace.table(
-            "win_expectancy", lambda: G.win_expectancy(G.game_state(self.pitches())))
+        return self.workspace.table("win_expectancy", lambda: G.win_expectancy(self.game_states()))
 
     def run_table(self) -> DataFrame:
-        return self.workspace.table("run_expectancy", lambda: G.run_expectancy(self.pitches()))
+        return self.workspace.table("run_expectancy", lambda: G.run_expectancy(self.game_states()))
+
+    def pitch_values(self) -> DataFrame:
+        return clutch.pitch_values(self.pitches(), self.win_table())
 
     def clutch_values(self) -> DataFrame:
-        return self.workspace.table(
-            "clutch_pitch_values", lambda: clutch.pitch_values(self.pitches(), self.win_table()))
+        return self.workspace.table("clutch_pitch_values", self.pitch_values)
 
     def clutch(self) -> DataFrame:
         return clutch.clutch(self.clutch_values())
 
     def appearances(self) -> DataFrame:
-        def build():
-            rows = G.game_state(self.pitches().select(*relief.NEEDED))
-            return relief.appearances(G.runs_in_game(rows))
-        return self.workspace.table("appearances", build)
+        return self.workspace.table("appearances", lambda: relief.appearances(self.game_states()))
 
     def relief(self) -> DataFrame:
         return relief.relief_run_prevention(self.appearances(), self.run_table(), self.win_table())
@@ -83,11 +86,14 @@ class Models(fixtures.Tables):
     def profile(self, stuff_values: DataFrame) -> DataFrame:
         return arsenal.pitch_profile(self.pitches(), stuff_values)
 
-    def arsenal(self) -> tuple[DataFrame, dict]:
+    def fit_arsenal(self) -> tuple[DataFrame, dict]:
         return arsenal.arsenal_scores(
             arsenal.arsenal_features(self.profile(self.stuff())),
             arsenal.k_rates(self.seasons(), self.players()), arsenal.xwoba_allowed(self.pitches()))
 
+    def arsenal(self) -> DataFrame:
+        return self.workspace.table("arsenal_plus", lambda: self.fit_arsenal()[0])
+
     def pitch_level(self) -> DataFrame:
         return pitch_level.pitch_level_model(
             self.pitches(), self.grade(), self.stuff(), self.gap(), self.players())
@@ -95,7 +101,11 @@ class Models(fixtures.Tables):
     def pitcher_level(self, with_arsenal: bool = True) -> DataFrame:
         return pitcher_level.pitcher_level_model(
             self.pitches(), self.players(), self.seasons(), self.clutch(), self.relief(),
-            self.arsenal()[0] if with_arsenal else None)
+            self.arsenal() if with_arsenal else None)
+
+
+def _pitch_pk() -> Column:
+    return P.composite_key(*S.PITCH_KEY)
 
 
 def _pitch_flags(t: Models) -> DataFrame:
@@ -189,13 +199,8 @@ def _fielding_win(t: Models) -> DataFrame:
 
 
 def _runs(t: Models, runs) -> DataFrame:
-    keyed = t.pitches().select("pitch_pk", "game_pk", "game_date", "inning", *S.PITCH_ORDER, "bat_score")
-    return runs(keyed)
-
-
-def _runs_remaining(t: Models) -> DataFrame:
-    return _runs(t, lambda p: G.runs_remaining(G.runs_in_game(p))).select(
-        "pitch_pk", "runs_scored", "runs_remaining")
+    return runs(t.pitches().select("pitch_pk", "game_pk", "game_date", *S.PITCH_ORDER, "bat_score")
+                ).select("pitch_pk", "runs_scored")
 
 
 def _leverage_cutoff(t: Models) -> DataFrame:
@@ -245,7 +250,7 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "strike_plus": lambda t: pitch_level.strike_plus(t.pitches()),
     "ball_plus": lambda t: pitch_level.ball_plus(t.pitches()),
     "chase_plus": lambda t: pitch_level.chase_plus(t.pitches()),
-    "pitch_grade_plus": lambda t: t.grade(),
+    "pitch_grade_plus": lambda t: pitch_level.pitch_grade(t.pitches()),
     "pitch_grade_of_tables": _grade_of_tables,
     "score_distribution": lambda t: writers.distribution(
         pitch_level.strike_plus(t.pitches()), "Strike_plus"),
@@ -270,12 +275,13 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "game_state": _game_state,
     "final_scores": lambda t: G.final_scores(t.pitches()),
     "fielding_win": _fielding_win,
-    "win_expectancy": lambda t: t.win_table(),
-    "run_expectancy": lambda t: t.run_table(),
-    "runs_scored_global": lambda t: _runs(t, G.runs_over_table).select("pitch_pk", "runs_scored"),
-    "runs_scored_game": lambda t: _runs(t, G.runs_in_game).select("pitch_pk", "runs_scored"),
-    "runs_remaining": _runs_remaining,
-    "wpa": lambda t: t.clutch_values().select(
+    "win_expectancy": lambda t: G.win_expectancy(G.game_state(t.pitches())),
+    "run_expectancy": lambda t: G.run_expectancy(t.game_states()),
+    "runs_scored_global": lambda t: _runs(t, G.runs_over_table),
+    "runs_scored_game": lambda t: _runs(t, G.runs_in_game),
+    "runs_remaining": lambda t: G.runs_remaining(t.game_states()).select(
+        _pitch_pk().alias("pitch_pk"), "runs_scored", "runs_remaining"),
+    "wpa": lambda t: t.pitch_values().select(
         _pitch_pk().alias("pitch_pk"), "runs_scored", "wp_before", "wp_after", "actual_wpa"),
     "run_value_residual": lambda t: t.clutch_values().select(
         _pitch_pk().alias("pitch_pk"), "rv_residual"),
@@ -290,8 +296,8 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "arsenal_interactions": _arsenal_interactions,
     "arsenal_advanced": lambda t: arsenal.advanced_interactions(t.profile(t.mean_target())),
     "arsenal_features": lambda t: arsenal.arsenal_features(t.profile(t.mean_target())),
-    "arsenal_plus": lambda t: t.arsenal()[0],
-    "ridge_weights": lambda t: learn.weight_report(t.spark, t.arsenal()[1]),
+    "arsenal_plus": lambda t: t.fit_arsenal()[0],
+    "ridge_weights": lambda t: learn.weight_report(t.spark, t.fit_arsenal()[1]),
     "relievers": lambda t: relief.relievers(relief.games_pitched(t.pitches())),
     "relief_pitches": lambda t: relief.relief_pitches(t.pitches()).select("pitch_pk"),
     "entry_state": _entry_state,
@@ -303,10 +309,6 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
 }
 
 
-def _pitch_pk():
-    return P.composite_key(*S.PITCH_KEY)
-
-
 def queries() -> dict[str, Query]:
     def bound(build: Callable[[Models], DataFrame]) -> Query:
         return lambda spark, sf_dir: rounded(build(Models(spark, sf_dir)))
