@@ -178,7 +178,7 @@ def residual(df: DataFrame, label: str, base: str, out: str,
 
 def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], label: str,
                          views: dict[str, list[str]], *, trees: int = 120, depth: int = 8,
-                         min_leaf: int = 75, seed: int = 42, parallel: int = 3) -> DataFrame | None:
+                         min_leaf: int = 75, seed: int = 42, parallel: int = 2) -> DataFrame | None:
     """A random forest per ``group`` value and its predictions on its own rows.
 
     ``views`` maps an output column to the features that keep their values in it; the others are
@@ -194,14 +194,19 @@ def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], lab
     learner = RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol="prediction",
         numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed, maxMemoryInMB=1024)
+        featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed, maxMemoryInMB=512)
     assemble = VectorAssembler(inputCols=features, outputCol="features").transform
+    cores = matrix.sparkSession.sparkContext.defaultParallelism
+
+    def rows_of(value):
+        rows = matrix.where(F.col(group) == value)
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
     def fit(value):
-        return learner.fit(assemble(matrix.where(F.col(group) == value)).select("features", label))
+        return learner.fit(assemble(rows_of(value)).select("features", label))
 
     def predict(value, model):
-        scored = matrix.where(F.col(group) == value)
+        scored = rows_of(value)
         for out, kept in views.items():
             view = [F.col(f) if f in kept else F.lit(m) for f, m in zip(features, means)]
             names = [f"{f}_view" for f in features]

@@ -1,10 +1,12 @@
 """Ordered operators whose groups may be arbitrarily large.
 
-A plain window puts one partition key into one task, so a single hot game (or no key at all)
-would stall the job. A carry scan works on blocks instead: the last order column is cut into
-runs of ``width`` values, a window runs inside each block, and one summary row per block is
-scanned the same way over the next order column, and so on up. Each window then holds at most
-``width`` values of one order column, whatever the skew. Order columns are integers.
+A plain window puts one partition key into one task, so a single hot game (or no key at all) would
+stall the job. A carry scan counts the groups first. Groups that fit a task get a plain window.
+Otherwise the window runs inside smaller runs of the order: rows with equal leading order columns
+or, where those are too many as well, ``WIDTH`` consecutive values of the last one. One summary row
+per run is then scanned the same way, and its result is carried into the run.
+
+Order columns are integers and identify a row within its group.
 """
 
 from __future__ import annotations
@@ -13,42 +15,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moundworks.storage import cut_lineage
+
 WIDTH = 4096
+TASK_ROWS = 1_000_000
 
 
 def _directed(columns: list[str], reverse: bool) -> list[Column]:
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]
 
 
-def _carry(df: DataFrame, value: str, out: str, order: list[str], keys: list[str], *,
-           kind: str, reverse: bool, width: int, position: int) -> DataFrame:
-    """Add ``out``: the scan of all rows before each row, over ``order[position:]`` and up."""
-    if position < 0:
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group; combined map-side, reads the key columns only."""
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _scan(df: DataFrame, value: str, out: str, order: list[str], keys: list[str], *,
+          kind: str, reverse: bool, task_rows: int, width: int) -> DataFrame:
+    """Add ``out``: the last ``value``, or the sum of them, over the rows before each row."""
+    fitting = (n for n in range(len(order)) if _largest_group(df, [*keys, *order[:n]]) <= task_rows)
+    depth = next(fitting, None)
+    if depth == 0:
         w = W.partitionBy(*keys).orderBy(*_directed(order, reverse))
         return df.withColumn(out, _before(value, w, kind))
 
-    block = f"{out}_block{position}"
-    df = df.withColumn(block, F.floor(F.col(order[position]) / width))
-    group = [*keys, *order[:position], block]
-    tail = order[position:]
+    run = f"{out}_run"
+    if depth is None:
+        df = df.withColumn(run, F.floor(F.col(order[-1]) / width))
+        leading, tail = [*order[:-1], run], order[-1:]
+    else:
+        leading, tail = order[:depth], order[depth:]
+    group = [*keys, *leading]
 
     rank = F.col(tail[0]) if len(tail) == 1 else F.struct(*tail)
     summary = {"last": (F.min_by if reverse else F.max_by)(F.col(value), rank),
                "sum": F.sum(value)}[kind]
-    blocks = df.groupBy(*group).agg(summary.alias(value))
-    carried = _carry(blocks, value, f"{out}_carry", [*order[:position], block], keys,
-                     kind=kind, reverse=reverse, width=width, position=position - 1)
+    runs = cut_lineage(df.groupBy(*group).agg(summary.alias(value)))
+    carry, first = f"{out}_carry", f"{out}_first"
+    carried = _scan(runs, value, carry, leading, keys, kind=kind, reverse=reverse,
+                    task_rows=task_rows, width=width).select(*group, carry)
 
     w = W.partitionBy(*group).orderBy(*_directed(tail, reverse))
     inside = df.withColumn(out, _before(value, w, kind))
-    carry = F.col(f"{out}_carry")
     if kind == "sum":
-        merged = F.col(out) + F.coalesce(carry, F.lit(0))
+        merged = F.col(out) + F.coalesce(F.col(carry), F.lit(0))
     else:
-        inside = inside.withColumn(f"{out}_first", F.row_number().over(w) == 1)
-        merged = F.when(F.col(f"{out}_first"), carry).otherwise(F.col(out))
-    joined = inside.join(carried.select(*group, f"{out}_carry"), group, "left")
-    return joined.withColumn(out, merged).drop(block, f"{out}_carry", f"{out}_first")
+        inside = inside.withColumn(first, F.row_number().over(w) == 1)
+        merged = F.when(F.col(first), F.col(carry)).otherwise(F.col(out))
+    return inside.join(carried, group, "left").withColumn(out, merged).drop(run, carry, first)
 
 
 def _before(value: str, w, kind: str) -> Column:
@@ -58,47 +74,48 @@ def _before(value: str, w, kind: str) -> Column:
     return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
 
-def _scan(df, value, out, order_by, partition_by, **options) -> DataFrame:
-    return _carry(df, value, out, list(order_by), list(partition_by),
-                  position=len(order_by) - 1, **options)
+def _scan_by(df, value, out, order_by, partition_by, kind, reverse=False,
+             task_rows=TASK_ROWS, width=WIDTH) -> DataFrame:
+    return _scan(df, value, out, list(order_by), list(partition_by), kind=kind, reverse=reverse,
+                 task_rows=task_rows, width=width)
 
 
 def previous_value(df: DataFrame, value: str, out: str, order_by: list[str],
-                   partition_by: list[str] = (), width: int = WIDTH) -> DataFrame:
+                   partition_by: list[str] = (), **limits: int) -> DataFrame:
     """``value`` of the row before, within ``partition_by`` or over the whole table."""
-    return _scan(df, value, out, order_by, partition_by, kind="last", reverse=False, width=width)
+    return _scan_by(df, value, out, order_by, partition_by, "last", **limits)
 
 
 def ordered_delta(df: DataFrame, value: str, out: str, order_by: list[str],
-                  partition_by: list[str] = (), width: int = WIDTH) -> DataFrame:
+                  partition_by: list[str] = (), **limits: int) -> DataFrame:
     """First difference in order; the first row and unknown differences are 0."""
     before = f"{out}_before"
-    df = previous_value(df, value, before, order_by, partition_by, width)
+    df = previous_value(df, value, before, order_by, partition_by, **limits)
     return df.withColumn(out, F.coalesce(F.col(value) - F.col(before), F.lit(0))).drop(before)
 
 
 def sum_before(df: DataFrame, value: str, out: str, order_by: list[str],
-               partition_by: list[str] = (), width: int = WIDTH) -> DataFrame:
+               partition_by: list[str] = (), **limits: int) -> DataFrame:
     """Sum of ``value`` over all earlier rows, the row itself left out."""
-    return _scan(df, value, out, order_by, partition_by, kind="sum", reverse=False, width=width)
+    return _scan_by(df, value, out, order_by, partition_by, "sum", **limits)
 
 
 def running_sum(df: DataFrame, value: str, out: str, order_by: list[str],
-                partition_by: list[str] = (), width: int = WIDTH) -> DataFrame:
-    df = sum_before(df, value, out, order_by, partition_by, width)
+                partition_by: list[str] = (), **limits: int) -> DataFrame:
+    df = sum_before(df, value, out, order_by, partition_by, **limits)
     return df.withColumn(out, F.col(out) + F.coalesce(F.col(value), F.lit(0)))
 
 
 def sum_after(df: DataFrame, value: str, out: str, order_by: list[str],
-              partition_by: list[str] = (), width: int = WIDTH) -> DataFrame:
+              partition_by: list[str] = (), **limits: int) -> DataFrame:
     """Group total minus running sum, without a join of the total."""
-    return _scan(df, value, out, order_by, partition_by, kind="sum", reverse=True, width=width)
+    return _scan_by(df, value, out, order_by, partition_by, "sum", reverse=True, **limits)
 
 
-def row_position(df: DataFrame, out: str, order_by: list[str], width: int = WIDTH) -> DataFrame:
+def row_position(df: DataFrame, out: str, order_by: list[str], **limits: int) -> DataFrame:
     """0-based position of each row in the whole table."""
-    return sum_before(df.withColumn(f"{out}_one", F.lit(1)), f"{out}_one", out, order_by,
-                      (), width).drop(f"{out}_one")
+    one = f"{out}_one"
+    return sum_before(df.withColumn(one, F.lit(1)), one, out, order_by, **limits).drop(one)
 
 
 def contiguous_folds(df: DataFrame, out: str, order_by: list[str], k: int, n: int) -> DataFrame:

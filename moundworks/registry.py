@@ -39,7 +39,7 @@ class Models(fixtures.Tables):
     def stuff_matrix(self) -> DataFrame:
         return self.workspace.table(
             "stuff_matrix", lambda: stuff.training_matrix(self.pitches()),
-            partition_by=["pitch_type"])
+            partition_by=["pitch_type"], rebalance=True)
 
     def stuff(self) -> DataFrame:
         return self.workspace.table("pitcher_stuff", lambda: stuff.stuff_plus(self.stuff_matrix()))

@@ -78,14 +78,19 @@ class Workspace:
         return _OPEN[(spark, key)]
 
     def table(self, name: str, build: Callable[[], DataFrame],
-              partition_by: list[str] | None = None) -> DataFrame:
+              partition_by: list[str] | None = None, rebalance: bool = False) -> DataFrame:
+        """The stored result of ``build``.
+
+        ``rebalance`` shuffles by the partition columns first, with AQE splitting the large ones,
+        so that many writing tasks times many partition values do not leave tiny files.
+        """
         if self.root is None:
             return build()
         path = f"{self.root}/{name}"
         if name in self._tables and _exists(self.spark, f"{path}/_SUCCESS"):
             return self._tables[name]
         df = build()
-        writer = df.write.mode("overwrite")
+        writer = (df.hint("rebalance", *partition_by) if rebalance else df).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
