@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moundworks import schema as S
@@ -53,9 +54,10 @@ def states_by_game(states: DataFrame) -> DataFrame:
 
 def win_expectancy(states: DataFrame, min_samples: int = S.STATE_MIN_SAMPLES) -> DataFrame:
     """Share of rows in each state whose fielding side won the game."""
-    by_game = states_by_game(states)
-    decided = by_game.join(final_scores(by_game), "game_pk").withColumn(
-        "fld_win", P.fielding_win(F.col("is_top"), F.col("final_home"), F.col("final_away")))
+    # the window holds a game's distinct states, not its pitches
+    game = W.partitionBy("game_pk")
+    decided = states_by_game(states).withColumn("fld_win", P.fielding_win(
+        F.col("is_top"), F.max("home_score").over(game), F.max("away_score").over(game)))
     return state_expectancy(decided, S.STATE_KEY, "fld_win", mean="win_prob",
                             min_samples=min_samples, weight="n")
 

@@ -9,6 +9,7 @@ from moundworks import schema as S
 from moundworks.functions import pitch as P
 from moundworks.operators.learn import fit_predict_by_group
 from moundworks.operators.metrics import join_lookup, known, plus_score, weighted_score
+from moundworks.storage import cut_lineage
 
 XWOBA = "estimated_woba_using_speedangle"
 
@@ -101,4 +102,5 @@ def stuff_plus(matrix: DataFrame, min_pitches: int = 10, **forest) -> DataFrame:
         F.avg("stuff_pred").alias("stuff_value"), F.avg("shape_pred").alias("shape_value"),
         F.avg("velo_pred").alias("velo_value"), F.count("stuff_pred").alias("pitches"))
     scores = {"Stuff_plus": "stuff_value", "Shape_plus": "shape_value", "Velo_plus": "velo_value"}
-    return plus_score(means.where(F.col("pitches") >= min_pitches), scores, ["pitch_type"])
+    kept = cut_lineage(means.where(F.col("pitches") >= min_pitches))  # predict once, read twice
+    return plus_score(kept, scores, ["pitch_type"])
