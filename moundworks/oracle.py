@@ -178,7 +178,8 @@ CTES = {
     WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*S.STUFF_FEATURES, "target"])}""",
     # nastiness
     "nasty": f"""
-    SELECT *, abs(movement_total - release_spin_rate * 0.0005E0) AS movement_gap,
+    SELECT *, release_spin_rate AS spin, release_spin_rate * 0.0005E0 AS expected_movement,
+      abs(movement_total - release_spin_rate * 0.0005E0) AS movement_gap,
       movement_total - release_spin_rate * 0.0005E0 AS movement_over_expected,
       abs(ivb_abs - hb_abs) * 1.2E0 AS movement_sep, degrees(atan2(ivb, hb)) AS movement_angle,
       CASE WHEN description IN ({_list(S.NASTY_EVENTS)}) THEN 1 ELSE 0 END AS is_good_outcome
@@ -314,9 +315,139 @@ CTES = {
     WHERE relief_pitches >= 300""",
 }
 
+
+
+# --- principal components: matrix squaring finds one projector after the other ----------------
+
+def _components(source: str, columns: list[str]) -> dict[str, str]:
+    """CTEs up to ``pca``: one row with the projector on three components as a flat list."""
+    cells = [(i, j) for i in range(len(columns)) for j in range(len(columns))]
+    values = ", ".join("1.0E0" if i == j else f"corr({columns[i]}, {columns[j]})" for i, j in cells)
+    ctes = {"m1": f"""
+    SELECT unnest({[i for i, _ in cells]}) AS i, unnest({[j for _, j in cells]}) AS j, unnest(vs) AS v
+    FROM (SELECT [{values}] AS vs FROM {source})"""}
+    for n in (1, 2, 3):
+        ctes[f"squared{n}"] = f"""
+        SELECT 0 AS k, i, j, v FROM m{n}
+        UNION ALL
+        SELECT k + 1, i, j, s / sum(CASE WHEN i = j THEN s ELSE 0 END) OVER () FROM (
+          SELECT a.k, a.i, b.j, sum(a.v * b.v) AS s
+          FROM squared{n} a JOIN squared{n} b ON a.j = b.i WHERE a.k < 40 GROUP BY a.k, a.i, b.j)"""
+        ctes[f"projector{n}"] = f"SELECT i, j, v FROM squared{n} WHERE k = 40"
+        if n < 3:
+            ctes[f"m{n + 1}"] = f"""
+            SELECT i, j, m.v - p.v * sum(m.v * p.v) OVER () AS v
+            FROM m{n} m JOIN projector{n} p USING (i, j)"""
+    ctes["pca"] = """
+    SELECT list(v ORDER BY i, j) AS ps FROM (
+      SELECT i, j, a.v + b.v + c.v AS v FROM projector1 a JOIN projector2 b USING (i, j)
+        JOIN projector3 c USING (i, j))"""
+    return ctes
+
+
+def _projected(columns: list[str]) -> str:
+    n = len(columns)
+    return " + ".join(f"{a}_z * {b}_z * ps[{i * n + j + 1}]"
+                      for i, a in enumerate(columns) for j, b in enumerate(columns))
+
+
+CTES |= _components("nasty", S.NASTINESS_FEATURES)
+CTES["nasty_z"] = (f"SELECT *, {', '.join(f'{_zscore(c)} AS {c}_z' for c in S.NASTINESS_FEATURES)} "
+                   "FROM nasty")
+CTES["nastiness"] = f"""
+    SELECT *, {_plus("nastiness_raw")} AS "Nastiness_plus" FROM (
+      SELECT z.*, sqrt({_projected(S.NASTINESS_FEATURES)}) AS nastiness_raw
+      FROM nasty_z z, pca WHERE is_good_outcome = 1)"""
+
+
+# --- ridge: covariances per training set, solved by elimination -------------------------------
+
+def _ridge(name: str, source: str, features: list[str], label: str) -> dict[str, str]:
+    """CTEs up to ``{name}_fit``: best alpha, weights and intercept. Set 0 holds every row."""
+    p = len(features)
+    xs = [f"x{i + 1}" for i in range(p)]
+    renamed = ", ".join(f'CAST("{f}" AS DOUBLE) AS {x}' for f, x in zip(features, xs))
+    moments = ", ".join([f"avg({x}) AS m_{x}" for x in xs] + [
+        f"covar_pop({x}, {b}) * count(*) AS c_{x}_{b}" for x in xs for b in [*xs, "y"]])
+    lines = " UNION ALL ".join(
+        f"SELECT s, alpha, {i + 1} AS i, ["
+        + ", ".join(f"c_{x}_{b}" + (" + alpha" if x == b else "") for b in [*xs, "y"])
+        + f"] AS r FROM {name}_sums, alphas" for i, x in enumerate(xs))
+    fitted = "my + " + " + ".join(f"w[{i + 1}] * ({x} - m_{x})" for i, x in enumerate(xs))
+    at_zero = "my - (" + " + ".join(f"w[{i + 1}] * m_{x}" for i, x in enumerate(xs)) + ")"
+    return {
+        f"{name}_rows": f"""
+        SELECT {renamed}, CAST("{label}" AS DOUBLE) AS y,
+          ntile(5) OVER (ORDER BY pitcher, game_year) AS fold
+        FROM {source} WHERE "{label}" IS NOT NULL""",
+        f"{name}_sums": f"""
+        SELECT s, avg(y) AS my, {moments} FROM {name}_rows, range(6) AS t(s) WHERE fold <> s GROUP BY s""",
+        f"{name}_solve": f"""
+        SELECT 0 AS k, * FROM ({lines})
+        UNION ALL
+        SELECT g.k + 1, g.s, g.alpha, g.i,
+          CASE WHEN g.i = g.k + 1 THEN list_transform(g.r, lambda v: v / g.r[g.k + 1])
+               ELSE list_transform(range(1, {p + 2}),
+                                   lambda c: g.r[c] - g.r[g.k + 1] * q.r[c] / q.r[g.k + 1]) END
+        FROM {name}_solve g JOIN {name}_solve q
+          ON g.s = q.s AND g.alpha = q.alpha AND q.i = g.k + 1 WHERE g.k < {p}""",
+        f"{name}_weights": f"""
+        SELECT s, alpha, list(r[{p + 1}] ORDER BY i) AS w FROM {name}_solve WHERE k = {p}
+        GROUP BY s, alpha""",
+        f"{name}_best": f"""
+        SELECT alpha FROM (
+          SELECT s, alpha, 1 - sum(pow(y - ({fitted}), 2)) / (var_pop(y) * count(*)) AS r2
+          FROM {name}_rows JOIN {name}_sums ON fold = s JOIN {name}_weights USING (s)
+          GROUP BY s, alpha) GROUP BY alpha ORDER BY avg(r2) DESC, alpha LIMIT 1""",
+        f"{name}_fit": f"""
+        SELECT alpha, w, {at_zero} AS b
+        FROM {name}_best JOIN {name}_weights USING (alpha) JOIN {name}_sums USING (s) WHERE s = 0""",
+    }
+
+
+def _predicted(features: list[str]) -> str:
+    return "b + " + " + ".join(f'w[{i + 1}] * "{f}"' for i, f in enumerate(features))
+
+
+CTES["alphas"] = "SELECT pow(10.0E0, -3.0E0 + 6.0E0 * k / 49.0E0) AS alpha FROM range(50) AS t(k)"
+CTES["arsenals"] = """
+    SELECT * FROM base JOIN inter USING (pitcher, game_year) JOIN advanced USING (pitcher, game_year)"""
+CTES |= _ridge("ri", "arsenals", S.INTERACTION_FEATURES, "base_score")
+CTES["raw_i"] = f"""
+    SELECT a.*, {_predicted(S.INTERACTION_FEATURES)} AS interaction_score_raw FROM arsenals a, ri_fit"""
+CTES |= _ridge("ro", "raw_i", ["base_score"], "interaction_score_raw")
+CTES["learned"] = """
+    SELECT a.*, interaction_score_raw - (b + w[1] * base_score) AS interaction_score FROM raw_i a, ro_fit"""
+CTES["learned_k"] = "SELECT * FROM learned JOIN k_rates USING (pitcher, game_year)"
+CTES["xwoba_s"] = f"""
+    SELECT pitcher, game_year, avg(x) AS xwoba_allowed FROM (
+      SELECT pitcher, game_year, avg({XWOBA}) AS x FROM p WHERE {XWOBA} IS NOT NULL
+      GROUP BY pitcher, game_year, game_pk, at_bat_number) GROUP BY ALL"""
+CTES["learned_x"] = "SELECT * FROM learned JOIN xwoba_s USING (pitcher, game_year)"
+CTES |= _ridge("rk", "learned_k", S.ARSENAL_FEATURES, "K_percent")
+CTES |= _ridge("rd", "learned_x", S.ARSENAL_FEATURES, "xwoba_allowed")
+CTES["k_raw"] = f"""
+    SELECT a.*, {_predicted(S.ARSENAL_FEATURES)} AS k_raw FROM learned a, rk_fit"""
+CTES["d_raw"] = f"""
+    SELECT a.*, {_predicted(S.ARSENAL_FEATURES)} AS d_raw FROM k_raw a, rd_fit"""
+WEIGHT_ROWS = " UNION ALL ".join(
+    f"SELECT '{model}' AS model, alpha, unnest([{_list(features)}]) AS feature, unnest(w) AS coefficient "
+    f"FROM {fit}_fit"
+    for model, fit, features in (
+        ("interaction", "ri", S.INTERACTION_FEATURES), ("orthogonal", "ro", ["base_score"]),
+        ("strikeouts", "rk", S.ARSENAL_FEATURES), ("contact", "rd", S.ARSENAL_FEATURES)))
+
 RELIEF_COLUMNS = ("pitcher, game_year, pitch_rv_value, relief_pitches, inherited_value, relief_apps, "
                   'total_relief_value, z_score, "RRP_plus"')
 
+NASTY_DOUBLES = [
+    "release_speed", "release_spin_rate", "release_pos_x", "release_pos_z", "release_extension",
+    "pfx_x", "pfx_z", "ivb", "hb", "spin", "expected_movement", *S.NASTINESS_FEATURES,
+    "nastiness_raw", "Nastiness_plus"]
+NASTY_COLUMNS = [
+    "pitch_pk", "pitcher", "pitch_type", "pitch_name", "game_year", "description", "game_date", "inning",
+    "inning_topbot", "outs_when_up", "balls", "strikes", "is_good_outcome", *NASTY_DOUBLES]
+
 # query name -> (body, double columns to round)
 BODIES: dict[str, tuple[str, str]] = {
     "pitch_flags": ("SELECT pitch_pk, whiff_flag, swing_flag, called_strike_flag, hard_hit_flag, "
@@ -381,8 +512,17 @@ BODIES: dict[str, tuple[str, str]] = {
         f"SELECT pitch_pk, {', '.join(S.NASTINESS_FEATURES)}, is_good_outcome FROM nasty",
         " ".join(S.NASTINESS_FEATURES)),
     "nastiness_standardized": (
-        f"SELECT pitch_pk, {', '.join(f'{_zscore(c)} AS {c}_z' for c in S.NASTINESS_FEATURES)} FROM nasty",
+        f"SELECT pitch_pk, {', '.join(f'{c}_z' for c in S.NASTINESS_FEATURES)} FROM nasty_z",
         " ".join(f"{c}_z" for c in S.NASTINESS_FEATURES)),
+    "nastiness_plus": ('SELECT pitch_pk, game_year, nastiness_raw, "Nastiness_plus" FROM nastiness',
+                       "nastiness_raw Nastiness_plus"),
+    "nastiness_top200": (
+        f"""SELECT {', '.join(NASTY_COLUMNS)} FROM nastiness WHERE game_year = 2025
+        ORDER BY "Nastiness_plus" DESC, pitch_pk LIMIT 200""",
+        " ".join(c for c in NASTY_COLUMNS if c in NASTY_DOUBLES)),
+    "nastiness_distribution": (
+        'SELECT count(*) AS n_rows, round(avg("Nastiness_plus"), 2) AS mean, '
+        'round(stddev_samp("Nastiness_plus"), 2) AS std FROM nastiness', "mean std"),
     "game_state": ("SELECT pitch_pk, score_diff, base_state, is_top FROM states", ""),
     "final_scores": ("SELECT * FROM finals", ""),
     "fielding_win": ("SELECT pitch_pk, fld_win FROM decided", ""),
@@ -400,10 +540,7 @@ BODIES: dict[str, tuple[str, str]] = {
     "clutch_score": ("SELECT * FROM clutch", "hl_rv_residual hl_wpa rv_z wpa_z Clutch_raw Clutch_Score"),
     "clutch_top5": ('SELECT * FROM clutch ORDER BY "Clutch_Score" DESC, pitcher, game_year LIMIT 5',
                     "hl_rv_residual hl_wpa rv_z wpa_z Clutch_raw Clutch_Score"),
-    "xwoba_two_level": (
-        f"SELECT pitcher, game_year, avg(x) AS xwoba_allowed FROM (SELECT pitcher, game_year, "
-        f"avg({XWOBA}) AS x FROM p WHERE {XWOBA} IS NOT NULL "
-        "GROUP BY pitcher, game_year, game_pk, at_bat_number) GROUP BY ALL", "xwoba_allowed"),
+    "xwoba_two_level": ("SELECT * FROM xwoba_s", "xwoba_allowed"),
     "approach_angles": ('SELECT pitch_pk, t_plate, vx_plate, vy_plate, vz_plate, "VAA", "HAA" FROM flown',
                         "t_plate vx_plate vy_plate vz_plate VAA HAA"),
     "arsenal_profile": ("SELECT * FROM profile", "avg_velo avg_ivb avg_hb avg_vaa stuff_value "
@@ -414,9 +551,13 @@ BODIES: dict[str, tuple[str, str]] = {
                              "min_shape_distance"),
     "arsenal_advanced": ("SELECT * FROM advanced", "tunnel_score velo_band mirror_score"),
     "arsenal_features": (
-        "SELECT * FROM base JOIN inter USING (pitcher, game_year) JOIN advanced USING (pitcher, game_year)",
+        "SELECT * FROM arsenals",
         "base_score velo_int ivb_int hb_int vaa_int stuff_int min_shape_distance tunnel_score "
         "velo_band mirror_score"),
+    "arsenal_plus_of_targets": (
+        f'''SELECT pitcher, game_year, {_plus("k_raw")} AS "ArsenalK_plus",
+        {_plus("d_raw", sign="-")} AS "ArsenalDesign_plus" FROM d_raw''', "ArsenalK_plus ArsenalDesign_plus"),
+    "ridge_weights_of_targets": (WEIGHT_ROWS, "alpha coefficient"),
     "relievers": ("SELECT pitcher, game_year, total_appearances, games_started, start_pct FROM relievers",
                   "start_pct"),
     "relief_pitches": ("SELECT pitch_pk FROM relief_p", ""),
@@ -463,7 +604,7 @@ def _assemble(body: str, doubles: str) -> str:
     ctes = [f"{name} AS ({CTES[name].strip()})" for name in _mentioned(body)]
     rounds = ", ".join(f'floor("{c}" * 1048576.0E0 + 0.5E0) / 1048576.0E0 AS "{c}"' for c in doubles.split())
     replaced = f"* REPLACE ({rounds})" if rounds else "*"
-    return f"WITH {', '.join(ctes)}, answer AS ({body.strip()}) SELECT {replaced} FROM answer"
+    return f"WITH RECURSIVE {', '.join(ctes)}, answer AS ({body.strip()}) SELECT {replaced} FROM answer"
 
 
 def oracle_sql() -> dict[str, str]:

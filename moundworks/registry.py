@@ -86,13 +86,13 @@ class Models(fixtures.Tables):
     def profile(self, stuff_values: DataFrame) -> DataFrame:
         return arsenal.pitch_profile(self.pitches(), stuff_values)
 
-    def fit_arsenal(self) -> tuple[DataFrame, dict]:
+    def fit_arsenal(self, stuff_values: DataFrame) -> tuple[DataFrame, dict]:
         return arsenal.arsenal_scores(
-            arsenal.arsenal_features(self.profile(self.stuff())),
+            arsenal.arsenal_features(self.profile(stuff_values)),
             arsenal.k_rates(self.seasons(), self.players()), arsenal.xwoba_allowed(self.pitches()))
 
     def arsenal(self) -> DataFrame:
-        return self.workspace.table("arsenal_plus", lambda: self.fit_arsenal()[0])
+        return self.workspace.table("arsenal_plus", lambda: self.fit_arsenal(self.stuff())[0])
 
     def pitch_level(self) -> DataFrame:
         return pitch_level.pitch_level_model(
@@ -296,8 +296,11 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "arsenal_interactions": _arsenal_interactions,
     "arsenal_advanced": lambda t: arsenal.advanced_interactions(t.profile(t.mean_target())),
     "arsenal_features": lambda t: arsenal.arsenal_features(t.profile(t.mean_target())),
-    "arsenal_plus": lambda t: t.fit_arsenal()[0],
-    "ridge_weights": lambda t: learn.weight_report(t.spark, t.fit_arsenal()[1]),
+    "arsenal_plus": lambda t: t.fit_arsenal(t.stuff())[0],
+    "arsenal_plus_of_targets": lambda t: t.fit_arsenal(t.mean_target())[0],
+    "ridge_weights": lambda t: learn.weight_report(t.spark, t.fit_arsenal(t.stuff())[1]),
+    "ridge_weights_of_targets": lambda t: learn.weight_report(
+        t.spark, t.fit_arsenal(t.mean_target())[1]),
     "relievers": lambda t: relief.relievers(relief.games_pitched(t.pitches())),
     "relief_pitches": lambda t: relief.relief_pitches(t.pitches()).select("pitch_pk"),
     "entry_state": _entry_state,
