@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from moundworks.operators.metrics import known, z_score
 from moundworks.operators.scan import contiguous_folds
+from moundworks.storage import cut_lineage
 
 ALPHAS = np.logspace(-3, 3, 50)
 
@@ -141,7 +142,7 @@ def ridge_cv(df: DataFrame, features: list[str], label: str, order_by: list[str]
     fits are solved from them. Columns are centred first so the sums keep their precision.
     """
     columns = [*features, label]
-    rows = df.where(known(label))
+    rows = cut_lineage(df.where(known(label)).select(*order_by, *columns))  # read three times
     n, *centre = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()
     if n < k or any(v is None for v in centre):
         return RidgeModel(features)

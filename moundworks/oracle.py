@@ -176,6 +176,13 @@ CTES = {
     "matrix": f"""
     SELECT {KEY}, {", ".join(S.STUFF_FEATURES)}, target FROM targeted
     WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*S.STUFF_FEATURES, "target"])}""",
+    "stuff_t": f"""
+    SELECT *, {_plus("stuff_value", "pitch_type")} AS "Stuff_plus" FROM (
+      SELECT {KEY}, avg(target) AS stuff_value, count(*) AS pitches FROM matrix
+      GROUP BY ALL HAVING count(*) >= 10)""",
+    "gap_t": f"""
+    SELECT {KEY}, "Stuff_plus", "PitchGrade_plus", "Stuff_plus" - "PitchGrade_plus" AS "PitchGap"
+    FROM stuff_t JOIN grade USING ({KEY})""",
     # nastiness
     "nasty": f"""
     SELECT *, release_spin_rate AS spin, release_spin_rate * 0.0005E0 AS expected_movement,
@@ -252,7 +259,7 @@ CTES = {
         SELECT {KEY}, count(*) AS usage, avg(release_speed) AS avg_velo, avg(pfx_z) * 12 AS avg_ivb,
           avg(pfx_x) * 12 AS avg_hb, avg("VAA") AS avg_vaa
         FROM flown WHERE pitch_type IS NOT NULL GROUP BY ALL HAVING count(*) >= 50)
-      JOIN (SELECT {KEY}, avg(target) AS stuff_value FROM matrix GROUP BY ALL) USING ({KEY}))""",
+      JOIN (SELECT {KEY}, stuff_value FROM stuff_t) USING ({KEY}))""",
     "base": """
     SELECT pitcher, game_year, sum(weighted_stuff) AS base_score FROM profile GROUP BY ALL""",
     "spread": """
@@ -430,6 +437,9 @@ CTES["k_raw"] = f"""
     SELECT a.*, {_predicted(S.ARSENAL_FEATURES)} AS k_raw FROM learned a, rk_fit"""
 CTES["d_raw"] = f"""
     SELECT a.*, {_predicted(S.ARSENAL_FEATURES)} AS d_raw FROM k_raw a, rd_fit"""
+CTES["arsenal_t"] = f"""
+    SELECT pitcher, game_year, {_plus("k_raw")} AS "ArsenalK_plus",
+      {_plus("d_raw", sign="-")} AS "ArsenalDesign_plus" FROM d_raw"""
 WEIGHT_ROWS = " UNION ALL ".join(
     f"SELECT '{model}' AS model, alpha, unnest([{_list(features)}]) AS feature, unnest(w) AS coefficient "
     f"FROM {fit}_fit"
@@ -440,6 +450,25 @@ WEIGHT_ROWS = " UNION ALL ".join(
 RELIEF_COLUMNS = ("pitcher, game_year, pitch_rv_value, relief_pitches, inherited_value, relief_apps, "
                   'total_relief_value, z_score, "RRP_plus"')
 
+
+def _pitcher_level(arsenal: str) -> tuple[str, str]:
+    joined = "JOIN arsenal_t a ON rs.pitcher = a.pitcher AND rs.season = a.game_year" if arsenal else ""
+    columns = "".join(f'"{c}", ' for c in arsenal.split())
+    return f"""
+    SELECT rs.pitcher, full_name, rs.season, "WAR", innings_pitched, pitches_thrown, whiffs, swings,
+      csw_rate, called_strikes, strikeouts, "K_percent", "K/9", walks, "BB_percent", "BB/9",
+      hard_hits, barrels, home_runs, "H/9", "GB/FB", "AVG" AS "BA_allowed", "WHIP", "ERA", "ERA_plus",
+      "FIP", "FIP_plus", "SIERA", rv_z AS run_value, wpa_z AS win_probability_added, "Clutch_Score",
+      {columns}relief_apps, total_relief_value, "RRP_plus"
+    FROM season_counts rs JOIN players ON rs.pitcher = key_mlbam
+      JOIN seasons ss ON key_fangraphs = ss."IDfg" AND rs.season = ss.game_year
+      JOIN clutch c ON rs.pitcher = c.pitcher AND rs.season = c.game_year {joined}
+      LEFT JOIN relief r ON rs.pitcher = r.pitcher AND rs.season = r.game_year""", (
+        "WAR innings_pitched csw_rate strikeouts K_percent K/9 walks BB_percent BB/9 home_runs H/9 "
+        "GB/FB BA_allowed WHIP ERA ERA_plus FIP FIP_plus SIERA run_value win_probability_added "
+        f"Clutch_Score total_relief_value RRP_plus {arsenal}")
+
+
 NASTY_DOUBLES = [
     "release_speed", "release_spin_rate", "release_pos_x", "release_pos_z", "release_extension",
     "pfx_x", "pfx_z", "ivb", "hb", "spin", "expected_movement", *S.NASTINESS_FEATURES,
@@ -554,9 +583,9 @@ BODIES: dict[str, tuple[str, str]] = {
         "SELECT * FROM arsenals",
         "base_score velo_int ivb_int hb_int vaa_int stuff_int min_shape_distance tunnel_score "
         "velo_band mirror_score"),
-    "arsenal_plus_of_targets": (
-        f'''SELECT pitcher, game_year, {_plus("k_raw")} AS "ArsenalK_plus",
-        {_plus("d_raw", sign="-")} AS "ArsenalDesign_plus" FROM d_raw''', "ArsenalK_plus ArsenalDesign_plus"),
+    "stuff_plus_of_targets": ("SELECT * FROM stuff_t", "stuff_value Stuff_plus"),
+    "pitch_gap_of_targets": ("SELECT * FROM gap_t", "Stuff_plus PitchGrade_plus PitchGap"),
+    "arsenal_plus_of_targets": ("SELECT * FROM arsenal_t", "ArsenalK_plus ArsenalDesign_plus"),
     "ridge_weights_of_targets": (WEIGHT_ROWS, "alpha coefficient"),
     "relievers": ("SELECT pitcher, game_year, total_appearances, games_started, start_pct FROM relievers",
                   "start_pct"),
@@ -572,19 +601,8 @@ BODIES: dict[str, tuple[str, str]] = {
     "relief_top5": (
         f'SELECT {RELIEF_COLUMNS} FROM relief ORDER BY "RRP_plus" DESC, pitcher, game_year LIMIT 5',
         "pitch_rv_value inherited_value total_relief_value z_score RRP_plus"),
-    "pitcher_level_profile": ("""
-      SELECT rs.pitcher, full_name, rs.season, "WAR", innings_pitched, pitches_thrown, whiffs, swings,
-        csw_rate, called_strikes, strikeouts, "K_percent", "K/9", walks, "BB_percent", "BB/9",
-        hard_hits, barrels, home_runs, "H/9", "GB/FB", "AVG" AS "BA_allowed", "WHIP", "ERA", "ERA_plus",
-        "FIP", "FIP_plus", "SIERA", rv_z AS run_value, wpa_z AS win_probability_added, "Clutch_Score",
-        relief_apps, total_relief_value, "RRP_plus"
-      FROM season_counts rs JOIN players ON rs.pitcher = key_mlbam
-        JOIN seasons ss ON key_fangraphs = ss."IDfg" AND rs.season = ss.game_year
-        JOIN clutch c ON rs.pitcher = c.pitcher AND rs.season = c.game_year
-        LEFT JOIN relief r ON rs.pitcher = r.pitcher AND rs.season = r.game_year""",
-        "WAR innings_pitched csw_rate strikeouts K_percent K/9 walks BB_percent BB/9 home_runs H/9 "
-        "GB/FB BA_allowed WHIP ERA ERA_plus FIP FIP_plus SIERA run_value win_probability_added "
-        "Clutch_Score total_relief_value RRP_plus"),
+    "pitcher_level_profile": _pitcher_level(""),
+    "pitcher_level_model_of_targets": _pitcher_level("ArsenalK_plus ArsenalDesign_plus")
 }
 
 

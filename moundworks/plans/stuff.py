@@ -67,8 +67,9 @@ def event_weights(featured: DataFrame) -> DataFrame:
 
 def with_target(featured: DataFrame) -> DataFrame:
     """The training target; a missing contact value takes its event's mean."""
-    # eligible pitches have one of the fixed STUFF_EVENTS, so the weights are a handful of rows
-    filled = featured.join(F.broadcast(event_weights(featured)), "description", "left")
+    # one row per fixed event name: a handful, whatever the data
+    weights = event_weights(featured).where(F.col("description").isin(S.STUFF_EVENTS))
+    filled = featured.join(F.broadcast(weights), "description", "left")
     return filled.withColumns({
         "is_whiff": P.happened(S.WHIFF_EVENTS),
         "weak_contact": P.flag(F.col(XWOBA) < S.WEAK_CONTACT_WOBA),
@@ -92,15 +93,25 @@ def score_pitches(matrix: DataFrame, **forest) -> DataFrame | None:
          "shape_pred": S.SHAPE_FEATURES}, **forest)
 
 
+def type_scores(scored: DataFrame, predictions: dict[str, str], min_pitches: int = 10) -> DataFrame:
+    """Mean predictions per pitcher, season and type, scored within the type over all seasons.
+
+    ``predictions`` names the scores: {"stuff": "stuff_pred"} gives stuff_value and Stuff_plus.
+    """
+    first = next(iter(predictions.values()))
+    means = scored.where(known("pitcher", "game_year")).groupBy(*S.ARSENAL_KEY).agg(
+        *[F.avg(column).alias(f"{name}_value") for name, column in predictions.items()],
+        F.count(first).alias("pitches"))
+    kept = cut_lineage(means.where(F.col("pitches") >= min_pitches))  # predict once, read twice
+    scores = {f"{name.title()}_plus": f"{name}_value" for name in predictions}
+    return plus_score(kept, scores, ["pitch_type"])
+
+
 def stuff_plus(matrix: DataFrame, min_pitches: int = 10, **forest) -> DataFrame:
-    """Mean predictions per pitcher, season and type, scored within the type over all seasons."""
+    """Stuff+, Shape+ and Velo+ per pitcher, season and type."""
+    predictions = {"stuff": "stuff_pred", "shape": "shape_pred", "velo": "velo_pred"}
     scored = score_pitches(matrix, **forest)
     if scored is None:
         none = F.lit(None).cast("double")
-        scored = matrix.withColumns({c: none for c in ("stuff_pred", "shape_pred", "velo_pred")})
-    means = scored.where(known("pitcher", "game_year")).groupBy(*S.ARSENAL_KEY).agg(
-        F.avg("stuff_pred").alias("stuff_value"), F.avg("shape_pred").alias("shape_value"),
-        F.avg("velo_pred").alias("velo_value"), F.count("stuff_pred").alias("pitches"))
-    scores = {"Stuff_plus": "stuff_value", "Shape_plus": "shape_value", "Velo_plus": "velo_value"}
-    kept = cut_lineage(means.where(F.col("pitches") >= min_pitches))  # predict once, read twice
-    return plus_score(kept, scores, ["pitch_type"])
+        scored = matrix.withColumns({c: none for c in predictions.values()})
+    return type_scores(scored, predictions, min_pitches)

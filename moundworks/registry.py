@@ -45,8 +45,8 @@ class Models(fixtures.Tables):
         return self.workspace.table("pitcher_stuff", lambda: stuff.stuff_plus(self.stuff_matrix()))
 
     def mean_target(self) -> DataFrame:
-        """A stuff value SQL can compute: the mean target instead of the mean prediction."""
-        return self.stuff_matrix().groupBy(*S.ARSENAL_KEY).agg(F.avg("target").alias("stuff_value"))
+        """A stuff score SQL can compute: the mean target instead of the mean prediction."""
+        return stuff.type_scores(self.stuff_matrix(), {"stuff": "target"})
 
     def grade(self) -> DataFrame:
         return self.workspace.table("pitch_grade", lambda: pitch_level.pitch_grade(self.pitches()))
@@ -98,10 +98,10 @@ class Models(fixtures.Tables):
         return pitch_level.pitch_level_model(
             self.pitches(), self.grade(), self.stuff(), self.gap(), self.players())
 
-    def pitcher_level(self, with_arsenal: bool = True) -> DataFrame:
+    def pitcher_level(self, arsenal_scores: DataFrame | None) -> DataFrame:
         return pitcher_level.pitcher_level_model(
             self.pitches(), self.players(), self.seasons(), self.clutch(), self.relief(),
-            self.arsenal() if with_arsenal else None)
+            arsenal_scores)
 
 
 def _pitch_pk() -> Column:
@@ -264,7 +264,9 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
         "pitch_pk", "is_whiff", "weak_contact", "contact_value", "target"),
     "feature_means": lambda t: learn.column_means(t.stuff_matrix(), S.STUFF_FEATURES),
     "stuff_plus": lambda t: t.stuff(),
+    "stuff_plus_of_targets": lambda t: t.mean_target(),
     "pitch_gap": lambda t: t.gap(),
+    "pitch_gap_of_targets": lambda t: pitch_level.pitch_gap(t.mean_target(), t.grade()),
     "pitch_level_model": lambda t: t.pitch_level(),
     "nastiness_features": _nastiness_features,
     "nastiness_standardized": _nastiness_standardized,
@@ -307,8 +309,9 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "inherited_value": _inherited,
     "relief_run_prevention_plus": lambda t: t.relief(),
     "relief_top5": lambda t: _top(t.relief(), "RRP_plus"),
-    "pitcher_level_profile": lambda t: t.pitcher_level(with_arsenal=False),
-    "pitcher_level_model": lambda t: t.pitcher_level(),
+    "pitcher_level_profile": lambda t: t.pitcher_level(None),
+    "pitcher_level_model": lambda t: t.pitcher_level(t.arsenal()),
+    "pitcher_level_model_of_targets": lambda t: t.pitcher_level(t.fit_arsenal(t.mean_target())[0]),
 }
 
 
