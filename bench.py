@@ -11,7 +11,8 @@ import os
 import sys
 import time
 
-from moundworks.registry import Models, queries
+from moundworks.fixtures import models as open_models
+from moundworks.registry import queries
 from moundworks.session import local_session
 
 HEADLINE = [
@@ -35,7 +36,7 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
 
     def ingest() -> None:
-        models = Models(spark, sf_dir)
+        models = open_models(spark, sf_dir)
         for table in (models.pitches, models.players, models.seasons):
             table()
 

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from moundworks import schema as S
+from moundworks.models import Models
 from moundworks.operators.ordinal import HOT_ROWS, ordinal
-from moundworks.plans import raw
-from moundworks.sources.readers import register
 from moundworks.storage import Workspace
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -117,8 +116,7 @@ SELECT 10000 + p_partkey AS IDfg, 'Player ' || CAST(p_partkey AS VARCHAR(12)) AS
        CAST(40 + p_size * 3 AS VARCHAR(12)) AS `SO`, CAST(10 + p_size AS VARCHAR(12)) AS `BB`, CAST(p_size % 8 AS VARCHAR(12)) AS `HBP`,
        6.0E0 + CAST(p_size % 7 AS DOUBLE) AS `K/9`, 2.0E0 + CAST(p_size % 3 AS DOUBLE) AS `BB/9`, 7.5E0 AS `H/9`, 1.25E0 AS `GB/FB`,
        CAST(200 + p_size AS DOUBLE) * 1.0E-3 AS `AVG`, 1.0E0 + CAST(p_size AS DOUBLE) * 1.0E-2 AS `WHIP`, 3.5E0 AS `SIERA`
-FROM {part} CROSS JOIN (SELECT 2024 AS yr UNION ALL SELECT 2025 AS yr) y
-WHERE p_partkey < 150
+FROM (SELECT *, 2024 AS yr FROM {part} UNION ALL SELECT *, 2025 AS yr FROM {part}) y
 """
 
 
@@ -138,29 +136,8 @@ def season_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SEASON_STATS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
-class Tables:
-    """The ingested tables of one input folder, written on first use."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.workspace = Workspace.for_inputs(
-            spark, [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet"])
-
-    def pitches(self) -> DataFrame:
-        """Flagged pitch events, partitioned by season so season filters skip files."""
-        return self.workspace.table(
-            "raw_statcast", lambda: raw.pitch_table(raw_pitches(self.spark, self.sf_dir)),
-            partition_by=["game_year"])
-
-    def players(self) -> DataFrame:
-        return self.workspace.table(
-            "player_id_map", lambda: raw.player_map(player_register(self.spark, self.sf_dir)))
-
-    def seasons(self) -> DataFrame:
-        return self.workspace.table(
-            "pitcher_season_stats", lambda: raw.season_stats(season_lines(self.spark, self.sf_dir)))
-
-    def register_views(self) -> None:
-        register(self.pitches(), "raw_statcast")
-        register(self.players(), "player_id_map")
-        register(self.seasons(), "pitcher_season_stats")
+def models(spark: SparkSession, sf_dir: str) -> Models:
+    """All tables and reports of one input folder."""
+    workspace = Workspace.for_inputs(spark, [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet"])
+    return Models(spark, workspace, lambda: raw_pitches(spark, sf_dir),
+                  lambda: player_register(spark, sf_dir), lambda: season_lines(spark, sf_dir))

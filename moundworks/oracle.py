@@ -560,6 +560,11 @@ BODIES: dict[str, tuple[str, str]] = {
     "runs_scored_global": ("SELECT pitch_pk, runs_scored FROM runs_global", ""),
     "runs_scored_game": ("SELECT pitch_pk, runs_scored FROM runs_game", ""),
     "runs_remaining": ("SELECT pitch_pk, runs_scored, runs_remaining FROM remaining", ""),
+    "inning_runs": (
+        "SELECT pitch_pk, CAST(sum(runs_scored) OVER (PARTITION BY game_pk, inning "
+        "ORDER BY at_bat_number, pitch_number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS runs_so_far, "
+        "CAST(sum(runs_scored) OVER (PARTITION BY game_pk, inning) AS BIGINT) AS total_runs, "
+        "runs_remaining FROM remaining", ""),
     "wpa": ("SELECT pitch_pk, runs_scored, wp_before, wp_after, actual_wpa FROM values_p",
             "wp_before wp_after actual_wpa"),
     "run_value_residual": ("SELECT pitch_pk, rv_residual FROM values_p", "rv_residual"),

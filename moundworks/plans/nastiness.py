@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moundworks import schema as S
@@ -44,7 +44,11 @@ def nastiness_plus(pitches: DataFrame) -> DataFrame:
     return plus_score(raw.where(F.col("is_good_outcome") == 1), {"Nastiness_plus": "nastiness_raw"})
 
 
+def top_order() -> list[Column]:
+    """Best first; equal scores by pitch key."""
+    return [F.col("Nastiness_plus").desc(), F.col("pitch_pk").asc()]
+
+
 def nastiest(scored: DataFrame, season: int = 2025, limit: int = 200) -> DataFrame:
-    """The season's top pitches; equal scores are ordered by pitch key."""
-    return scored.where(F.col("game_year") == season).orderBy(
-        F.col("Nastiness_plus").desc(), F.col("pitch_pk").asc()).limit(limit)
+    """The season's top pitches."""
+    return scored.where(F.col("game_year") == season).orderBy(*top_order()).limit(limit)

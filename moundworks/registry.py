@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from moundworks import fixtures
 from moundworks import schema as S
 from moundworks.functions import pitch as P
+from moundworks.models import Models
 from moundworks.operators import learn, metrics
 from moundworks.operators import states as G
 from moundworks.operators.quantile import exact_quantile
-from moundworks.plans import (
-    arsenal, clutch, nastiness, pitch_level, pitcher_level, raw, relief, stuff)
+from moundworks.operators.scan import running_sum
+from moundworks.plans import arsenal, nastiness, pitch_level, raw, relief, stuff
 from moundworks.sources import writers
 from moundworks.sources.readers import between
 
@@ -33,77 +34,6 @@ def rounded(df: DataFrame) -> DataFrame:
         for c, t in df.dtypes])
 
 
-class Models(fixtures.Tables):
-    """The tables the reports are joined from, each computed once per input folder."""
-
-    def stuff_matrix(self) -> DataFrame:
-        return self.workspace.table(
-            "stuff_matrix", lambda: stuff.training_matrix(self.pitches()),
-            partition_by=["pitch_type"], rebalance=True)
-
-    def stuff(self) -> DataFrame:
-        return self.workspace.table("pitcher_stuff", lambda: stuff.stuff_plus(self.stuff_matrix()))
-
-    def mean_target(self) -> DataFrame:
-        """A stuff score SQL can compute: the mean target instead of the mean prediction."""
-        return stuff.type_scores(self.stuff_matrix(), {"stuff": "target"})
-
-    def grade(self) -> DataFrame:
-        return self.workspace.table("pitch_grade", lambda: pitch_level.pitch_grade(self.pitches()))
-
-    def gap(self) -> DataFrame:
-        return pitch_level.pitch_gap(self.stuff(), self.grade())
-
-    def nastiness(self) -> DataFrame:
-        return nastiness.nastiness_plus(self.pitches())
-
-    def game_states(self) -> DataFrame:
-        """Narrow pitch rows with game state and runs, read by all expectancy and relief steps."""
-        return self.workspace.table("game_states", lambda: G.runs_in_game(
-            G.game_state(self.pitches().select(*relief.NEEDED))))
-
-    def win_table(self) -> DataFrame:
-        return self.workspace.table("win_expectancy", lambda: G.win_expectancy(self.game_states()))
-
-    def run_table(self) -> DataFrame:
-        return self.workspace.table("run_expectancy", lambda: G.run_expectancy(self.game_states()))
-
-    def pitch_values(self) -> DataFrame:
-        return clutch.pitch_values(self.pitches(), self.win_table())
-
-    def clutch_values(self) -> DataFrame:
-        return self.workspace.table("clutch_pitch_values", self.pitch_values)
-
-    def clutch(self) -> DataFrame:
-        return clutch.clutch(self.clutch_values())
-
-    def appearances(self) -> DataFrame:
-        return self.workspace.table("appearances", lambda: relief.appearances(self.game_states()))
-
-    def relief(self) -> DataFrame:
-        return relief.relief_run_prevention(self.appearances(), self.run_table(), self.win_table())
-
-    def profile(self, stuff_values: DataFrame) -> DataFrame:
-        return arsenal.pitch_profile(self.pitches(), stuff_values)
-
-    def fit_arsenal(self, stuff_values: DataFrame) -> tuple[DataFrame, dict]:
-        return arsenal.arsenal_scores(
-            arsenal.arsenal_features(self.profile(stuff_values)),
-            arsenal.k_rates(self.seasons(), self.players()), arsenal.xwoba_allowed(self.pitches()))
-
-    def arsenal(self) -> DataFrame:
-        return self.workspace.table("arsenal_plus", lambda: self.fit_arsenal(self.stuff())[0])
-
-    def pitch_level(self) -> DataFrame:
-        return pitch_level.pitch_level_model(
-            self.pitches(), self.grade(), self.stuff(), self.gap(), self.players())
-
-    def pitcher_level(self, arsenal_scores: DataFrame | None) -> DataFrame:
-        return pitcher_level.pitcher_level_model(
-            self.pitches(), self.players(), self.seasons(), self.clutch(), self.relief(),
-            arsenal_scores)
-
-
 def _pitch_pk() -> Column:
     return P.composite_key(*S.PITCH_KEY)
 
@@ -122,7 +52,7 @@ def _pitches_of_span(t: Models) -> DataFrame:
 
 
 def _season_numeric(t: Models) -> DataFrame:
-    return raw.season_numbers(fixtures.season_lines(t.spark, t.sf_dir)).select(
+    return raw.season_numbers(t.season_lines()).select(
         "IDfg", "player_name", "game_year", "team", *S.SEASON_NUMERIC)
 
 
@@ -203,6 +133,15 @@ def _runs(t: Models, runs) -> DataFrame:
                 ).select("pitch_pk", "runs_scored")
 
 
+def _inning_runs(t: Models) -> DataFrame:
+    """Total, running and remaining runs of the inning at every pitch."""
+    running = running_sum(t.game_states(), "runs_scored", "runs_so_far", S.PITCH_ORDER,
+                          ["game_pk", "inning"])
+    return G.runs_remaining(running).select(
+        _pitch_pk().alias("pitch_pk"), "runs_so_far", "runs_remaining",
+        (F.col("runs_so_far") + F.col("runs_remaining")).alias("total_runs"))
+
+
 def _leverage_cutoff(t: Models) -> DataFrame:
     cutoff = exact_quantile(t.clutch_values(), "leverage_index", S.LEVERAGE_QUANTILE)
     return t.clutch_values().agg(
@@ -241,7 +180,7 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "pitches_of_span": _pitches_of_span,
     "season_numeric_coerced": _season_numeric,
     "league_weighted_means": lambda t: raw.league_means(
-        raw.season_numbers(fixtures.season_lines(t.spark, t.sf_dir))),
+        raw.season_numbers(t.season_lines())),
     "season_era_fip_plus": _season_plus,
     "player_map_dedup": lambda t: t.players(),
     "row_counts": _row_counts,
@@ -283,6 +222,7 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "runs_scored_game": lambda t: _runs(t, G.runs_in_game),
     "runs_remaining": lambda t: G.runs_remaining(t.game_states()).select(
         _pitch_pk().alias("pitch_pk"), "runs_scored", "runs_remaining"),
+    "inning_runs": _inning_runs,
     "wpa": lambda t: t.pitch_values().select(
         _pitch_pk().alias("pitch_pk"), "runs_scored", "wp_before", "wp_after", "actual_wpa"),
     "run_value_residual": lambda t: t.clutch_values().select(
@@ -317,5 +257,5 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
 
 def queries() -> dict[str, Query]:
     def bound(build: Callable[[Models], DataFrame]) -> Query:
-        return lambda spark, sf_dir: rounded(build(Models(spark, sf_dir)))
+        return lambda spark, sf_dir: rounded(build(fixtures.models(spark, sf_dir)))
     return {name: bound(build) for name, build in QUERIES.items()}

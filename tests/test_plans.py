@@ -13,13 +13,12 @@ from moundworks import fixtures
 from moundworks import schema as S
 from moundworks.operators import states as G
 from moundworks.plans import nastiness, pitch_level, raw, relief, stuff
-from moundworks.registry import Models
 from moundworks.sources import readers, writers
 
 
 @pytest.fixture(scope="module")
 def models(spark):
-    return Models(spark, SMALL)
+    return fixtures.models(spark, SMALL)
 
 
 def executed(df) -> str:
