@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from moundworks import schema as S
 from moundworks.models import Models
-from moundworks.operators.ordinal import HOT_ROWS, ordinal
+from moundworks.operators.ordinal import ordinal
 from moundworks.storage import Workspace
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -120,7 +120,7 @@ FROM (SELECT *, 2024 AS yr FROM {part} UNION ALL SELECT *, 2025 AS yr FROM {part
 """
 
 
-def raw_pitches(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def raw_pitches(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
     """Pitch events; pitch numbers stay balanced when one order holds most lines."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
     numbered = ordinal(lines, "ln", ["l_orderkey"], LINE_ORDER, hot_rows)

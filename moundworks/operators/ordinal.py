@@ -12,13 +12,14 @@ HOT_ROWS = 1_000_000
 
 
 def ordinal(df: DataFrame, out: str, keys: list[str], order_by: list[str],
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+            hot_rows: int | None = None) -> DataFrame:
     """1-based ``row_number`` per key, exact for any order columns and any skew.
 
     Keys are counted first (one narrow, map-side combined aggregation). Those above ``hot_rows``
     are range partitioned over tasks and numbered part by part; the others use a plain window.
     """
-    hot_keys = cut_lineage(df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys))
+    hot_keys = cut_lineage(df.groupBy(*keys).count().where(
+        F.col("count") > (hot_rows or HOT_ROWS)).select(*keys))
     order = [F.col(c) for c in order_by]
     plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")
     if hot_keys.isEmpty():

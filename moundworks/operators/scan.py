@@ -75,9 +75,9 @@ def _before(value: str, w, kind: str) -> Column:
 
 
 def _scan_by(df, value, out, order_by, partition_by, kind, reverse=False,
-             task_rows=TASK_ROWS, width=WIDTH) -> DataFrame:
+             task_rows=None, width=None) -> DataFrame:
     return _scan(df, value, out, list(order_by), list(partition_by), kind=kind, reverse=reverse,
-                 task_rows=task_rows, width=width)
+                 task_rows=task_rows or TASK_ROWS, width=width or WIDTH)
 
 
 def previous_value(df: DataFrame, value: str, out: str, order_by: list[str],

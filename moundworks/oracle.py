@@ -25,7 +25,9 @@ def _plus(value: str, by: str = "", sign: str = "+", spread: str = "stddev_samp"
 
 
 def _zscore(value: str) -> str:
-    return f"({value} - avg({value}) OVER ()) / stddev_pop({value}) OVER ()"
+    """A column without spread scores 0."""
+    return (f"CASE WHEN stddev_pop({value}) OVER () = 0 THEN 0.0E0 * {value} "
+            f"ELSE ({value} - avg({value}) OVER ()) / stddev_pop({value}) OVER () END")
 
 
 def _number(column: str) -> str:
