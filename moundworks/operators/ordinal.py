@@ -27,9 +27,11 @@ def ordinal(df: DataFrame, out: str, keys: list[str], order_by: list[str],
 
     hot_keys = sized_lookup(hot_keys)
     cold = df.join(hot_keys, keys, "left_anti").withColumn(out, plain)
-    part = f"{out}_part"
+    part, copy = f"{out}_part", f"{out}_copy"
+    # the id tells exact copies apart, so that even a key made of copies spreads over tasks
+    order.append(F.col(copy))
     hot = cut_lineage(
-        df.join(hot_keys, keys, "left_semi")
+        df.join(hot_keys, keys, "left_semi").withColumn(copy, F.monotonically_increasing_id())
         .repartitionByRange(*[F.col(c) for c in keys], *order)
         .withColumn(part, F.spark_partition_id()), required=True)
     earlier = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)

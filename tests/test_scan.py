@@ -75,6 +75,15 @@ def test_ordinal_of_hot_keys(table, hot_rows):
     np.testing.assert_array_equal(result(got, "rn"), expected)
 
 
+def test_ordinal_spreads_exact_copies(spark):
+    copies = spark.range(3000).select(F.lit(1).alias("k"), F.lit(2).alias("o"))
+    df = copies.unionByName(spark.createDataFrame([(1, 1), (1, 3), (2, 2)], "k int, o int"))
+    got = ordinal(df, "rn", ["k"], ["o"], hot_rows=100)
+    ranks = got.where("k = 1").orderBy("rn").toPandas()
+    assert list(ranks["rn"]) == list(range(1, 3003))
+    assert list(ranks["o"]) == [1] + [2] * 3000 + [3]
+
+
 def test_empty_input(table):
     _, df = table
     none = df.where("game < 0")
