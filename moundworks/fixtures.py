@@ -7,10 +7,11 @@ The SQL texts run on Spark and, for the oracle, on DuckDB.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from moundworks import schema as S
 from moundworks.models import Models
-from moundworks.operators.ordinal import ordinal
+from moundworks.operators.scan import row_position
 from moundworks.storage import Workspace
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -120,10 +121,11 @@ FROM (SELECT *, 2024 AS yr FROM {part} UNION ALL SELECT *, 2025 AS yr FROM {part
 """
 
 
-def raw_pitches(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
+def raw_pitches(spark: SparkSession, sf_dir: str, task_rows: int | None = None) -> DataFrame:
     """Pitch events; pitch numbers stay balanced when one order holds most lines."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
-    numbered = ordinal(lines, "ln", ["l_orderkey"], LINE_ORDER, hot_rows)
+    numbered = row_position(lines, "before", LINE_ORDER, ["l_orderkey"], task_rows).withColumn(
+        "ln", F.col("before") + 1)
     pitches = spark.sql(RAW_PITCHES, numbered=numbered)
     return S.require_columns(pitches, S.RAW_PITCHES.fieldNames(), "pitch events")
 

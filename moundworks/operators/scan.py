@@ -3,22 +3,22 @@
 A plain window puts one partition key into one task, so a single hot game (or no key at all) would
 stall the job. A carry scan counts the groups first. Groups that fit a task get a plain window.
 Otherwise the window runs inside smaller runs of the order: rows with equal leading order columns
-or, where those are too many as well, ``WIDTH`` consecutive values of the last one. One summary row
-per run is then scanned the same way, and its result is carried into the run.
-
-Order columns are integers and identify a row within its group.
+or, where those are too many as well, the rows of one range partition. One summary row per run is
+then scanned the same way, and its result is carried into the run.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moundworks.storage import cut_lineage
 
-WIDTH = 4096
 TASK_ROWS = 1_000_000
+MAX_PARTS = 20_000
 
 
 def _directed(columns: list[str], reverse: bool) -> list[Column]:
@@ -32,8 +32,28 @@ def _largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _ranged(df: DataFrame, keys: list[str], order: list[str], part: str, copy: str,
+            task_rows: int) -> DataFrame:
+    """Rows in order over range partitions of about half ``task_rows``, numbered by ``part``.
+
+    ``copy`` tells rows with equal order columns apart, so copies of one row spread too. Partition
+    numbers must not be computed twice, hence the checkpoint.
+    """
+    parts = min(2 * df.count() // task_rows + 1, MAX_PARTS)
+    numbered = df.withColumn(copy, F.monotonically_increasing_id())
+    return cut_lineage(numbered.repartitionByRange(parts, *keys, *order, copy)
+                       .withColumn(part, F.spark_partition_id()), required=True)
+
+
+def _join_runs(df: DataFrame, carried: DataFrame, group: list[str], carry: str) -> DataFrame:
+    """Bring each run's carry to its rows; NULL keys are runs like any other."""
+    renamed = carried.select(*[F.col(c).alias(f"{carry}_{c}") for c in group], carry)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{carry}_{c}")) for c in group))
+    return df.join(renamed, same, "left").drop(*[f"{carry}_{c}" for c in group])
+
+
 def _scan(df: DataFrame, value: str, out: str, order: list[str], keys: list[str], *,
-          kind: str, reverse: bool, task_rows: int, width: int) -> DataFrame:
+          kind: str, reverse: bool, task_rows: int) -> DataFrame:
     """Add ``out``: the last ``value``, or the sum of them, over the rows before each row."""
     fitting = (n for n in range(len(order)) if _largest_group(df, [*keys, *order[:n]]) <= task_rows)
     depth = next(fitting, None)
@@ -41,10 +61,10 @@ def _scan(df: DataFrame, value: str, out: str, order: list[str], keys: list[str]
         w = W.partitionBy(*keys).orderBy(*_directed(order, reverse))
         return df.withColumn(out, _before(value, w, kind))
 
-    run = f"{out}_run"
+    part, copy, carry, first = (f"{out}_{tag}" for tag in ("part", "copy", "carry", "first"))
     if depth is None:
-        df = df.withColumn(run, F.floor(F.col(order[-1]) / width))
-        leading, tail = [*order[:-1], run], order[-1:]
+        df = _ranged(df, keys, order, part, copy, task_rows)
+        leading, tail = [part], [*order, copy]
     else:
         leading, tail = order[:depth], order[depth:]
     group = [*keys, *leading]
@@ -53,9 +73,8 @@ def _scan(df: DataFrame, value: str, out: str, order: list[str], keys: list[str]
     summary = {"last": (F.min_by if reverse else F.max_by)(F.col(value), rank),
                "sum": F.sum(value)}[kind]
     runs = cut_lineage(df.groupBy(*group).agg(summary.alias(value)))
-    carry, first = f"{out}_carry", f"{out}_first"
     carried = _scan(runs, value, carry, leading, keys, kind=kind, reverse=reverse,
-                    task_rows=task_rows, width=width).select(*group, carry)
+                    task_rows=task_rows if depth else TASK_ROWS)
 
     w = W.partitionBy(*group).orderBy(*_directed(tail, reverse))
     inside = df.withColumn(out, _before(value, w, kind))
@@ -64,7 +83,8 @@ def _scan(df: DataFrame, value: str, out: str, order: list[str], keys: list[str]
     else:
         inside = inside.withColumn(first, F.row_number().over(w) == 1)
         merged = F.when(F.col(first), F.col(carry)).otherwise(F.col(out))
-    return inside.join(carried, group, "left").withColumn(out, merged).drop(run, carry, first)
+    return _join_runs(inside, carried, group, carry).withColumn(out, merged).drop(
+        part, copy, carry, first)
 
 
 def _before(value: str, w, kind: str) -> Column:
@@ -74,48 +94,49 @@ def _before(value: str, w, kind: str) -> Column:
     return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
 
-def _scan_by(df, value, out, order_by, partition_by, kind, reverse=False,
-             task_rows=None, width=None) -> DataFrame:
+def _scan_by(df, value, out, order_by, partition_by, kind, reverse=False, task_rows=None) -> DataFrame:
     return _scan(df, value, out, list(order_by), list(partition_by), kind=kind, reverse=reverse,
-                 task_rows=task_rows or TASK_ROWS, width=width or WIDTH)
+                 task_rows=task_rows or TASK_ROWS)
 
 
 def previous_value(df: DataFrame, value: str, out: str, order_by: list[str],
-                   partition_by: list[str] = (), **limits: int) -> DataFrame:
+                   partition_by: list[str] = (), task_rows: int | None = None) -> DataFrame:
     """``value`` of the row before, within ``partition_by`` or over the whole table."""
-    return _scan_by(df, value, out, order_by, partition_by, "last", **limits)
+    return _scan_by(df, value, out, order_by, partition_by, "last", task_rows=task_rows)
 
 
 def ordered_delta(df: DataFrame, value: str, out: str, order_by: list[str],
-                  partition_by: list[str] = (), **limits: int) -> DataFrame:
+                  partition_by: list[str] = (), task_rows: int | None = None) -> DataFrame:
     """First difference in order; the first row and unknown differences are 0."""
     before = f"{out}_before"
-    df = previous_value(df, value, before, order_by, partition_by, **limits)
+    df = previous_value(df, value, before, order_by, partition_by, task_rows)
     return df.withColumn(out, F.coalesce(F.col(value) - F.col(before), F.lit(0))).drop(before)
 
 
 def sum_before(df: DataFrame, value: str, out: str, order_by: list[str],
-               partition_by: list[str] = (), **limits: int) -> DataFrame:
+               partition_by: list[str] = (), task_rows: int | None = None) -> DataFrame:
     """Sum of ``value`` over all earlier rows, the row itself left out."""
-    return _scan_by(df, value, out, order_by, partition_by, "sum", **limits)
+    return _scan_by(df, value, out, order_by, partition_by, "sum", task_rows=task_rows)
 
 
 def running_sum(df: DataFrame, value: str, out: str, order_by: list[str],
-                partition_by: list[str] = (), **limits: int) -> DataFrame:
-    df = sum_before(df, value, out, order_by, partition_by, **limits)
+                partition_by: list[str] = (), task_rows: int | None = None) -> DataFrame:
+    df = sum_before(df, value, out, order_by, partition_by, task_rows=task_rows)
     return df.withColumn(out, F.col(out) + F.coalesce(F.col(value), F.lit(0)))
 
 
 def sum_after(df: DataFrame, value: str, out: str, order_by: list[str],
-              partition_by: list[str] = (), **limits: int) -> DataFrame:
+              partition_by: list[str] = (), task_rows: int | None = None) -> DataFrame:
     """Group total minus running sum, without a join of the total."""
-    return _scan_by(df, value, out, order_by, partition_by, "sum", reverse=True, **limits)
+    return _scan_by(df, value, out, order_by, partition_by, "sum", reverse=True, task_rows=task_rows)
 
 
-def row_position(df: DataFrame, out: str, order_by: list[str], **limits: int) -> DataFrame:
-    """0-based position of each row in the whole table."""
+def row_position(df: DataFrame, out: str, order_by: list[str],
+                 partition_by: list[str] = (), task_rows: int | None = None) -> DataFrame:
+    """0-based position of each row in its group or in the whole table."""
     one = f"{out}_one"
-    return sum_before(df.withColumn(one, F.lit(1)), one, out, order_by, **limits).drop(one)
+    return sum_before(df.withColumn(one, F.lit(1)), one, out, order_by, partition_by,
+                      task_rows).drop(one)
 
 
 def contiguous_folds(df: DataFrame, out: str, order_by: list[str], k: int, n: int) -> DataFrame:

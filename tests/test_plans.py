@@ -35,7 +35,7 @@ def test_hot_order_gets_the_same_pitch_numbers(spark, models, tmp_path):
     lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
     hot = lines.withColumn("l_orderkey", F.when(F.col("l_suppkey") % 3 == 0, 77).otherwise(F.col("l_orderkey")))
     hot.write.parquet(f"{tmp_path}/lineitem.parquet")
-    split = fixtures.raw_pitches(spark, str(tmp_path), hot_rows=200).select(*S.PITCH_KEY, "zone")
+    split = fixtures.raw_pitches(spark, str(tmp_path), task_rows=200).select(*S.PITCH_KEY, "zone")
     plain = fixtures.raw_pitches(spark, str(tmp_path)).select(*S.PITCH_KEY, "zone")
     assert split.count() == plain.count() == 6000
     assert split.exceptAll(plain).isEmpty()

@@ -6,9 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from moundworks.operators import scan
-from moundworks.operators.ordinal import ordinal
 
-LIMITS = [{}, {"task_rows": 400}, {"task_rows": 60}, {"task_rows": 3, "width": 3}]
+LIMITS = [{}, {"task_rows": 400}, {"task_rows": 40}]
 
 
 @pytest.fixture(scope="module")
@@ -67,21 +66,23 @@ def test_folds_have_the_sizes_of_an_unshuffled_split(spark, n):
     np.testing.assert_array_equal(folds, expected)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 100])
-def test_ordinal_of_hot_keys(table, hot_rows):
+def test_positions_within_hot_keys(table):
     pdf, df = table
-    got = ordinal(df, "rn", ["game"], ["bat", "num"], hot_rows)
-    expected = pdf.groupby("game").cumcount() + 1
-    np.testing.assert_array_equal(result(got, "rn"), expected)
+    got = scan.row_position(df, "at", ["bat", "num"], ["game"], task_rows=100)
+    np.testing.assert_array_equal(result(got, "at"), pdf.groupby("game").cumcount())
 
 
-def test_ordinal_spreads_exact_copies(spark):
+def test_exact_copies_and_null_keys_spread_over_tasks(spark):
     copies = spark.range(3000).select(F.lit(1).alias("k"), F.lit(2).alias("o"))
-    df = copies.unionByName(spark.createDataFrame([(1, 1), (1, 3), (2, 2)], "k int, o int"))
-    got = ordinal(df, "rn", ["k"], ["o"], hot_rows=100)
-    ranks = got.where("k = 1").orderBy("rn").toPandas()
-    assert list(ranks["rn"]) == list(range(1, 3003))
-    assert list(ranks["o"]) == [1] + [2] * 3000 + [3]
+    others = [(1, 1), (1, None), (1, 3), (2, 2), (None, 1), (None, 2)]
+    df = copies.unionByName(spark.createDataFrame(others, "k int, o int"))
+    got = scan.row_position(df, "at", ["o"], ["k"], task_rows=100).toPandas()
+    one = got[got.k == 1].sort_values("at")
+    assert list(one["at"]) == list(range(3003))
+    assert list(one["o"].fillna(0)) == [0, 1] + [2] * 3000 + [3]
+    assert list(got[got.k.isna()].sort_values("at")["o"]) == [1, 2]
+    ranged = scan._ranged(df, ["k"], ["o"], "part", "copy", 100)
+    assert ranged.groupBy("part").count().agg(F.max("count")).first()[0] < 300
 
 
 def test_empty_input(table):
@@ -89,4 +90,3 @@ def test_empty_input(table):
     none = df.where("game < 0")
     assert scan.ordered_delta(none, "v", "d", ["bat", "num"], ["game"]).count() == 0
     assert scan.row_position(none, "at", ["game", "bat", "num"]).count() == 0
-    assert ordinal(none, "rn", ["game"], ["bat", "num"]).count() == 0
