@@ -18,6 +18,9 @@ from moundworks.operators.scan import contiguous_folds
 from moundworks.storage import cut_lineage
 
 ALPHAS = np.logspace(-3, 3, 50)
+# up to here a forest keeps each row's node of every tree (4 bytes * trees * rows over the cluster);
+# for more rows walking the trees again is cheaper than spilling that
+NODE_CACHE_ROWS = 20_000_000
 
 
 def column_means(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -188,9 +191,10 @@ def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], lab
     The forests train one after another over the whole cluster; ``parallel`` of them overlap so
     that the small last jobs of one do not leave executors idle.
     """
-    groups = sorted(r[0] for r in matrix.select(group).distinct().collect())
-    if not groups:
+    sizes = {r[0]: r["count"] for r in matrix.groupBy(group).count().collect()}
+    if not sizes:
         return None
+    groups = sorted(sizes, key=lambda value: (-sizes[value], value))  # large ones first
     means = column_means(matrix, features).first()
     learner = RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol="prediction",
@@ -204,7 +208,8 @@ def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], lab
         return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
     def fit(value):
-        return learner.fit(assemble(rows_of(value)).select("features", label))
+        cached = learner.copy().setCacheNodeIds(sizes[value] <= NODE_CACHE_ROWS)
+        return cached.fit(assemble(rows_of(value)).select("features", label))
 
     def predict(value, model):
         scored = rows_of(value)
