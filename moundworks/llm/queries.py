@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moundworks.llm import packing, token_file
+from moundworks.llm import byte_bpe, packing, simhash, token_file
 from moundworks.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_files(spark, docs, public_tokenizers.path(BYTE_BPE))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ranks = read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS)
+    encoded = byte_bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode(encoded, ranks))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(spark, read_table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(spark, docs, public_tokenizers.path(BYTE_BPE))
