@@ -60,8 +60,8 @@ def text_encoder(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoding_of(path, pattern)
         for batch in batches:
-            ids = [np.array(encoding.encode_ordinary(t or ""), "<u4").tobytes()
-                   for t in batch.column("text").to_pylist()]
+            ids = [np.array(encoding.encode_ordinary(t.as_py() or ""), "<u4").tobytes()
+                   for t in batch.column("text")]
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(ids, pa.binary())], [*names, "ids"])
@@ -167,15 +167,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{ENCODED}, decoded binary")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """Per document the number of ids and checksums of the ids in decimals and of the bytes."""
+def digest(encoded: DataFrame, path: str) -> DataFrame:
+    """Decodes one document at a time and returns the number of ids and checksums of the ids in
+    decimals and of the decoded bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_bytes = decoder_of(path)
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in batch.column("ids").to_pylist()]
+            rows = []
+            for raw in batch.column("ids"):
+                ids = np.frombuffer(raw.as_py(), "<u4").tolist()
+                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                             hashlib.sha256(to_bytes(ids)).hexdigest()))
+            n, of_ids, of_bytes = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64()),
-                "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(x).hexdigest()
-                                   for x in batch.column("decoded").to_pylist()]})
-    return decoded.mapInArrow(
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
+                "ids_sha256": pa.array(of_ids, pa.string()),
+                "decoded_sha256": pa.array(of_bytes, pa.string())})
+    return encoded.mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm import byte_bpe, packing, simhash, token_file
+from moundworks.llm import block_search, byte_bpe, metric_join, packing, simhash, token_file
 from moundworks.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,7 +23,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ranks = read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS)
     encoded = byte_bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digest(byte_bpe.decode(encoded, ranks))
+    return byte_bpe.digest(encoded, ranks)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(spark, docs, public_tokenizers.path(BYTE_BPE))
 
 
+def op10_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return block_search.nearest(spark, vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
