@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm import block_search, byte_bpe, metric_join, packing, simhash, token_file
+from moundworks.llm import (
+    block_search, byte_bpe, cross_parsing, metric_join, packing, simhash, token_file, toxicity)
 from moundworks.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,6 +36,22 @@ def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score(spark, docs, labels, _remainder(5) != 0)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = cross_parsing.identify(spark, docs, _remainder(3) != 1)
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(spark, docs, public_tokenizers.path(BYTE_BPE))
