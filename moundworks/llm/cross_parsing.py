@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS, SAMPLE_LETTERS = 64, 60_000
 BLOCK = 512
+#: Letters of a piece of training text that is kept or left out as a whole.
+SEGMENT = 256
 #: Letters with a class of their own; all others share ``SHARED`` classes by code point.
 OWN_CLASSES, SHARED = 96, 16
 GROUP_CHARS = 1 << 22
@@ -125,15 +127,6 @@ def automaton_table(goes: list[dict[int, int]], classes: int) -> np.ndarray:
     return table.astype(np.int32).ravel()
 
 
-def learn(samples: dict[str, list[str]]) -> tuple[Letters, dict[str, np.ndarray]]:
-    letters = Letters.seen_in([t for texts in samples.values() for t in texts])
-    tables = {}
-    for lang in sorted(samples):
-        classes, _ = letters.of(samples[lang])
-        tables[lang] = automaton_table(suffix_automaton(classes[:SAMPLE_LETTERS].tolist()), letters.count)
-    return letters, tables
-
-
 def phrase_counts(kinds: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray, classes: int) -> np.ndarray:
     """Phrases of each of ``n`` documents under one automaton."""
     sizes = np.bincount(doc, minlength=n)
@@ -155,6 +148,42 @@ def phrase_counts(kinds: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray,
     return np.bincount(owner[order], count, n)
 
 
+def _tables(segments: dict[str, list[np.ndarray]], classes: int) -> dict[str, np.ndarray]:
+    return {lang: automaton_table(suffix_automaton(
+        np.concatenate(parts)[:SAMPLE_LETTERS].tolist() if parts else []), classes)
+        for lang, parts in sorted(segments.items())}
+
+
+def learn(samples: dict[str, list[str]]) -> tuple[Letters, dict[str, np.ndarray]]:
+    """Letter classes and one table per language.
+
+    Labels hold for documents, which may quote another language. So each sampled document gives
+    segments, those of every other document are parsed by automata of the rest, and segments that
+    another language parses better are left out.
+    """
+    letters = Letters.seen_in([t for texts in samples.values() for t in texts])
+    share = 2 * SAMPLE_LETTERS // SAMPLE_ROWS
+    halves: list[dict[str, list[np.ndarray]]] = [{}, {}]
+    for lang, texts in samples.items():
+        for i, text in enumerate(texts):
+            kinds = letters.of([text])[0][:share]
+            halves[i % 2].setdefault(lang, []).extend(
+                kinds[a:a + SEGMENT] for a in range(0, len(kinds), SEGMENT))
+    kept: dict[str, list[np.ndarray]] = {lang: [] for lang in samples}
+    for own, other in (halves, halves[::-1]):
+        tables = _tables(other, letters.count)
+        for lang, segments in own.items():
+            if lang not in tables or not segments:
+                kept[lang] += segments
+                continue
+            doc = np.repeat(np.arange(len(segments)), [len(x) for x in segments])
+            phrases = {k: phrase_counts(np.concatenate(segments), doc, len(segments), t, letters.count)
+                       for k, t in tables.items()}
+            least = np.min(list(phrases.values()), 0)
+            kept[lang] += [x for x, fits in zip(segments, phrases[lang] == least) if fits]
+    return letters, _tables(kept, letters.count)
+
+
 def predictor(model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (classes, count), tables = model.value
