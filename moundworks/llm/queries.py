@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.llm import (
-    block_search, byte_bpe, cross_parsing, metric_join, packing, simhash, token_file, toxicity)
+    block_search, byte_bpe, cross_parsing, metric_join, packing, repeats, simhash, token_file,
+    toxicity)
 from moundworks.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -36,6 +37,10 @@ def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.repeated_spans(spark, read_table(spark, sf_dir, "documents")))
+
+
 def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
