@@ -42,10 +42,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 class Stages:
     """Tables one operator writes to the shared folder and reads back, which cuts their lineage."""
 
-    def __init__(self, spark: SparkSession, operator: str):
+    def __init__(self, spark: SparkSession, operator: str, compression: str = "snappy"):
         base = shared_dir(spark)
         if base is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        self.compression = compression
         self.spark, self.root = spark, f"{base.rstrip('/')}/{operator}-{uuid.uuid4().hex}"
 
     def folder(self, name: str) -> str:
@@ -53,7 +54,7 @@ class Stages:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         with shuffles_removed(self.spark):
-            df.write.parquet(self.folder(name))
+            df.write.option("compression", self.compression).parquet(self.folder(name))
         return self.spark.read.schema(df.schema).parquet(self.folder(name))
 
     def remove(self, *names: str) -> None:

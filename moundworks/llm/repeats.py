@@ -9,8 +9,8 @@ id is removed. Steps:
    sample shows in a large share of the documents are dealt out by text instead: they stay anyway.
 2. The bytes of the runs left are cut from the texts. Equal cuts are one, with the smallest and
    largest document, however often they occur.
-3. Each task sorts the suffixes of the cuts of its keys (a suffix array with its common prefixes),
-   scans the tree of common-prefix intervals with a stack, and puts out the maximal repeats: groups
+3. Each task sorts the suffixes of the cuts of its keys whose first ``MIN_BYTES`` bytes occur
+   again (a suffix array with its common prefixes), scans the tree of common-prefix intervals with a stack, and puts out the maximal repeats: groups
    of at least ``MIN_BYTES`` whose left neighbours differ, with all their occurrences. A key with
    many cuts is dealt out by the hash of the string at each start.
 4. Every start learns the smallest document of the repeats that hold it; where that is smaller than
@@ -182,16 +182,22 @@ def shared_runs(rows: pd.DataFrame) -> pd.DataFrame:
 class SuffixArray:
     """Suffixes of short strings, in order, with the length each shares with the one before."""
 
-    def __init__(self, cuts: list[bytes], picked=None):
+    def __init__(self, cuts: list[bytes], salts=None):
         sizes = np.array([len(c) for c in cuts])
         per = sizes - MIN_BYTES + 1
         self.cut = np.repeat(np.arange(len(cuts)), per)
         self.at = np.arange(len(self.cut)) - np.repeat(np.cumsum(per) - per, per)
         text = np.frombuffer(b"".join(cuts) + bytes(WIDTH), np.uint8)
         place = (np.cumsum(sizes) - sizes)[self.cut] + self.at
-        if picked is not None:
-            mine = picked(text, place, self.cut)
-            self.cut, self.at, place = self.cut[mine], self.at[mine], place[mine]
+        prefix = string_hashes(text, place)
+        if salts is not None:
+            mine = (prefix >> np.uint64(33)).astype(np.int64) % salts[0][self.cut] == salts[1][self.cut]
+            self.cut, self.at, place, prefix = self.cut[mine], self.at[mine], place[mine], prefix[mine]
+        # a suffix whose first string occurs once shares no interval with another
+        order = np.argsort(prefix)
+        same = np.append(False, prefix[order][1:] == prefix[order][:-1])
+        met = np.sort(order[same | np.append(same[1:], False)])
+        self.cut, self.at, place = self.cut[met], self.at[met], place[met]
         length = sizes[self.cut] - self.at
         left = np.where(self.at > 0, text[place - 1].astype(np.int64), -1)
         table = np.lib.stride_tricks.sliding_window_view(text, WIDTH)[place]
@@ -237,7 +243,7 @@ class SuffixArray:
                         stack.append([now, first, before])
 
 
-def smallest_documents(cuts: list[bytes], lowest: np.ndarray, picked=None) -> tuple[np.ndarray, np.ndarray]:
+def smallest_documents(cuts: list[bytes], lowest: np.ndarray, salts=None) -> tuple[np.ndarray, np.ndarray]:
     """For every start of every cut, the smallest document of the repeats that hold its string.
 
     Returns the offsets of the cuts' starts and the documents.
@@ -245,7 +251,7 @@ def smallest_documents(cuts: list[bytes], lowest: np.ndarray, picked=None) -> tu
     per = np.array([len(c) for c in cuts]) - MIN_BYTES + 1
     offset = np.cumsum(per) - per
     smallest = np.repeat(lowest, per)  # equal cuts are a repeat of their own
-    array = SuffixArray(cuts, picked)
+    array = SuffixArray(cuts, salts)
     place, documents = offset[array.cut] + array.at, lowest[array.cut]
     for length, first, last in array.maximal_repeats():
         low = documents[first:last + 1].min()
@@ -278,13 +284,8 @@ def array_scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _scan(table: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
     cuts = table.column("bytes").to_pylist()
     lowest, highest = (table.column(c).to_numpy() for c in ("lowest", "highest"))
-    picked = None
-    if salted:
-        of, salt = table.column("salts").to_numpy(), table.column("salt").to_numpy()
-
-        def picked(text, place, cut):
-            return string_salts(text, place, of[cut]) == salt[cut]
-    offset, smallest = smallest_documents(cuts, lowest, picked)
+    salts = (table.column("salts").to_numpy(), table.column("salt").to_numpy()) if salted else None
+    offset, smallest = smallest_documents(cuts, lowest, salts)
     ends = np.append(offset[1:], len(smallest))
     rows = []
     for k, cut, a, b, high in zip(table.column("key").to_pylist(), table.column("cut").to_pylist(),
@@ -303,12 +304,12 @@ def _scan(table: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
             ["key", "cut", "removals"])
 
 
-def string_salts(text: np.ndarray, place: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """Which of ``salts`` parts of a hot key the string at each place belongs to."""
+def string_hashes(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of the ``MIN_BYTES`` bytes at each place."""
     grams = gram_hashes(text)
-    both = grams[place] * np.uint64(3) + grams[place + MIN_BYTES - GRAM]
+    both = (grams[place] * np.uint64(3) + grams[place + GRAM]) * np.uint64(5) + grams[place + MIN_BYTES - GRAM]
     both ^= both >> np.uint64(32)
-    return ((both * np.uint64(BASE)) >> np.uint64(33)).astype(np.int64) % salts
+    return both * np.uint64(BASE)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -323,7 +324,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text, spans) of every row; spans are the maximal removed runs of UTF-8 bytes."""
-    stages = Stages(spark, "repeats")
+    stages = Stages(spark, "repeats", compression="zstd")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("same"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -337,13 +338,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # the bytes of the runs, from the first document of each text
     listed = runs.groupBy("same").agg(F.collect_list(F.struct("start", "n", "key")).alias("runs"))
     sources = listed.join(firsts.select("same", F.col("first").alias("doc")), "same")
-    cut = F.transform("runs", lambda r: F.struct(
-        r["start"].alias("start"), r["key"].alias("key"),
-        F.substring(F.encode("text", "UTF-8"), r["start"] + 1, r["n"] + MIN_BYTES - 1).alias("bytes")))
-    once = rows.select("same", "doc", "text").dropDuplicates(["same", "doc"])
-    cuts = once.join(sources, ["same", "doc"]).select("same", "doc", F.inline(cut)).withColumn(
-        "cut", F.xxhash64("bytes"))
+    cut = F.transform(F.array(F.col("text").cast("binary")), lambda text: F.transform(
+        "runs", lambda r: F.struct(
+            r["start"].alias("start"), r["key"].alias("key"),
+            F.substring(text, r["start"] + 1, r["n"] + MIN_BYTES - 1).alias("bytes"))))[0]
+    cuts = rows.select("same", "doc", "text").join(sources, ["same", "doc"]).select(
+        "same", "doc", F.inline(cut)).withColumn("cut", F.xxhash64("bytes"))
     cuts = stages.write("cuts", cuts)
+    stages.remove("runs")
     distinct = cuts.groupBy("key", "cut", "bytes").agg(
         F.min("doc").alias("lowest"), F.max("doc").alias("highest"))
     distinct = stages.write("distinct", distinct)
@@ -354,6 +356,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tasks = 1 + distinct.count() // ARRAY_CUTS
     found = dealt.repartition(int(tasks), "key", "salt").mapInArrow(array_scanner, REMOVALS)
     found = stages.write("found", found)
+    stages.remove("distinct")
 
     # back to the documents
     removals = cuts.select("same", "doc", "start", "key", "cut").join(found, ["key", "cut"])
