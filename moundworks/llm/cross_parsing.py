@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_ROWS, SAMPLE_LETTERS = 64, 60_000
 BLOCK = 512
@@ -35,7 +36,8 @@ OWN_CLASSES, SHARED = 96, 16
 GROUP_CHARS = 1 << 22
 NEXT = (1 << 28) - 1
 UNDETERMINED = "und"
-PREDICTED = "doc_id long, lang_pred string, score double, phrases_per_letter double"
+PREDICTED = (T.StructType().add("lang_pred", "string").add("score", "double")
+             .add("phrases_per_letter", "double"))
 
 
 def labelled_sample(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
@@ -184,13 +186,13 @@ def learn(samples: dict[str, list[str]]) -> tuple[Letters, dict[str, np.ndarray]
     return letters, _tables(kept, letters.count)
 
 
-def predictor(model):
+def predictor(model, carry: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (classes, count), tables = model.value
         letters = Letters(classes, count)
         langs = list(tables)
         for batch in batches:
-            ids, texts, at = batch.column("doc_id"), batch.column("text").to_pylist(), 0
+            texts, at = batch.column("text").to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end] or "") <= GROUP_CHARS):
@@ -206,23 +208,24 @@ def predictor(model):
                 best = phrases.argmin(0) if langs else np.zeros(n, int)
                 least = phrases.min(0) if langs else np.zeros(n)
                 score = 1 / np.exp(np.maximum(least - phrases, -50) / 2).sum(0) if langs else np.zeros(n)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids.slice(at, n),
-                    "lang_pred": pa.array([langs[b] if k else UNDETERMINED for b, k in zip(best, known)],
-                                          pa.string()),
-                    "score": pa.array(np.where(known, score, 0.0)),
-                    "phrases_per_letter": pa.array(
-                        np.where(known, least / np.maximum(count, 1), 0.0))})
+                found = (
+                    pa.array([langs[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string()),
+                    pa.array(np.where(known, score, 0.0)),
+                    pa.array(np.where(known, least / np.maximum(count, 1), 0.0)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(at, n) for c in carry), *found],
+                    [*carry, "lang_pred", "score", "phrases_per_letter"])
                 at = end
     return predict
 
 
-def identify(spark: SparkSession, docs: DataFrame, learn_from: Column) -> DataFrame:
-    """(doc_id, lang_pred, score, phrases_per_letter) of every row of (doc_id, text, lang).
+def identify(spark: SparkSession, docs: DataFrame, learn_from: Column,
+             carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, lang_pred, score and phrases_per_letter of every row.
 
     ``learn_from`` marks the rows whose ``lang`` may be learned from.
     """
-    docs = docs.select("doc_id", "text", "lang")
-    letters, tables = learn(labelled_sample(docs, learn_from))
+    letters, tables = learn(labelled_sample(docs.select("doc_id", "text", "lang"), learn_from))
     model = spark.sparkContext.broadcast(((letters.classes, letters.count), tables))
-    return docs.select("doc_id", "text").mapInArrow(predictor(model), PREDICTED)
+    schema = T.StructType([docs.schema[c] for c in carry] + PREDICTED.fields)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(predictor(model, list(carry)), schema)

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.llm import (
-    block_search, byte_bpe, cross_parsing, metric_join, packing, repeats, simhash, token_file,
-    toxicity)
+    block_search, byte_bpe, cross_parsing, metric_join, packing, privacy, repeats, simhash,
+    token_file, toxicity)
 from moundworks.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.summary(privacy.find(spark, read_table(spark, sf_dir, "documents")))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_file.token_files(spark, docs, public_tokenizers.path(BYTE_BPE))

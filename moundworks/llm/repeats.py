@@ -323,10 +323,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) of every row; spans are the maximal removed runs of UTF-8 bytes."""
+    """All columns and ``spans`` of every row: the removed strings in UTF-8 bytes, which may overlap."""
     stages = Stages(spark, "repeats", compression="zstd")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("same"))
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(
+        F.lit(0).alias("-"), *others).alias("others")).select(
+        "doc_id", "text", "others", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("same"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     firsts = stages.write("firsts", rows.groupBy("same", F.sha2("text", 256).alias("sum")).agg(
         F.min("doc").alias("first")))
@@ -370,10 +372,33 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<a:int,b:int>>")
     joined = rows.withColumn("sum", F.sha2("text", 256)).join(known, ["same", "sum"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.octet_length("text") >= MIN_BYTES)
-    return joined.select("doc_id", "text", F.when(copy, whole).when(
+    own = [F.col("others")[c].alias(c) if c not in ("doc_id", "text") else F.col(c) for c in docs.columns]
+    return joined.select(*own, F.when(copy, whole).when(
         F.col("doc") == F.col("first"), F.coalesce("spans", none)).otherwise(none).alias("spans"))
 
 
+def without_repeats(found: DataFrame) -> DataFrame:
+    """The rows with the characters that lie wholly in removed bytes taken out of ``text``."""
+    names = [c for c in found.columns if c != "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
+                data, parts, at = text.as_py().encode(), [], 0
+                for a, b in merged([(s["a"], s["b"]) for s in spans.as_py()]):
+                    while a < b and data[a] & 0xC0 == 0x80:
+                        a += 1
+                    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+                        b -= 1
+                    parts.append(data[at:a])
+                    at = b
+                texts.append(b"".join([*parts, data[at:]]).decode())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+    return found.mapInArrow(run, found.drop("spans").schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Sizes, removed bytes and runs, and the checksum of the bytes that stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
