@@ -43,6 +43,7 @@ WIDTH = MIN_BYTES + MAX_RUN - 1
 GROUP_BYTES, BUCKET_RUNS, ARRAY_CUTS = 1 << 18, 1_000_000, 25_000
 #: Documents in the sample for frequent keys, and the share of them that makes a key frequent.
 SAMPLE_DOCS, FREQUENT_SHARE = 2_000, 0.02
+GROUPS_AT_ONCE = 2_000
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 
@@ -204,11 +205,11 @@ class SuffixArray:
         table[np.arange(WIDTH)[None, :] >= length[:, None]] = 0
         order = np.argsort(table.view(f"S{WIDTH}").ravel(), kind="stable")
         self.cut, self.at, self.left, length = self.cut[order], self.at[order], left[order], length[order]
-        table = table[order]
         self.common = np.zeros(len(order), np.int64)
-        for a in range(1, len(order), 65_536):
-            b = min(a + 65_536, len(order))
-            differ = table[a:b] != table[a - 1:b - 1]
+        for a in range(1, len(order), 32_768):
+            b = min(a + 32_768, len(order))
+            some = table[order[a - 1:b]]
+            differ = some[1:] != some[:-1]
             first = np.where(differ.any(1), differ.argmax(1), WIDTH)
             self.common[a:b] = np.minimum(first, np.minimum(length[a:b], length[a - 1:b - 1]))
 
@@ -252,15 +253,26 @@ def smallest_documents(cuts: list[bytes], lowest: np.ndarray, salts=None) -> tup
     offset = np.cumsum(per) - per
     smallest = np.repeat(lowest, per)  # equal cuts are a repeat of their own
     array = SuffixArray(cuts, salts)
+    groups = np.array(list(array.maximal_repeats()), np.int64).reshape(-1, 3)
     place, documents = offset[array.cut] + array.at, lowest[array.cut]
-    for length, first, last in array.maximal_repeats():
-        low = documents[first:last + 1].min()
-        at = place[first:last + 1]
-        for shift in range(length - MIN_BYTES + 1):
-            smallest[at + shift] = np.minimum(smallest[at + shift], low)
+    for a in range(0, len(groups), GROUPS_AT_ONCE):
+        length, first, last = groups[a:a + GROUPS_AT_ONCE].T
+        low = np.minimum.reduceat(np.append(documents, LAST), np.stack([first, last + 1], 1).ravel())[::2]
+        group, member = _expanded(last - first + 1)
+        member += first[group]
+        above = documents[member] > low[group]
+        group, member = group[above], member[above]
+        which, shift = _expanded(length[group] - MIN_BYTES + 1)
+        np.minimum.at(smallest, place[member][which] + shift, low[group][which])
     return offset, smallest
 
 
+def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each count n, its index n times and 0 to n - 1."""
+    index = np.repeat(np.arange(len(counts)), counts)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 REMOVALS = "key long, cut long, removals array<struct<first:int,last:int,low:long>>"
 
 
@@ -286,22 +298,22 @@ def _scan(table: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
     lowest, highest = (table.column(c).to_numpy() for c in ("lowest", "highest"))
     salts = (table.column("salts").to_numpy(), table.column("salt").to_numpy()) if salted else None
     offset, smallest = smallest_documents(cuts, lowest, salts)
-    ends = np.append(offset[1:], len(smallest))
-    rows = []
-    for k, cut, a, b, high in zip(table.column("key").to_pylist(), table.column("cut").to_pylist(),
-                                  offset.tolist(), ends.tolist(), highest.tolist()):
-        own = smallest[a:b]
-        edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), b - a]
-        found = [{"first": s, "last": e - 1, "low": int(own[s])} for s, e in zip(edges, edges[1:])
-                 if own[s] < high]
-        if found:
-            rows.append((k, cut, found))
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("low", pa.int64())]))
-    if rows:
-        keys, ids, found = zip(*rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(found, kind)],
-            ["key", "cut", "removals"])
+    head = np.zeros(len(smallest), bool)
+    head[offset] = True
+    begins = np.flatnonzero(head | np.append(True, smallest[1:] != smallest[:-1]))
+    owner = np.searchsorted(offset, begins, "right") - 1
+    ends = np.append(begins[1:], len(smallest))
+    removed = smallest[begins] < highest[owner]
+    begins, owner, ends = begins[removed], owner[removed], ends[removed]
+    with_any, counts = np.unique(owner, return_counts=True)
+    spans = pa.StructArray.from_arrays(
+        [pa.array((begins - offset[owner]).astype(np.int32)),
+         pa.array((ends - 1 - offset[owner]).astype(np.int32)), pa.array(smallest[begins])],
+        ["first", "last", "low"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), spans)
+    yield pa.RecordBatch.from_arrays(
+        [table.column(c).combine_chunks().take(pa.array(with_any)) for c in ("key", "cut")] + [lists],
+        ["key", "cut", "removals"])
 
 
 def string_hashes(text: np.ndarray, place: np.ndarray) -> np.ndarray:
