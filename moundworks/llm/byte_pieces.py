@@ -22,7 +22,7 @@ PIECES = re.compile(
 #: A white-space run after a visible character always begins a piece.
 SEAM = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
 SLICE_CHARS = 1 << 20
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
 
 
 def byte_letters() -> list[str]:

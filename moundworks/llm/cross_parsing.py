@@ -27,13 +27,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS, SAMPLE_LETTERS = 64, 60_000
+SAMPLE_ROWS, SAMPLE_LETTERS = 64, 40_000
 BLOCK = 512
 #: Letters of a piece of training text that is kept or left out as a whole.
 SEGMENT = 256
 #: Letters with a class of their own; all others share ``SHARED`` classes by code point.
 OWN_CLASSES, SHARED = 96, 16
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 20
 NEXT = (1 << 28) - 1
 UNDETERMINED = "und"
 PREDICTED = (T.StructType().add("lang_pred", "string").add("score", "double")
@@ -107,7 +107,7 @@ class Letters:
         """Classes of the letters and single spaces of all texts, and the text each belongs to."""
         texts = [t.lower() for t in texts]
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
         kind = self.classes[points]
         space = kind == 0
         first = np.concatenate([[True], doc[1:] != doc[:-1]])[:len(doc)]
