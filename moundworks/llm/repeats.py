@@ -335,7 +335,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All columns and ``spans`` of every row: the removed strings in UTF-8 bytes, which may overlap."""
+    """(row, spans): all columns, and the removed strings in UTF-8 bytes, which may overlap."""
     stages = Stages(spark, "repeats", compression="zstd")
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(
@@ -385,18 +385,20 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     joined = rows.withColumn("sum", F.sha2("text", 256)).join(known, ["same", "sum"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.octet_length("text") >= MIN_BYTES)
     own = [F.col("others")[c].alias(c) if c not in ("doc_id", "text") else F.col(c) for c in docs.columns]
-    return joined.select(*own, F.when(copy, whole).when(
+    return joined.select(F.struct(*own).alias("row"), F.when(copy, whole).when(
         F.col("doc") == F.col("first"), F.coalesce("spans", none)).otherwise(none).alias("spans"))
 
 
 def without_repeats(found: DataFrame) -> DataFrame:
     """The rows with the characters that lie wholly in removed bytes taken out of ``text``."""
-    names = [c for c in found.columns if c != "spans"]
+    schema = found.schema["row"].dataType
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            row = batch.column("row")
+            for text, spans in zip(row.field("text"), batch.column("spans")):
                 data, parts, at = text.as_py().encode(), [], 0
                 for a, b in merged([(s["a"], s["b"]) for s in spans.as_py()]):
                     while a < b and data[a] & 0xC0 == 0x80:
@@ -407,8 +409,8 @@ def without_repeats(found: DataFrame) -> DataFrame:
                     at = b
                 texts.append(b"".join([*parts, data[at:]]).decode())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
-    return found.mapInArrow(run, found.drop("spans").schema)
+                [pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in names], names)
+    return found.mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -416,7 +418,7 @@ def digest(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            for text, spans in zip(batch.column("row").field("text"), batch.column("spans")):
                 data, kept, at = (text.as_py() or "").encode(), hashlib.sha256(), 0
                 spans = merged([(s["a"], s["b"]) for s in spans.as_py()])
                 for a, b in spans:
@@ -426,7 +428,8 @@ def digest(found: DataFrame) -> DataFrame:
                 rows.append((len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds))],
+                [batch.column("row").field("doc_id"),
+                 *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     return found.mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
