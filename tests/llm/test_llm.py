@@ -34,7 +34,7 @@ ROWS = [
     (7, "Écoute ça : “naïf” — 你好, мир! \x1c   ﬁn 🎉🎉 ²½ don't <|endoftext|>"),
     (8, prose(4, 4_000)), (9, "x" * 3_000 + " " + "é" * 300), (10, "ab" * 200 + "\n" + "ab" * 100),
     (11, "Mail a.b+c@mail.example.org@x.y from 10.0.0.255 or 1.2.3.256, call +1 (555) 010-9999 now; card "
-         "4111 1111-1111 1111 and 4111111111111112, token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\""),
+         "4111 1111-1111 1111 and 4111111111111112, token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" " + prose(6, 90)),
     (12, prose(0, 80) + ". " + SHARED + prose(1, 39) + " other"), (12, prose(5, 20)), (4, "two words"),
     (None, prose(0, 80) + ". " + SHARED), (None, None), (13, "nul \x00 byte " * 30), (14, "nul \x00 byte " * 29),
 ]
