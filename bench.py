@@ -19,7 +19,7 @@ HEADLINE = [
     "season_era_fip_plus", "player_map_dedup", "whiff_plus", "contact_plus", "strike_plus",
     "ball_plus", "chase_plus", "pitch_grade_plus", "pitch_profile_usage", "pitch_physics_features",
     "stuff_target", "stuff_plus", "pitch_level_model", "nastiness_plus", "nastiness_top200",
-    "win_expectancy", "run_expectancy", "wpa", "clutch_score", "approach_angles", "arsenal_features",
+    "win_expectancy", "run_expectancy", "wpa", "clutch_score", "approach_angles", "arsenal_features_of_targets",
     "arsenal_plus", "entry_state", "relief_run_prevention_plus", "pitcher_level_model",
 ]
 

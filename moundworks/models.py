@@ -62,7 +62,8 @@ class Models:
         return self.workspace.table("pitch_grade", lambda: pitch_level.pitch_grade(self.pitches()))
 
     def gap(self) -> DataFrame:
-        return pitch_level.pitch_gap(self.stuff(), self.grade())
+        return self.workspace.table(
+            "pitcher_pitch_gap", lambda: pitch_level.pitch_gap(self.stuff(), self.grade()))
 
     def nastiness(self) -> DataFrame:
         return nastiness.nastiness_plus(self.pitches())
@@ -85,13 +86,14 @@ class Models:
         return self.workspace.table("clutch_pitch_values", self.pitch_values)
 
     def clutch(self) -> DataFrame:
-        return clutch.clutch(self.clutch_values())
+        return self.workspace.table("pitcher_clutch", lambda: clutch.clutch(self.clutch_values()))
 
     def appearances(self) -> DataFrame:
         return self.workspace.table("appearances", lambda: relief.appearances(self.game_states()))
 
     def relief(self) -> DataFrame:
-        return relief.relief_run_prevention(self.appearances(), self.run_table(), self.win_table())
+        return self.workspace.table("relief_run_prevention_plus", lambda: relief.relief_run_prevention(
+            self.appearances(), self.run_table(), self.win_table()))
 
     def profile(self, stuff_values: DataFrame) -> DataFrame:
         return arsenal.pitch_profile(self.pitches(), stuff_values)

@@ -143,9 +143,10 @@ def ridge_cv(df: DataFrame, features: list[str], label: str, order_by: list[str]
 
     One aggregation yields the moments of every fold (k rows, p^2 numbers); all k * len(alphas)
     fits are solved from them. Columns are centred first so the sums keep their precision.
+    Rows with a NULL feature or label take no part; their prediction is NULL.
     """
     columns = [*features, label]
-    rows = cut_lineage(df.where(known(label)).select(*order_by, *columns))  # read three times
+    rows = cut_lineage(df.where(known(*columns)).select(*order_by, *columns))  # read three times
     n, *centre = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()
     if n < k or any(v is None for v in centre):
         return RidgeModel(features)

@@ -42,7 +42,7 @@ def _ranged(df: DataFrame, keys: list[str], order: list[str], part: str, copy: s
     parts = min(2 * df.count() // task_rows + 1, MAX_PARTS)
     numbered = df.withColumn(copy, F.monotonically_increasing_id())
     return cut_lineage(numbered.repartitionByRange(parts, *keys, *order, copy)
-                       .withColumn(part, F.spark_partition_id()), required=True)
+                       .withColumn(part, F.spark_partition_id()))
 
 
 def _join_runs(df: DataFrame, carried: DataFrame, group: list[str], carry: str) -> DataFrame:

@@ -579,14 +579,14 @@ BODIES: dict[str, tuple[str, str]] = {
     "xwoba_two_level": ("SELECT * FROM xwoba_s", "xwoba_allowed"),
     "approach_angles": ('SELECT pitch_pk, t_plate, vx_plate, vy_plate, vz_plate, "VAA", "HAA" FROM flown',
                         "t_plate vx_plate vy_plate vz_plate VAA HAA"),
-    "arsenal_profile": ("SELECT * FROM profile", "avg_velo avg_ivb avg_hb avg_vaa stuff_value "
+    "arsenal_profile_of_targets": ("SELECT * FROM profile", "avg_velo avg_ivb avg_hb avg_vaa stuff_value "
                         "usage_weight weighted_stuff"),
-    "usage_weighted_base": ("SELECT * FROM base", "base_score"),
+    "usage_weighted_base_of_targets": ("SELECT * FROM base", "base_score"),
     "k_rate_by_pitcher": ("SELECT * FROM k_rates", "K_percent"),
-    "arsenal_interactions": ("SELECT * FROM inter", "velo_int ivb_int hb_int vaa_int stuff_int "
+    "arsenal_interactions_of_targets": ("SELECT * FROM inter", "velo_int ivb_int hb_int vaa_int stuff_int "
                              "min_shape_distance"),
-    "arsenal_advanced": ("SELECT * FROM advanced", "tunnel_score velo_band mirror_score"),
-    "arsenal_features": (
+    "arsenal_advanced_of_targets": ("SELECT * FROM advanced", "tunnel_score velo_band mirror_score"),
+    "arsenal_features_of_targets": (
         "SELECT * FROM arsenals",
         "base_score velo_int ivb_int hb_int vaa_int stuff_int min_shape_distance tunnel_score "
         "velo_band mirror_score"),

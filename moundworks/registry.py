@@ -232,13 +232,13 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "clutch_top5": lambda t: _top(t.clutch(), "Clutch_Score"),
     "xwoba_two_level": lambda t: arsenal.xwoba_allowed(t.pitches()),
     "approach_angles": _approach_angles,
-    "arsenal_profile": lambda t: t.profile(t.mean_target()),
-    "usage_weighted_base": lambda t: arsenal.base_scores(t.profile(t.mean_target())),
+    "arsenal_profile_of_targets": lambda t: t.profile(t.mean_target()),
+    "usage_weighted_base_of_targets": lambda t: arsenal.base_scores(t.profile(t.mean_target())),
     "k_rate_by_pitcher": lambda t: arsenal.k_rates(t.seasons(), t.players()),
-    "arsenal_interactions": _arsenal_interactions,
-    "arsenal_advanced": lambda t: arsenal.advanced_interactions(t.profile(t.mean_target())),
-    "arsenal_features": lambda t: arsenal.arsenal_features(t.profile(t.mean_target())),
-    "arsenal_plus": lambda t: t.fit_arsenal(t.stuff())[0],
+    "arsenal_interactions_of_targets": _arsenal_interactions,
+    "arsenal_advanced_of_targets": lambda t: arsenal.advanced_interactions(t.profile(t.mean_target())),
+    "arsenal_features_of_targets": lambda t: arsenal.arsenal_features(t.profile(t.mean_target())),
+    "arsenal_plus": lambda t: t.arsenal(),
     "arsenal_plus_of_targets": lambda t: t.fit_arsenal(t.mean_target())[0],
     "ridge_weights": lambda t: learn.weight_report(t.spark, t.fit_arsenal(t.stuff())[1]),
     "ridge_weights_of_targets": lambda t: learn.weight_report(

@@ -44,11 +44,11 @@ def build(spark: SparkSession, pitches: str, register: str, seasons: str, out: s
     tables |= {
         "pitch_grade": models.grade(),
         "pitcher_stuff": models.stuff(),
-        "pitcher_pitch_gap": keep("pitcher_pitch_gap", models.gap),
+        "pitcher_pitch_gap": models.gap(),
         "pitch_nastiness": keep("pitch_nastiness", models.nastiness),
-        "pitcher_clutch": keep("pitcher_clutch", models.clutch),
+        "pitcher_clutch": models.clutch(),
         "arsenal_plus": models.arsenal(),
-        "relief_run_prevention_plus": keep("relief_run_prevention_plus", models.relief),
+        "relief_run_prevention_plus": models.relief(),
         "pitch_level_model": keep("pitch_level_model", models.pitch_level),
         "pitcher_level_model": keep(
             "pitcher_level_model", lambda: models.pitcher_level(models.arsenal())),

@@ -10,10 +10,33 @@ from moundworks import schema as S
 from moundworks.functions.text import nan_to_null
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, what: str) -> DataFrame:
-    if path.rstrip("/").endswith(".csv"):
-        return spark.read.schema(schema).option("header", True).csv(path)
-    return S.require_columns(spark.read.parquet(path), schema.fieldNames(), what)
+def _read(spark: SparkSession, path: str, schema: T.StructType, what: str,
+          file_format: str | None = None) -> DataFrame:
+    """Columns are found by name, whatever their order, and cast to the schema's types.
+
+    Values that do not parse, and NaN in nullable numbers, become NULL; columns that the schema does
+    not name pass through. ``file_format`` is csv or parquet; by default the path's ending tells.
+    """
+    file_format = file_format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
+    reader = spark.read.option("header", True) if file_format == "csv" else spark.read
+    df = S.require_columns(reader.format(file_format).load(path), schema.fieldNames(), what)
+    return df.withColumns({f.name: _typed(df.schema[f.name].dataType, f)
+                           for f in schema.fields if df.schema[f.name].dataType != f.dataType})
+
+
+def _typed(stored: T.DataType, field: T.StructField):
+    value = F.col(f"`{field.name}`")
+    if isinstance(stored, (T.DoubleType, T.FloatType)):
+        value = F.when(~F.isnan(value), value)
+        if isinstance(field.dataType, T.StringType):  # ids that were stored as numbers
+            whole = value.cast("long")
+            value = F.when(value == whole, whole.cast("string")).otherwise(value.cast("string"))
+    elif isinstance(stored, T.StringType):
+        value = F.when(F.trim(value) != "", F.trim(value))
+        if isinstance(field.dataType, (T.LongType, T.IntegerType)):
+            number = value.try_cast("double")  # such as 10.0
+            value = F.coalesce(value.try_cast("long"), F.when(~F.isnan(number), number).try_cast("long"))
+    return value.try_cast(field.dataType)
 
 
 def read_season_stats(spark: SparkSession, path: str,

@@ -17,31 +17,31 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The reliable folder of this session, or None when the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        made = tempfile.mkdtemp(prefix="moundworks-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
-    return None
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame, required: bool = False) -> DataFrame:
-    """Reliable checkpoint of an intermediate that several plans read.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; else one in the warehouse that executors share.
 
-    ``required`` marks results that must not be computed twice, such as partition numbers.
+    Only a session that runs in one process (``local``) takes a folder of this machine. The caller's
+    settings stay as they are.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if folder is None:
-        if required:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if context.master == "local" or context.master.startswith("local["):
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="moundworks-")
+        return _LOCAL_FOLDERS[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_moundworks"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an intermediate that several plans read or that must not change."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
