@@ -53,7 +53,7 @@ l2 AS (
               WHEN h2 % 9 <= 2 THEN 'FF' WHEN h2 % 9 <= 4 THEN 'SL' WHEN h2 % 9 = 5 THEN 'SI'
               WHEN h2 % 9 <= 7 THEN 'CH' ELSE 'FC' END AS pitch_type
   FROM l1)
-SELECT pitcher, game_pk, 2024 + game_pk % 2 AS game_year,
+SELECT pitcher, 'Last, ' || CAST(pitcher AS VARCHAR(12)) AS player_name, game_pk, 2024 + game_pk % 2 AS game_year,
        CAST(CAST(2024 + game_pk % 2 AS VARCHAR(4)) || '-06-15' AS DATE) AS game_date,
        ab AS at_bat_number, ln AS pitch_number, inning,
        CASE WHEN half = 0 THEN 'Top' ELSE 'Bot' END AS inning_topbot,

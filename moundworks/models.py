@@ -52,11 +52,16 @@ class Models:
             partition_by=["pitch_type"], rebalance=True)
 
     def stuff(self) -> DataFrame:
-        return self.workspace.table("pitcher_stuff", lambda: stuff.stuff_plus(self.stuff_matrix()))
+        return self.workspace.table("pitcher_stuff", lambda: stuff.stuff_plus(self.predictions()))
 
-    def mean_target(self) -> DataFrame:
-        """A stuff score SQL can compute: the mean target instead of the mean prediction."""
-        return stuff.type_scores(self.stuff_matrix(), {"stuff": "target"})
+    def predictions(self) -> DataFrame:
+        """The forests' predictions per pitch."""
+        return self.workspace.table(
+            "pitch_predictions", lambda: stuff.predictions(self.stuff_matrix()))
+
+    def mean_target(self, *scores: str) -> DataFrame:
+        """Stuff scores SQL can compute: the mean target instead of the mean prediction."""
+        return stuff.type_scores(self.stuff_matrix(), dict.fromkeys(scores or ["stuff"], "target"))
 
     def grade(self) -> DataFrame:
         return self.workspace.table("pitch_grade", lambda: pitch_level.pitch_grade(self.pitches()))
@@ -110,6 +115,12 @@ class Models:
         return pitch_level.pitch_level_model(
             self.pitches(), self.grade(), self.stuff(), self.gap(), self.players())
 
+    def pitch_level_of_targets(self) -> DataFrame:
+        stuff_scores = self.mean_target("stuff", "shape", "velo")
+        return pitch_level.pitch_level_model(
+            self.pitches(), self.grade(), stuff_scores,
+            pitch_level.pitch_gap(stuff_scores, self.grade()), self.players())
+
     def pitcher_level(self, arsenal_scores: DataFrame | None) -> DataFrame:
         return pitcher_level.pitcher_level_model(
             self.pitches(), self.players(), self.seasons(), self.clutch(), self.relief(),

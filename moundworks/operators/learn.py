@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,13 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.operators.metrics import known, z_score
-from moundworks.operators.scan import contiguous_folds
+from moundworks.operators.scan import contiguous_folds, row_position
 from moundworks.storage import cut_lineage
 
 ALPHAS = np.logspace(-3, 3, 50)
-# up to here a forest keeps each row's node of every tree (4 bytes * trees * rows over the cluster);
-# for more rows walking the trees again is cheaper than spilling that
-NODE_CACHE_ROWS = 20_000_000
+# a forest per group is one fit after the other; more groups than this are no forest's case
+MAX_FORESTS = 1_000
 
 
 def column_means(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -181,39 +181,62 @@ def residual(df: DataFrame, label: str, base: str, out: str,
 
 # --- forests --------------------------------------------------------------------------------
 
+def forest_layout(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """``rows`` over a number of partitions, and in an order, that depend on the data alone.
+
+    A bootstrap is seeded by partition, so the same rows give the same forest on any cluster. The
+    partitions grow with the square root of ``n``, their rows likewise. Rows are dealt by their position
+    in the order of ``key`` and a hash of the other columns, so copies of one row spread.
+    """
+    parts, at, rest = math.ceil(math.sqrt(n / 1000)), "forest_row", "forest_hash"
+    others = [c for c in rows.columns if c not in key]
+    placed = row_position(rows.withColumn(rest, F.xxhash64(*others)), at, [*key, rest])
+    return placed.repartition(parts, at).sortWithinPartitions(at).drop(at, rest)
+
+
 def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], label: str,
-                         views: dict[str, list[str]], *, trees: int = 120, depth: int = 8,
-                         min_leaf: int = 75, seed: int = 42, parallel: int = 2) -> DataFrame | None:
+                         views: dict[str, list[str]], *, key: list[str] = (), trees: int = 120,
+                         depth: int = 8, min_leaf: int = 75, bins: int = 32, seed: int = 42,
+                         parallel: int = 2, node_cache_rows: int = 20_000_000) -> DataFrame | None:
     """A random forest per ``group`` value and its predictions on its own rows.
 
     ``views`` maps an output column to the features that keep their values in it; the others are
     set to their mean over all groups. ``matrix`` should be a stored table partitioned by
-    ``group``: every fit then scans its own files, and their layout makes the bootstrap repeatable.
+    ``group``: every fit then scans its own files. ``key`` orders the rows of a group, so that the
+    forest depends on the rows alone (``forest_layout``).
+    ``bins`` bounds the split candidates of a feature; an exact-split forest has one per value.
     The forests train one after another over the whole cluster; ``parallel`` of them overlap so
-    that the small last jobs of one do not leave executors idle.
+    that the small last jobs of one do not leave executors idle. Up to ``node_cache_rows`` rows a
+    fit keeps each row's node of every tree (4 bytes * trees * rows over the cluster); beyond, walking
+    the trees again is cheaper than spilling that. The forest is the same either way.
+    More than ``MAX_FORESTS`` groups are refused.
     """
-    sizes = {r[0]: r["count"] for r in matrix.groupBy(group).count().collect()}
+    sizes = {r[0]: r["count"] for r in matrix.groupBy(group).count().limit(MAX_FORESTS + 1).collect()}
+    if len(sizes) > MAX_FORESTS:
+        raise ValueError(f"{group} has more than {MAX_FORESTS} values")
     if not sizes:
         return None
     groups = sorted(sizes, key=lambda value: (-sizes[value], value))  # large ones first
     means = column_means(matrix, features).first()
     learner = RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol="prediction",
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, maxBins=bins,
         featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed, maxMemoryInMB=512)
     assemble = VectorAssembler(inputCols=features, outputCol="features").transform
     cores = matrix.sparkSession.sparkContext.defaultParallelism
 
     def rows_of(value):
-        rows = matrix.where(F.col(group) == value)
-        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+        return matrix.where(F.col(group) == value)
 
     def fit(value):
-        cached = learner.copy().setCacheNodeIds(sizes[value] <= NODE_CACHE_ROWS)
-        return cached.fit(assemble(rows_of(value)).select("features", label))
+        cached = learner.copy().setCacheNodeIds(sizes[value] <= node_cache_rows)
+        rows = forest_layout(rows_of(value).select(*key, *features, label), list(key), sizes[value])
+        return cached.fit(assemble(rows).select("features", label))
 
     def predict(value, model):
         scored = rows_of(value)
+        if scored.rdd.getNumPartitions() < cores:  # predictions do not depend on the layout
+            scored = scored.repartition(cores)
         for out, kept in views.items():
             view = [F.col(f) if f in kept else F.lit(m) for f, m in zip(features, means)]
             names = [f"{f}_view" for f in features]

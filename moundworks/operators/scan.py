@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from moundworks.storage import cut_lineage
 
 TASK_ROWS = 1_000_000
-MAX_PARTS = 20_000
 
 
 def _directed(columns: list[str], reverse: bool) -> list[Column]:
@@ -39,7 +38,7 @@ def _ranged(df: DataFrame, keys: list[str], order: list[str], part: str, copy: s
     ``copy`` tells rows with equal order columns apart, so copies of one row spread too. Partition
     numbers must not be computed twice, hence the checkpoint.
     """
-    parts = min(2 * df.count() // task_rows + 1, MAX_PARTS)
+    parts = 2 * df.count() // task_rows + 1
     numbered = df.withColumn(copy, F.monotonically_increasing_id())
     return cut_lineage(numbered.repartitionByRange(parts, *keys, *order, copy)
                        .withColumn(part, F.spark_partition_id()))

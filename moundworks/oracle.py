@@ -476,7 +476,7 @@ NASTY_DOUBLES = [
     "pfx_x", "pfx_z", "ivb", "hb", "spin", "expected_movement", *S.NASTINESS_FEATURES,
     "nastiness_raw", "Nastiness_plus"]
 NASTY_COLUMNS = [
-    "pitch_pk", "pitcher", "pitch_type", "pitch_name", "game_year", "description", "game_date", "inning",
+    "pitch_pk", "pitcher", "player_name", "pitch_type", "pitch_name", "game_year", "description", "game_date", "inning",
     "inning_topbot", "outs_when_up", "balls", "strikes", "is_good_outcome", *NASTY_DOUBLES]
 
 # query name -> (body, double columns to round)
@@ -499,6 +499,21 @@ BODIES: dict[str, tuple[str, str]] = {
       UNION ALL SELECT 'pitcher_season_stats', count(*) FROM seasons
       UNION ALL SELECT 'stuff_events', count(*) FROM eligible
       UNION ALL SELECT 'nasty_outcomes', count(*) FROM nasty WHERE is_good_outcome = 1""", ""),
+    "register_from_csv": ("SELECT * FROM players", ""),
+    "season_numeric_from_csv": (
+        f'SELECT "IDfg", player_name, game_year, team, {", ".join(S.SEASON_NUMERIC)} FROM numbers '
+        "WHERE game_year = 2025", " ".join(S.SEASON_NUMERIC)),
+    "pitches_from_files": ("SELECT pitch_pk, pitcher, description FROM p WHERE game_date "
+                           "BETWEEN DATE '2025-03-01' AND DATE '2025-12-31'", ""),
+    "sql_over_views": (
+        'SELECT r.game_year, count(*) AS n_pitches, count(DISTINCT r.pitcher) AS n_pitchers, '
+        'count(s."IDfg") AS in_season_lines FROM p r LEFT JOIN players m ON r.pitcher = m.key_mlbam '
+        'LEFT JOIN seasons s ON m.key_fangraphs = s."IDfg" AND r.game_year = s.game_year '
+        "GROUP BY r.game_year", ""),
+    "table_create_only": ('SELECT "IDfg", game_year, team, true AS refused FROM seasons', ""),
+    "csv_round_trip": (
+        'SELECT row_number() OVER (ORDER BY "Clutch_Score" DESC NULLS LAST, pitcher, game_year) - 1 AS place, '
+        'pitcher, game_year, "Clutch_Score" FROM clutch', "Clutch_Score"),
     "whiff_plus": ("SELECT * FROM whiff", "whiff_rate Whiff_plus"),
     "contact_plus": ("SELECT * FROM contact", "contact_woba Contact_plus"),
     "strike_plus": ("SELECT * FROM strike", "strike_rate Strike_plus"),
@@ -591,6 +606,25 @@ BODIES: dict[str, tuple[str, str]] = {
         "base_score velo_int ivb_int hb_int vaa_int stuff_int min_shape_distance tunnel_score "
         "velo_band mirror_score"),
     "stuff_plus_of_targets": ("SELECT * FROM stuff_t", "stuff_value Stuff_plus"),
+    "forest_facts": (
+        "SELECT m.pitch_type, m.pitches, true AS unbiased, true AS better_than_mean, true AS velocity_alone, "
+        "scored_seasons, scored_pitches, CASE WHEN scored_seasons > 0 THEN true END AS centred "
+        "FROM (SELECT pitch_type, count(*) AS pitches FROM matrix GROUP BY pitch_type) m LEFT JOIN "
+        "(SELECT pitch_type, count(*) AS scored_seasons, CAST(sum(pitches) AS BIGINT) AS scored_pitches "
+        "FROM stuff_t GROUP BY pitch_type) s USING (pitch_type)", ""),
+    "pitch_level_model_of_targets": (
+        "SELECT c.pitcher, full_name, c.season, c.pitch_type, pitches_thrown, usage_rate, release_speed, "
+        "release_pos_x, release_pos_y, release_extension, arm_angle, release_spin_rate, horizontal_break, "
+        "vertical_break, spin_axis, whiffs, swings, csw_rate, called_strikes, hard_hits, barrels, "
+        'g."Whiff_plus" AS whiff_plus, g."Contact_plus", g."Chase_plus", g."Strike_plus", g."Ball_plus", '
+        'g.pitch_score AS "Pitch_score", g."PitchGrade_plus", t."Stuff_plus" AS velo_plus, '
+        't."Stuff_plus" AS shape_plus, t."Stuff_plus" AS stuff_plus, t."PitchGap" '
+        "FROM counts c JOIN grade g ON c.pitcher = g.pitcher AND c.season = g.game_year "
+        "AND c.pitch_type = g.pitch_type JOIN players ON c.pitcher = key_mlbam "
+        "JOIN gap_t t ON c.pitcher = t.pitcher AND c.season = t.game_year AND c.pitch_type = t.pitch_type",
+        "usage_rate csw_rate release_speed release_pos_x release_pos_y release_extension arm_angle "
+        "release_spin_rate horizontal_break vertical_break spin_axis whiff_plus Contact_plus Chase_plus "
+        "Strike_plus Ball_plus Pitch_score PitchGrade_plus velo_plus shape_plus stuff_plus PitchGap"),
     "pitch_gap_of_targets": ("SELECT * FROM gap_t", "Stuff_plus PitchGrade_plus PitchGap"),
     "arsenal_plus_of_targets": ("SELECT * FROM arsenal_t", "ArsenalK_plus ArsenalDesign_plus"),
     "ridge_weights_of_targets": (WEIGHT_ROWS, "alpha coefficient"),

@@ -10,8 +10,9 @@ from moundworks.functions import pitch as P
 from moundworks.operators.learn import pca_norm
 from moundworks.operators.metrics import known, plus_score
 
+# The published columns, in order.
 SCAN_COLUMNS = [
-    "pitch_pk", "pitcher", "pitch_type", "pitch_name", "game_year", "description", "game_date",
+    "pitch_pk", "pitcher", "player_name", "pitch_type", "pitch_name", "game_year", "description", "game_date",
     "inning", "inning_topbot", "outs_when_up", "balls", "strikes", "release_speed",
     "release_spin_rate", "release_pos_x", "release_pos_z", "release_extension", "pfx_x", "pfx_z",
 ]
@@ -19,10 +20,9 @@ SCAN_COLUMNS = [
 
 def features(pitches: DataFrame) -> DataFrame:
     """Shape features of pitches thrown in earnest; incomplete rows are dropped."""
-    passed_on = [c for c in ("player_name",) if c in pitches.columns]
     thrown = pitches.where(
-        (F.col("release_speed") >= S.MIN_SPEED) & (F.col("pitch_type") != S.EEPHUS_CODE)
-    ).select(*SCAN_COLUMNS, *passed_on)
+        (F.col("release_speed") >= S.MIN_SPEED) & (F.col("pitch_type") != S.UNSPECIFIED_FASTBALL)
+    ).select(*SCAN_COLUMNS)
     return thrown.withColumns(P.movement()).withColumns({
         "ivb_abs": F.abs("ivb"),
         "hb_abs": F.abs("hb"),

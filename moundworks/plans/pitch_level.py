@@ -138,6 +138,7 @@ def _outcome_counts() -> list[Column]:
     ]
 
 
+# Published column names.
 PROFILE_MEANS = {
     "release_speed": "release_speed", "release_pos_x": "release_pos_x",
     "release_pos_y": "release_pos_y", "release_extension": "release_extension",
@@ -167,6 +168,7 @@ def season_counts(pitches: DataFrame) -> DataFrame:
     return pitches.groupBy("pitcher", F.col("game_year").alias("season")).agg(*_outcome_counts())
 
 
+# The published columns, in order.
 PITCH_LEVEL_COLUMNS = [
     "pitcher", "full_name", "season", "pitch_type", "pitches_thrown", "usage_rate",
     "release_speed", "release_pos_x", "release_pos_y", "release_extension", "arm_angle",
@@ -192,7 +194,7 @@ def pitch_level_order() -> list[Column]:
 
 def pitch_level_model(pitches: DataFrame, grade: DataFrame, stuff: DataFrame, gap: DataFrame,
                       players: DataFrame) -> DataFrame:
-    """Everything known about each pitch of each pitcher-season."""
+    """Everything known about each pitch of each pitcher-season; the sink orders it."""
     key = ["pitcher", "season", "pitch_type"]
     stuff_scores = stuff.select(
         "pitcher", F.col("game_year").alias("season"), "pitch_type",
@@ -201,4 +203,4 @@ def pitch_level_model(pitches: DataFrame, grade: DataFrame, stuff: DataFrame, ga
     gaps = gap.select("pitcher", F.col("game_year").alias("season"), "pitch_type", "PitchGap")
     return (graded_profile(pitches, grade, players)
             .join(stuff_scores, key, "inner").join(gaps, key, "inner")
-            .select(*PITCH_LEVEL_COLUMNS).orderBy(*pitch_level_order()))
+            .select(*PITCH_LEVEL_COLUMNS))

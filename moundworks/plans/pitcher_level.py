@@ -47,4 +47,4 @@ def pitcher_level_model(pitches: DataFrame, players: DataFrame, seasons: DataFra
     if arsenal is not None:
         joined = joined.join(by_season(arsenal), key, "inner")
     joined = joined.join(reliefs, key, "left")
-    return joined.select(*[f"`{c}`" for c in COLUMNS if c in joined.columns]).orderBy(*order())
+    return joined.select(*[f"`{c}`" for c in COLUMNS if c in joined.columns])

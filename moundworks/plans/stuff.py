@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moundworks import schema as S
@@ -82,7 +84,7 @@ def training_matrix(pitches: DataFrame) -> DataFrame:
     featured = own_features(eligible_pitches(pitches))
     return with_target(relative_features(featured)).where(
         known(*S.STUFF_FEATURES, "target")
-    ).select("pitcher", "game_year", "pitch_type", *S.STUFF_FEATURES, "target")
+    ).select(*S.PITCH_KEY, "game_year", "pitch_type", *S.STUFF_FEATURES, "target")
 
 
 def score_pitches(matrix: DataFrame, **forest) -> DataFrame | None:
@@ -90,7 +92,7 @@ def score_pitches(matrix: DataFrame, **forest) -> DataFrame | None:
     return fit_predict_by_group(
         matrix, "pitch_type", S.STUFF_FEATURES, "target",
         {"stuff_pred": S.STUFF_FEATURES, "velo_pred": S.VELOCITY_FEATURES,
-         "shape_pred": S.SHAPE_FEATURES}, **forest)
+         "shape_pred": S.SHAPE_FEATURES}, key=S.PITCH_KEY, **forest)
 
 
 def type_scores(scored: DataFrame, predictions: dict[str, str], min_pitches: int = 10) -> DataFrame:
@@ -107,11 +109,46 @@ def type_scores(scored: DataFrame, predictions: dict[str, str], min_pitches: int
     return plus_score(kept, scores, ["pitch_type"])
 
 
-def stuff_plus(matrix: DataFrame, min_pitches: int = 10, **forest) -> DataFrame:
-    """Stuff+, Shape+ and Velo+ per pitcher, season and type."""
-    predictions = {"stuff": "stuff_pred", "shape": "shape_pred", "velo": "velo_pred"}
+PREDICTIONS = {"stuff": "stuff_pred", "shape": "shape_pred", "velo": "velo_pred"}
+
+
+def predictions(matrix: DataFrame, **forest) -> DataFrame:
+    """The forests' predictions per pitch with what a check of them reads."""
     scored = score_pitches(matrix, **forest)
     if scored is None:
         none = F.lit(None).cast("double")
-        scored = matrix.withColumns({c: none for c in predictions.values()})
-    return type_scores(scored, predictions, min_pitches)
+        scored = matrix.withColumns({c: none for c in PREDICTIONS.values()})
+    return scored.select(*S.PITCH_KEY, "game_year", "pitch_type", *S.VELOCITY_FEATURES, "target",
+                         *PREDICTIONS.values())
+
+
+def stuff_plus(scored: DataFrame, min_pitches: int = 10) -> DataFrame:
+    """Stuff+, Shape+ and Velo+ per pitcher, season and type from the predictions per pitch."""
+    return type_scores(scored, PREDICTIONS, min_pitches)
+
+
+def forest_facts(scored: DataFrame, scores: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """What must hold of any forest, per pitch type.
+
+    Each score has mean 100 and deviation 10; the mean prediction is the mean target up to
+    ``tolerance``; the error is at most that of the type's mean target; pitches with equal velocity
+    features have equal velocity predictions.
+    """
+    def scaled(name: str) -> Column:
+        plus = f"{name.title()}_plus"
+        fits = (F.abs(F.avg(plus) - 100) < 1e-6) & (F.abs(F.stddev_samp(plus) - 10) < 1e-6)
+        return F.when(F.stddev_samp(f"{name}_value") > 1e-9, fits).otherwise(True)  # else all are equal
+
+    centred = reduce(lambda a, b: a & b, map(scaled, PREDICTIONS))
+    of_scores = scores.groupBy("pitch_type").agg(
+        F.count("*").alias("scored_seasons"), F.sum("pitches").alias("scored_pitches"),
+        centred.alias("centred"))
+    miss = F.col("target") - F.col("stuff_pred")
+    of_pitches = scored.groupBy("pitch_type").agg(
+        F.count("*").alias("pitches"),
+        (F.abs(F.avg(miss)) <= tolerance).alias("unbiased"),
+        (F.avg(miss * miss) <= F.var_pop("target") * (1 + tolerance) + 1e-12).alias("better_than_mean"))
+    alike = scored.groupBy("pitch_type", *S.VELOCITY_FEATURES).agg(
+        (F.max("velo_pred") - F.min("velo_pred")).alias("apart")).groupBy("pitch_type").agg(
+        (F.max("apart") < 1e-9).alias("velocity_alone"))
+    return of_pitches.join(alike, "pitch_type").join(of_scores, "pitch_type", "left")

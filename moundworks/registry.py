@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from moundworks.operators import states as G
 from moundworks.operators.quantile import exact_quantile
 from moundworks.operators.scan import running_sum
 from moundworks.plans import arsenal, nastiness, pitch_level, raw, relief, stuff
-from moundworks.sources import writers
+from moundworks.sources import readers, writers
 from moundworks.sources.readers import between
 
 GRID = 2.0 ** 20
@@ -171,6 +172,60 @@ def _arsenal_interactions(t: Models) -> DataFrame:
     return arsenal.interactions(t.profile(t.mean_target()))
 
 
+def _reversed_csv(t: Models, df: DataFrame, name: str) -> str:
+    """A CSV file whose columns stand in another order than the schema's."""
+    path = f"{t.workspace.new_path(name)}.csv"
+    df.select(*[f"`{c}`" for c in reversed(df.columns)]).write.option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _register_from_csv(t: Models) -> DataFrame:
+    path = _reversed_csv(t, t.player_register(), "register")
+    return raw.player_map(readers.read_player_register(t.spark, path))
+
+
+def _seasons_from_csv(t: Models) -> DataFrame:
+    path = _reversed_csv(t, t.season_lines(), "seasons")
+    return raw.season_numbers(readers.read_season_stats(t.spark, path, 2025, 2025)).select(
+        "IDfg", "player_name", "game_year", "team", *S.SEASON_NUMERIC)
+
+
+def _pitches_from_files(t: Models) -> DataFrame:
+    path = t.workspace.new_path("pitches")
+    writers.write_table(t.raw_pitches(), path, partition_by=["game_year"])
+    return readers.read_pitches(t.spark, path, "2025-03-01", "2025-12-31").select(
+        _pitch_pk().alias("pitch_pk"), "pitcher", "description")
+
+
+def _sql_over_views(t: Models) -> DataFrame:
+    t.register_views()
+    return t.spark.sql("""
+        SELECT r.game_year, count(*) AS n_pitches, count(DISTINCT r.pitcher) AS n_pitchers,
+               count(s.IDfg) AS in_season_lines
+        FROM raw_statcast r LEFT JOIN player_id_map m ON r.pitcher = m.key_mlbam
+             LEFT JOIN pitcher_season_stats s ON m.key_fangraphs = s.IDfg AND r.game_year = s.game_year
+        GROUP BY r.game_year""")
+
+
+def _create_only(t: Models) -> DataFrame:
+    """A table that is created once; a second creation is refused."""
+    path, lines = t.workspace.new_path("created"), t.seasons().select("IDfg", "game_year", "team")
+    stored, refused = writers.write_table(lines, path, fail_if_exists=True), False
+    try:
+        writers.write_table(lines, path, fail_if_exists=True)
+    except AnalysisException:
+        refused = True
+    return stored.withColumn("refused", F.lit(refused))
+
+
+def _csv_round_trip(t: Models) -> DataFrame:
+    """A sorted export and the places its rows have in the files."""
+    path, scores = t.workspace.new_path("clutch_csv"), t.clutch().select("pitcher", "game_year", "Clutch_Score")
+    writers.export_csv(scores, path, [F.col("Clutch_Score").desc(), F.col("pitcher"), F.col("game_year")])
+    return readers.in_file_order(t.spark, path, scores.schema, "place")
+
+
 def _top(df: DataFrame, score: str, n: int = 5) -> DataFrame:
     return df.orderBy(F.col(score).desc(), "pitcher", "game_year").limit(n)
 
@@ -184,6 +239,12 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "season_era_fip_plus": _season_plus,
     "player_map_dedup": lambda t: t.players(),
     "row_counts": _row_counts,
+    "register_from_csv": _register_from_csv,
+    "season_numeric_from_csv": _seasons_from_csv,
+    "pitches_from_files": _pitches_from_files,
+    "sql_over_views": _sql_over_views,
+    "table_create_only": _create_only,
+    "csv_round_trip": _csv_round_trip,
     "whiff_plus": lambda t: pitch_level.whiff_plus(t.pitches()),
     "contact_plus": lambda t: pitch_level.contact_plus(t.pitches()),
     "strike_plus": lambda t: pitch_level.strike_plus(t.pitches()),
@@ -204,9 +265,11 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "feature_means": lambda t: learn.column_means(t.stuff_matrix(), S.STUFF_FEATURES),
     "stuff_plus": lambda t: t.stuff(),
     "stuff_plus_of_targets": lambda t: t.mean_target(),
+    "forest_facts": lambda t: stuff.forest_facts(t.predictions(), t.stuff()),
     "pitch_gap": lambda t: t.gap(),
     "pitch_gap_of_targets": lambda t: pitch_level.pitch_gap(t.mean_target(), t.grade()),
     "pitch_level_model": lambda t: t.pitch_level(),
+    "pitch_level_model_of_targets": lambda t: t.pitch_level_of_targets(),
     "nastiness_features": _nastiness_features,
     "nastiness_standardized": _nastiness_standardized,
     "nastiness_plus": lambda t: t.nastiness().select(

@@ -14,7 +14,7 @@ BALL_EVENTS = ["ball", "blocked_ball", "ball_in_dirt"]
 STUFF_EVENTS = [*WHIFF_EVENTS, "called_strike", "foul", "hit_into_play"]
 NASTY_EVENTS = [*WHIFF_EVENTS, "called_strike", "foul_tip"]
 FASTBALLS = ["FF", "SI", "FC"]
-EEPHUS_CODE = "FA"
+UNSPECIFIED_FASTBALL = "FA"
 
 MIN_SPEED = 70.0
 HARD_HIT_SPEED = 95
@@ -93,7 +93,7 @@ RAW_PITCHES = _struct(
          "on_1b on_2b on_3b home_score away_score bat_score fld_score zone",
     int="game_year",
     date="game_date",
-    string="inning_topbot description pitch_type pitch_name stand p_throws",
+    string="player_name inning_topbot description pitch_type pitch_name stand p_throws",
     double="release_speed release_spin_rate pfx_x pfx_z release_pos_x release_pos_y release_pos_z "
            "release_extension vx0 vy0 vz0 ax ay az launch_speed launch_angle "
            "estimated_woba_using_speedangle arm_angle spin_axis api_break_z_with_gravity "

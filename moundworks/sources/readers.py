@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from moundworks import schema as S
 from moundworks.functions.text import nan_to_null
+from moundworks.operators.scan import row_position
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, what: str,
@@ -69,6 +70,14 @@ def between(df: DataFrame, column: str, low, high) -> DataFrame:
     return df
 
 
+def in_file_order(spark: SparkSession, path: str, schema: T.StructType, out: str) -> DataFrame:
+    """Rows of CSV part files that were written with ``schema``; ``out`` numbers them as they stand there."""
+    rows = spark.read.option("header", True).schema(schema).csv(path).select(
+        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    return row_position(rows, out, ["file", "block", "line"]).drop("file", "block", "line")
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """Make ``df`` visible to ``spark.sql`` under ``name``."""
     df.createOrReplaceTempView(name)

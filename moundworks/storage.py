@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_CELLS = 5_000_000
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -48,9 +50,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def sized_lookup(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """A narrow keyed table, ready to be joined to a large one.
 
-    It is computed once and counted. Only a counted, small table gets the broadcast hint; a
-    larger one joins by shuffle, where AQE splits skewed partitions of the large side.
+    It is computed once and counted. Only a counted table of few rows and cells gets the broadcast
+    hint; a larger one joins by shuffle, where AQE splits skewed partitions of the large side.
     """
+    max_rows = min(max_rows, MAX_BROADCAST_CELLS // max(len(table.columns), 1))
     table = cut_lineage(table)
     if table.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(table)
@@ -68,15 +71,19 @@ class Workspace:
     def for_inputs(cls, spark: SparkSession, paths: list[str]) -> Workspace:
         """One workspace per application and content state of the input files."""
         stamps = [spark.sparkContext.applicationId]
-        for path in paths:
-            status = _hadoop_fs(spark, path).getFileStatus(_hadoop_path(spark, path))
-            stamps.append(f"{path}:{status.getLen()}:{status.getModificationTime()}")
+        for path in paths:  # a folder is listed: its own entry may not change with its files
+            for status in _hadoop_fs(spark, path).listStatus(_hadoop_path(spark, path)):
+                stamps.append(f"{status.getPath()}:{status.getLen()}:{status.getModificationTime()}")
         key = hashlib.sha1("|".join(stamps).encode()).hexdigest()[:16]
         folder = shared_dir(spark)
         if (spark, key) not in _OPEN:
             _OPEN[(spark, key)] = cls(spark, folder and f"{folder}/moundworks/{key}")
         return _OPEN[(spark, key)]
 
+    def new_path(self, name: str) -> str:
+        """A path nothing was written to."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
     def table(self, name: str, build: Callable[[], DataFrame],
               partition_by: list[str] | None = None, rebalance: bool = False) -> DataFrame:
         """The stored result of ``build``.

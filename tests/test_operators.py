@@ -187,15 +187,17 @@ def test_forest_is_repeatable_and_neutralises_features(spark):
     pdf = pd.DataFrame({"kind": np.where(np.arange(n) % 2, "a", "b"), "x": rng.random(n),
                         "y": rng.random(n), "i": np.arange(n)})
     pdf["t"] = pdf.x * 2 + (pdf.kind == "a")
-    df = frame(spark, pdf).coalesce(1)
+    df = frame(spark, pdf)
 
-    def run():
+    def run(rows, **options):
         return learn.fit_predict_by_group(
-            df, "kind", ["x", "y"], "t", {"full": ["x", "y"], "x_only": ["x"], "y_only": ["y"]},
-            trees=10, depth=4, min_leaf=5).orderBy("i").toPandas()
+            rows, "kind", ["x", "y"], "t", {"full": ["x", "y"], "x_only": ["x"], "y_only": ["y"]}, key=["i"],
+            trees=10, depth=4, min_leaf=5, **options).orderBy("i").toPandas()
 
-    one, two = run(), run()
-    pd.testing.assert_frame_equal(one, two)
+    one = run(df.coalesce(1))
+    pd.testing.assert_frame_equal(one, run(df.coalesce(1)))
+    pd.testing.assert_frame_equal(one, run(df.repartition(7).orderBy(F.rand(3))))
+    pd.testing.assert_frame_equal(one, run(df.repartition(3, "x"), node_cache_rows=10))
     assert one.groupby("kind")["full"].mean().values == pytest.approx(pdf.groupby("kind")["t"].mean().values, rel=0.05)
     assert one[one.kind == "a"]["y_only"].std() < 0.2 * one[one.kind == "a"]["x_only"].std()
     assert learn.fit_predict_by_group(df.where("i < 0"), "kind", ["x"], "t", {"f": ["x"]}) is None

@@ -97,7 +97,8 @@ def test_nastiness_fits_all_pitches_and_scores_good_ones(models):
 
 
 def test_lower_thresholds_give_model_scores_on_small_data(models):
-    scores = stuff.stuff_plus(models.stuff_matrix(), trees=5, depth=3, min_leaf=10).toPandas()
+    scores = stuff.stuff_plus(
+        stuff.predictions(models.stuff_matrix(), trees=5, depth=3, min_leaf=10)).toPandas()
     assert len(scores) > 20
     for kind in ("stuff", "shape", "velo"):
         for _, group in scores.groupby("pitch_type"):
