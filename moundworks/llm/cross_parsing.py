@@ -7,11 +7,13 @@ to that language is smallest. Letters are lower-cased, runs of other characters
 are parsed as a whole, in blocks of ``BLOCK`` letters that are steps of one numpy walk.
 
 Learning takes a bounded sample: ``SAMPLE_ROWS`` labelled rows per language by hash, up to
-``SAMPLE_LETTERS`` letters of them. The automata are sent to the workers; their size is bounded by that.
+``SAMPLE_LETTERS`` letters of them, and ``ALL_LETTERS`` over all languages, which share them equally.
+The automata are sent to the workers; their size is bounded by that.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was
 learned; ties go to the language that sorts first; letters no language has are phrases of their own;
-repeated rows and null ids are predicted like others; an empty table gives an empty result; other
+repeated rows and null ids are predicted like others, but one text of an id (the first in order) is
+learned from, and none of a null id; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS, SAMPLE_LETTERS = 64, 40_000
+SAMPLE_ROWS, SAMPLE_LETTERS, ALL_LETTERS = 64, 40_000, 400_000
 BLOCK = 512
 #: Letters of a piece of training text that is kept or left out as a whole.
 SEGMENT = 256
@@ -42,17 +44,18 @@ PREDICTED = (T.StructType().add("lang_pred", "string").add("score", "double")
 
 def labelled_sample(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """Up to ``rows`` texts per language, chosen by a hash of the id."""
-    known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()
+                       & F.col("doc_id").isNotNull())
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.col("n"))
-    few = known.select("doc_id", "lang").join(counts, "lang").where(place < 2 * rows + 16)
+    few = known.select("doc_id", "lang").join(counts, "lang").where(
+        place < 2 * rows + 16).select("doc_id", "lang").distinct()
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id")
     chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang", "rank")),
-                                                        ["doc_id", "lang"])
+    texts = known.select("doc_id", "lang", F.substring("text", 1, SAMPLE_LETTERS).alias("text")).join(
+        F.broadcast(chosen.select("doc_id", "lang", "rank")), ["doc_id", "lang"])
     found: dict[str, list[str]] = {}
-    for row in texts.select("lang", "rank", F.substring("text", 1, SAMPLE_LETTERS).alias("text")).orderBy(
-            "lang", "rank", "text").collect():
+    for row in texts.groupBy("lang", "rank").agg(F.min("text").alias("text")).orderBy("lang", "rank").collect():
         found.setdefault(row["lang"], []).append(row["text"])
     return found
 
@@ -118,15 +121,15 @@ class Letters:
 
 def automaton_table(goes: list[dict[int, int]], classes: int) -> np.ndarray:
     """Next state by state and class; the bits above count the phrases that end before the letter."""
-    table = np.zeros((len(goes), classes), np.int64)
-    root = np.full(classes, 2 << 28, np.int64)  # no phrase holds it: it is one itself
+    table = np.zeros((len(goes), classes), np.int32)
+    root = np.full(classes, 2 << 28, np.int32)  # no phrase holds it: it is one itself
     for c, to in goes[0].items():
         root[c] = to | 1 << 28
     table[:] = root
     for state, step in enumerate(goes):
         for c, to in step.items():
             table[state, c] = to
-    return table.astype(np.int32).ravel()
+    return table.ravel()
 
 
 def phrase_counts(kinds: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray, classes: int) -> np.ndarray:
@@ -151,8 +154,9 @@ def phrase_counts(kinds: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray,
 
 
 def _tables(segments: dict[str, list[np.ndarray]], classes: int) -> dict[str, np.ndarray]:
+    most = min(SAMPLE_LETTERS, ALL_LETTERS // max(len(segments), 1))
     return {lang: automaton_table(suffix_automaton(
-        np.concatenate(parts)[:SAMPLE_LETTERS].tolist() if parts else []), classes)
+        np.concatenate(parts)[:most].tolist() if parts else []), classes)
         for lang, parts in sorted(segments.items())}
 
 

@@ -12,7 +12,8 @@ id is removed. Steps:
 3. Each task sorts the suffixes of the cuts of its keys whose first ``MIN_BYTES`` bytes occur
    again (a suffix array with its common prefixes), scans the tree of common-prefix intervals with a stack, and puts out the maximal repeats: groups
    of at least ``MIN_BYTES`` whose left neighbours differ, with all their occurrences. A key with
-   many cuts is dealt out by the hash of the string at each start.
+   more than ``ARRAY_CUTS`` cuts fits no array: its cuts fall into their strings, and equal strings meet in
+   an aggregate, whose size does not depend on how often one occurs.
 4. Every start learns the smallest document of the repeats that hold it; where that is smaller than
    its own document, the string is removed. Copies of a whole text are settled by their checksum.
 
@@ -183,7 +184,7 @@ def shared_runs(rows: pd.DataFrame) -> pd.DataFrame:
 class SuffixArray:
     """Suffixes of short strings, in order, with the length each shares with the one before."""
 
-    def __init__(self, cuts: list[bytes], salts=None):
+    def __init__(self, cuts: list[bytes]):
         sizes = np.array([len(c) for c in cuts])
         per = sizes - MIN_BYTES + 1
         self.cut = np.repeat(np.arange(len(cuts)), per)
@@ -191,9 +192,6 @@ class SuffixArray:
         text = np.frombuffer(b"".join(cuts) + bytes(WIDTH), np.uint8)
         place = (np.cumsum(sizes) - sizes)[self.cut] + self.at
         prefix = string_hashes(text, place)
-        if salts is not None:
-            mine = (prefix >> np.uint64(33)).astype(np.int64) % salts[0][self.cut] == salts[1][self.cut]
-            self.cut, self.at, place, prefix = self.cut[mine], self.at[mine], place[mine], prefix[mine]
         # a suffix whose first string occurs once shares no interval with another
         order = np.argsort(prefix)
         same = np.append(False, prefix[order][1:] == prefix[order][:-1])
@@ -244,7 +242,7 @@ class SuffixArray:
                         stack.append([now, first, before])
 
 
-def smallest_documents(cuts: list[bytes], lowest: np.ndarray, salts=None) -> tuple[np.ndarray, np.ndarray]:
+def smallest_documents(cuts: list[bytes], lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every start of every cut, the smallest document of the repeats that hold its string.
 
     Returns the offsets of the cuts' starts and the documents.
@@ -252,7 +250,7 @@ def smallest_documents(cuts: list[bytes], lowest: np.ndarray, salts=None) -> tup
     per = np.array([len(c) for c in cuts]) - MIN_BYTES + 1
     offset = np.cumsum(per) - per
     smallest = np.repeat(lowest, per)  # equal cuts are a repeat of their own
-    array = SuffixArray(cuts, salts)
+    array = SuffixArray(cuts)
     groups = np.array(list(array.maximal_repeats()), np.int64).reshape(-1, 3)
     place, documents = offset[array.cut] + array.at, lowest[array.cut]
     for a in range(0, len(groups), GROUPS_AT_ONCE):
@@ -282,22 +280,9 @@ def array_scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if not held:
         return
     table = pa.Table.from_batches(held)
-    salts = table.column("salts").to_numpy()
-    groups = np.where(salts > 1, 1 + table.column("salt").to_numpy(), 0)
-    order = np.argsort(groups, kind="stable")
-    edges = [0]
-    for end in [*(np.flatnonzero(np.diff(groups[order])) + 1).tolist(), len(order)]:
-        edges.append(end)
-    for a, b in zip(edges, edges[1:]):
-        some = table.take(pa.array(order[a:b]))
-        yield from _scan(some, salted=groups[order[a]] > 0)
-
-
-def _scan(table: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
     cuts = table.column("bytes").to_pylist()
     lowest, highest = (table.column(c).to_numpy() for c in ("lowest", "highest"))
-    salts = (table.column("salts").to_numpy(), table.column("salt").to_numpy()) if salted else None
-    offset, smallest = smallest_documents(cuts, lowest, salts)
+    offset, smallest = smallest_documents(cuts, lowest)
     head = np.zeros(len(smallest), bool)
     head[offset] = True
     begins = np.flatnonzero(head | np.append(True, smallest[1:] != smallest[:-1]))
@@ -316,6 +301,18 @@ def _scan(table: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
         ["key", "cut", "removals"])
 
 
+def string_removals(cuts: DataFrame) -> DataFrame:
+    """What ``array_scanner`` finds, for cuts of keys that fit no array, from each string by itself."""
+    starts = F.sequence(F.lit(0), F.octet_length("bytes") - MIN_BYTES)
+    strings = cuts.select("key", "cut", "lowest", "highest", "bytes", F.explode(starts).alias("at")).withColumn(
+        "string", F.expr(f"substring(bytes, at + 1, {MIN_BYTES})")).drop("bytes")
+    low = strings.groupBy("string").agg(F.min("lowest").alias("low"), F.max("highest").alias("high")).where(
+        F.col("low") < F.col("high"))
+    removed = strings.join(low, "string").where(F.col("low") < F.col("highest"))
+    return removed.groupBy("key", "cut").agg(F.collect_list(F.struct(
+        F.col("at").alias("first"), F.col("at").alias("last"), "low")).alias("removals"))
+
+
 def string_hashes(text: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A hash of the ``MIN_BYTES`` bytes at each place."""
     grams = gram_hashes(text)
@@ -363,14 +360,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     distinct = cuts.groupBy("key", "cut", "bytes").agg(
         F.min("doc").alias("lowest"), F.max("doc").alias("highest"))
     distinct = stages.write("distinct", distinct)
-    hot = distinct.groupBy("key").agg(F.ceil(F.count("*") / ARRAY_CUTS).cast("int").alias("salts"))
-    dealt = distinct.join(hot.where("salts > 1"), "key", "left").withColumn(
-        "salts", F.coalesce("salts", F.lit(1)))
-    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    large = stages.write("large", distinct.groupBy("key").agg(F.count("*").alias("n")).where(
+        F.col("n") > ARRAY_CUTS).select("key"))
     tasks = 1 + distinct.count() // ARRAY_CUTS
-    found = dealt.repartition(int(tasks), "key", "salt").mapInArrow(array_scanner, REMOVALS)
-    found = stages.write("found", found)
-    stages.remove("distinct")
+    found = distinct.join(large, "key", "left_anti").repartition(int(tasks), "key").mapInArrow(
+        array_scanner, REMOVALS)
+    found = stages.write("found", found.unionByName(string_removals(distinct.join(large, "key"))))
+    stages.remove("distinct", "large")
 
     # back to the documents
     removals = cuts.select("same", "doc", "start", "key", "cut").join(found, ["key", "cut"])
