@@ -8,12 +8,17 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from moundworks.storage import shared_dir
 
 #: Spark removes the shuffle files of a query when it ends, instead of when the driver collects garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Text a Python worker takes at a time; Spark's batches count rows, which may be long.
+TEXT_BYTES = 1 << 22
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +30,16 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_moundworks_worker", types.ModuleType("_moundworks_worker")).__dict__
 
 
+def by_size(batches: Iterator[pa.RecordBatch], most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches of about ``most`` bytes of ``text``, or of one longer text."""
+    for batch in batches:
+        part = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), dtype=np.int64) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries inside go when each ends; the session's setting comes back."""

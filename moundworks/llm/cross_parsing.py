@@ -29,6 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moundworks.llm.common import by_size
+
 SAMPLE_ROWS, SAMPLE_LETTERS, ALL_LETTERS = 64, 40_000, 400_000
 BLOCK = 512
 #: Letters of a piece of training text that is kept or left out as a whole.
@@ -195,7 +197,7 @@ def predictor(model, carry: list[str]):
         (classes, count), tables = model.value
         letters = Letters(classes, count)
         langs = list(tables)
-        for batch in batches:
+        for batch in by_size(batches):
             texts, at = batch.column("text").to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0

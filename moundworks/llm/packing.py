@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.llm.byte_pieces import PieceEncoder
-from moundworks.llm.common import Stages
+from moundworks.llm.common import Stages, by_size
 
 WINDOW = 1024
 ENCODED = "part int, at long, doc_id long, doc_tokens long, ids binary"
@@ -34,7 +34,7 @@ def stream_encoder(tokenizer_path: str, end_id: int):
         encoder = PieceEncoder.of_worker(tokenizer_path)
         end = np.array([end_id], encoder.code).tobytes()
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in by_size(batches):
             ids = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
             sizes = np.array([len(x) // len(end) for x in ids], np.int64)
             starts = at + np.cumsum(sizes) - sizes

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.common import Stages
+from moundworks.llm.common import Stages, by_size
 
 MIN_BYTES, GRAM = 50, 24
 WINDOW = MIN_BYTES - GRAM + 1
@@ -119,7 +119,7 @@ def _bytes(column) -> list[bytes]:
 def frequent_keys(docs: DataFrame) -> np.ndarray:
     """Keys in many documents of a bounded sample: at most (runs of a document) / share of them."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
             texts, hashes = _bytes(batch.column("text")), np.array(batch.column("same").to_pylist(), np.int64)
             for text, _, _, key in runs_of(texts):
                 pair = np.unique(np.stack([hashes[text], key.view(np.int64)]), axis=1)
@@ -139,7 +139,7 @@ RUNS = "same long, start int, n int, key long"
 def run_packer(buckets: int, frequent):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
-        for batch in batches:
+        for batch in by_size(batches):
             hashes = np.array(batch.column("same").to_pylist(), np.int64)
             found = list(runs_of(_bytes(batch.column("text"))))
             if not found:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.llm.byte_pieces import PieceEncoder
-from moundworks.llm.common import Stages
+from moundworks.llm.common import Stages, by_size
 
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, stem string, width int, n_docs long, n_tokens long"
@@ -49,7 +49,7 @@ def shard_writer(folder: str, tokenizer_path: str, end_id: int):
             fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         docs, offsets, total, out = [], [np.zeros(1, "<i8")], 0, None
         try:
-            for batch in batches:
+            for batch in by_size(batches):
                 out = out or fs.open_output_stream(f"{path}.ids")
                 ids = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
                 out.write(b"".join(ids))
