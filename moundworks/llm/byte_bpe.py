@@ -38,7 +38,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 def encoding_of(path: str, pattern: str):
     """The worker's encoder for a rank file."""
-    cache = worker_cache()
+    cache = worker_cache("byte_bpe")
     if path not in cache:
         import tiktoken
         cache[path] = tiktoken.Encoding(
@@ -47,7 +47,7 @@ def encoding_of(path: str, pattern: str):
 
 
 def decoder_of(path: str) -> Callable[[list[int]], bytes]:
-    cache = worker_cache()
+    cache = worker_cache("byte_bpe")
     key = f"{path} bytes"
     if key not in cache:
         cache[key] = {rank: token for token, rank in ranks_of(path).items()}

@@ -58,7 +58,7 @@ class PieceEncoder(dict):
 
     @classmethod
     def of_worker(cls, path: str) -> PieceEncoder:
-        cache = worker_cache()
+        cache = worker_cache("byte_pieces")
         if path not in cache:
             cache[path] = cls(path)
         return cache[path]

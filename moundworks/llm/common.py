@@ -25,9 +25,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, over all tasks it runs."""
-    return sys.modules.setdefault("_moundworks_worker", types.ModuleType("_moundworks_worker")).__dict__
+def worker_cache(operator: str) -> dict:
+    """A dictionary over all tasks of an operator in a Python worker, which drops what another left there."""
+    cache = sys.modules.setdefault("_moundworks_worker", types.ModuleType("_moundworks_worker")).__dict__
+    if cache.get("operator") != operator:
+        cache.clear()
+        cache["operator"] = operator
+    return cache
 
 
 def by_size(batches: Iterator[pa.RecordBatch], most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:

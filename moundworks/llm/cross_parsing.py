@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.llm.common import by_size
+from moundworks.llm.common import by_size, worker_cache
 
 SAMPLE_ROWS, SAMPLE_LETTERS, ALL_LETTERS = 64, 40_000, 400_000
 BLOCK = 512
@@ -194,6 +194,7 @@ def learn(samples: dict[str, list[str]]) -> tuple[Letters, dict[str, np.ndarray]
 
 def predictor(model, carry: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("cross_parsing")
         (classes, count), tables = model.value
         letters = Letters(classes, count)
         langs = list(tables)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.common import Stages, by_size
+from moundworks.llm.common import Stages, by_size, worker_cache
 
 MIN_BYTES, GRAM = 50, 24
 WINDOW = MIN_BYTES - GRAM + 1
@@ -138,6 +138,7 @@ RUNS = "same long, start int, n int, key long"
 
 def run_packer(buckets: int, frequent):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("repeats")
         common = frequent.value
         for batch in by_size(batches):
             hashes = np.array(batch.column("same").to_pylist(), np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.common import Stages, by_size
+from moundworks.llm.common import Stages, by_size, worker_cache
 from moundworks.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -55,6 +55,7 @@ def _shingles(text: bytes, size: int) -> Iterator[list[bytes]]:
 def fingerprinter(size: int, seed: int):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
+        worker_cache("simhash")
         for batch in by_size(batches):
             found = []
             for text in batch.column("text").to_pylist():
