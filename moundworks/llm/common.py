@@ -18,7 +18,7 @@ from moundworks.storage import shared_dir
 #: Spark removes the shuffle files of a query when it ends, instead of when the driver collects garbage.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text a Python worker takes at a time; Spark's batches count rows, which may be long.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,7 @@ def worker_cache(operator: str) -> dict:
     cache = sys.modules.setdefault("_moundworks_worker", types.ModuleType("_moundworks_worker")).__dict__
     if cache.get("operator") != operator:
         cache.clear()
+        pa.default_memory_pool().release_unused()
         cache["operator"] = operator
     return cache
 

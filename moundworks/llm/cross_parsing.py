@@ -50,7 +50,7 @@ def labelled_sample(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS
                        & F.col("doc_id").isNotNull())
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.col("n"))
-    few = known.select("doc_id", "lang").join(counts, "lang").where(
+    few = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(
         place < 2 * rows + 16).select("doc_id", "lang").distinct()
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id")
     chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
