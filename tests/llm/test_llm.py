@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -17,6 +18,7 @@ import corpus_pipeline
 from moundworks.llm import (
     block_search, byte_bpe, cross_parsing, metric_join, packing, privacy, repeats, simhash,
     token_file, toxicity)
+from moundworks.llm.common import by_size
 
 BPE, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 SHARED = "This passage of more than fifty bytes stands in several of the documents, word for word. "
@@ -73,6 +75,14 @@ def test_token_files_hold_all_ids_in_order(spark, docs, nothing):
     assert token_file.token_files(spark, nothing, BPE).count() == 0
 
 
+def test_batches_by_size_keep_every_row():
+    texts = [None, "", "é" * 5, "a" * 40, None, "b", "c" * 9, ""]
+    batch = pa.RecordBatch.from_pydict({"n": range(len(texts)), "text": pa.array(texts, pa.string())})
+    parts = list(by_size(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), 10))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts + texts[2:5]
+    assert all(p.num_rows for p in parts) and len(parts) > 4
+
+
 def test_packing_cuts_one_stream(spark, docs, nothing):
     rows = packing.pack(spark, docs, BPE, window=64, keep_ids=True).collect()
     at = sorted((r["sequence_id"] * 64 + r["offset"], r["length"]) for r in rows)
