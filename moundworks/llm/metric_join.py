@@ -66,7 +66,7 @@ def cell_assigner(reach: float):
             own = square.argmin(1)
             nearest = square[np.arange(len(u)), own][:, None]
             gap = apart[own]
-            plane = (square - nearest) <= 2 * gap * (reach + SLACK)
+            plane = (square - nearest) <= 2 * gap * (reach + SLACK) + SLACK  # pivots of one direction have no gap
             triangle = np.sqrt(square) - np.sqrt(nearest) <= 2 * (reach + SLACK)
             row, cell = np.nonzero(plane & triangle)
             rows = some.iloc[row]

@@ -70,3 +70,18 @@ def test_near_copies_are_those_of_five_words_and_four_fifths(spark, monkeypatch,
     of = {(i, t): g for (i, t), g in zip(rows, group)}
     assert sorted(of[r["doc_id"], r["text"]] for r in left) == sorted(set(group))
     assert corpus_pipeline.near_copies(spark, docs.where("false"), "").count() == 0
+
+
+def test_pivots_of_one_direction_lose_no_links(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=16)
+    near = [middle + rng.normal(size=16) * 0.03 for _ in range(200)]
+    rows = [(k, v.tolist()) for k, v in enumerate(near)]
+    rows += [(1_000 + k, (near[k % 2] * (3.0 + k)).tolist()) for k in range(200)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = {r["vec_id"]: r for r in metric_join.near_vectors(spark, frame, 0.98, 10, 8_000).collect()}
+    assert [got[i]["n_links"] for i, _ in rows] == links.tolist()
+    assert links.min() > 0 and {r["component_id"] for r in got.values()} == {0}
