@@ -2,7 +2,9 @@
 
 The pre-tokeniser of such a file cuts a text into pieces that the merges never cross. Natural text
 repeats its pieces, so a worker keeps the ids of those it has met. Texts with characters outside
-``PLAIN`` go through the library as a whole; both ways give the same ids.
+``PLAIN`` go through the library as a whole; both ways give the same ids. So do texts with the string
+of an added token, if ``added_tokens`` says that it stands for the token, as by the library's default;
+otherwise it is ordinary text.
 """
 
 from __future__ import annotations
@@ -47,21 +49,24 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
 class PieceEncoder(dict):
     """Ids of a piece as little-endian bytes, by piece; fills itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.table = dict(enumerate(byte_letters()))
 
     @classmethod
-    def of_worker(cls, path: str) -> PieceEncoder:
+    def of_worker(cls, path: str, added_tokens: bool = False) -> PieceEncoder:
         cache = worker_cache("byte_pieces")
-        if path not in cache:
-            cache[path] = cls(path)
-        return cache[path]
+        key = f"{added_tokens}:{path}"
+        if key not in cache:
+            cache[key] = cls(path, added_tokens)
+        return cache[key]
 
     def __missing__(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.table)
@@ -75,7 +80,7 @@ class PieceEncoder(dict):
             self.clear()
         parts = []
         for part in slices(text):
-            if PLAIN.fullmatch(part):
+            if PLAIN.fullmatch(part) and not self.added.search(part):
                 parts.append(b"".join(map(self.__getitem__, PIECES.findall(part))))
             else:
                 ids = self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids

@@ -29,9 +29,9 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "sequence_id long, offset long, ids binary")
 
 
-def stream_encoder(tokenizer_path: str, end_id: int):
+def stream_encoder(tokenizer_path: str, end_id: int, added_tokens: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of_worker(tokenizer_path)
+        encoder = PieceEncoder.of_worker(tokenizer_path, added_tokens)
         end = np.array([end_id], encoder.code).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in by_size(batches):
@@ -70,11 +70,11 @@ def cutter(window: int, keep_ids: bool):
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
-         end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+         end_id: int = 0, keep_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per piece; with ``keep_ids`` its ids as little-endian 32-bit integers."""
     stages = Stages(spark, "packing")
     encoded = stages.write("encoded", docs.select("doc_id", "text").mapInArrow(
-        stream_encoder(tokenizer_path, end_id), ENCODED))
+        stream_encoder(tokenizer_path, end_id, added_tokens), ENCODED))
     totals = encoded.groupBy("part").agg(F.sum("doc_tokens")).orderBy("part").collect()
     base, bases = 0, []
     for part, n in totals:  # one row per task of pass one

@@ -23,7 +23,7 @@ def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return token_file.token_files(spark, docs, public_tokenizers.path(BYTE_BPE))
+    return token_file.token_files(spark, docs, public_tokenizers.path(BYTE_BPE), added_tokens=True)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return packing.pack(spark, docs, public_tokenizers.path(BYTE_BPE))
+    return packing.pack(spark, docs, public_tokenizers.path(BYTE_BPE), added_tokens=True)
 
 
 def op10_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,10 +37,10 @@ def _open(path: str):
         FileSystem.from_uri(f"file://{path}"))
 
 
-def shard_writer(folder: str, tokenizer_path: str, end_id: int):
+def shard_writer(folder: str, tokenizer_path: str, end_id: int, added_tokens: bool):
     """Writes the documents of one partition, in their order, as one shard; returns its manifest row."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of_worker(tokenizer_path)
+        encoder = PieceEncoder.of_worker(tokenizer_path, added_tokens)
         end = np.array([end_id], encoder.code).tobytes()
         width, part = len(end), TaskContext.get().partitionId()
         stem = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
@@ -97,7 +97,8 @@ def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "ids_crc32": pa.array(crc, pa.int64())})
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, stages: Stages, end_id: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, stages: Stages, end_id: int = 0,
+                      added_tokens: bool = False) -> DataFrame:
     """Write all documents as shards; returns the manifest, one row per shard with its base.
 
     The texts move once, range partitioned by id, and are encoded once. The prefix sums run over one
@@ -105,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, stages: Stages, end_
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text")
-    write = shard_writer(stages.folder("tokens"), tokenizer_path, end_id)
+    write = shard_writer(stages.folder("tokens"), tokenizer_path, end_id, added_tokens)
     written = stages.write("written", ordered.mapInArrow(write, MANIFEST))
     base, bases = 0, []
     for part, n in written.select("part", "n_tokens").orderBy("part").collect():
@@ -120,5 +121,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return manifest.repartition("part").mapInArrow(read_shards, DOCUMENTS)
 
 
-def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    return read_token_files(write_token_files(docs, tokenizer_path, Stages(spark, "token-files")))
+def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
+                added_tokens: bool = False) -> DataFrame:
+    return read_token_files(write_token_files(docs, tokenizer_path, Stages(spark, "token-files"),
+                                              added_tokens=added_tokens))

@@ -85,3 +85,23 @@ def test_pivots_of_one_direction_lose_no_links(spark):
     got = {r["vec_id"]: r for r in metric_join.near_vectors(spark, frame, 0.98, 10, 8_000).collect()}
     assert [got[i]["n_links"] for i, _ in rows] == links.tolist()
     assert links.min() > 0 and {r["component_id"] for r in got.values()} == {0}
+
+
+def library_ids(text):
+    return Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
+    texts = ["end <|endoftext|> start", "<|endoftext|><|endoftext|>", "plain words", "é <|endoftext|>\n\n  x", "<|endoftext|",
+             "long \n words " * 90_000 + "<|endoftext|> tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: library_ids(t) + [0] for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    files = {r["doc_id"]: r for r in queries.op2_token_files(spark, str(tmp_path)).collect()}
+    for i, ids in want.items():
+        assert (files[i]["n_tokens"], files[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    pieces = {r["doc_id"]: r["doc_tokens"] for r in queries.op9_packing(spark, str(tmp_path)).collect()}
+    assert pieces == {i: len(ids) for i, ids in want.items()}
+    for r in corpus_pipeline.packed(spark, docs, "").collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]][r["start"]:r["start"] + r["length"]]
