@@ -5,13 +5,14 @@ left over. Queries and candidates are packed into blocks; a tile is one block of
 of candidates. The int8 product of a tile gives every cosine up to a bound that the two rests set,
 by Cauchy and Schwarz. A pair survives if its upper bound reaches the k-th best lower bound of its
 query so far; survivors are recomputed from the original vectors in double precision and kept in a
-heap per query. The heaps of all tiles are merged at the end. Nothing is approximate: the bounds
+heap per query row. The heaps of all tiles are merged at the end. Nothing is approximate: the bounds
 only spare work.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without
 an id, take no part; only vectors of one length are compared; ties go to the smaller id; a row is not
-its own candidate, and rows that repeat the query's id are not either; an empty table gives an empty
-result; other columns are ignored.
+its own candidate, and rows that repeat the query's id are not either; query rows that repeat id and
+vector are one query, those of one id and several vectors have their neighbours each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from moundworks.llm.metric_join import usable
 NEIGHBOURS = 5
 QUERY_BLOCK, CANDIDATE_BLOCK = 2_048, 8_192
 BLOCK = "size int, block string, ids binary, vectors binary"
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "q_block string, q_row int, query_id long, vec_id long, score double"
 
 
 def block_packer(rows_per_block: int):
@@ -87,7 +88,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_tile(queries: Block, candidates: Block, heaps: dict, k: int) -> None:
-    """Adds the survivors of one tile to the heaps: (score, -vec_id), smallest first."""
+    """Adds the survivors of one tile to the heaps, by query row: (score, -vec_id), smallest first."""
     exact = np.float32 if queries.int8.shape[1] * 127 * 127 < 1 << 24 else np.float64
     product = (queries.int8.astype(exact) @ candidates.int8.astype(exact).T).astype(np.float64)
     near = product * queries.step[:, None] * candidates.step[None, :]
@@ -100,7 +101,7 @@ def search_tile(queries: Block, candidates: Block, heaps: dict, k: int) -> None:
         floor = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k]
     else:
         floor = np.full(len(queries.ids), -np.inf)
-    held = [heaps[q] for q in queries.ids.tolist()]
+    held = [heaps[q] for q in range(len(queries.ids))]
     floor = np.maximum(floor, [h[0][0] if len(h) == k else -np.inf for h in held])
     row, column = np.nonzero((upper >= floor[:, None]) & ~same)
     for a in range(0, len(row), 65_536):
@@ -120,12 +121,12 @@ def tile_searcher(k: int):
         name, queries, heaps = None, None, defaultdict(list)
 
         def flush() -> pa.RecordBatch:
-            rows = [(q, -v, s) for q, heap in heaps.items() for s, v in heap]
+            rows = [(name, q, int(queries.ids[q]), -v, s) for q, heap in heaps.items() for s, v in heap]
             heaps.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3,
-                                                (pa.int64(), pa.int64(), pa.float64()))],
-                ["query_id", "vec_id", "score"])
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (
+                    pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))],
+                ["q_block", "q_row", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for tile in batch.to_pylist():
@@ -144,7 +145,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     stages = Stages(spark, "block-search")
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).where(
         usable("vector") & F.col("vec_id").isNotNull())
-    asking = rows.where(is_query).repartition("vec_id")
+    asking = rows.where(is_query).dropDuplicates(["vec_id", "vector"]).repartition("vec_id")
     queries = stages.write("queries", asking.mapInArrow(block_packer(QUERY_BLOCK), BLOCK))
     candidates = rows.repartition("vec_id").mapInArrow(block_packer(CANDIDATE_BLOCK), BLOCK)
     candidates = stages.write("candidates", candidates)
@@ -157,6 +158,6 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     tiles = sent.join(asked, ["size", "q_block"]).repartition("q_block", "block").sortWithinPartitions("q_block")
     found = tiles.select("size", "q_block", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(
         tile_searcher(k), FOUND)
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("q_block", "q_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

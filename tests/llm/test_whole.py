@@ -105,3 +105,23 @@ def test_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
     assert pieces == {i: len(ids) for i, ids in want.items()}
     for r in corpus_pipeline.packed(spark, docs, "").collect():
         assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+
+
+def test_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
+    other = rng.normal(size=8).tolist()
+    frame = spark.createDataFrame(rows + [rows[0]] * 2 + [(20, other)], "vec_id long, embedding array<double>")
+    found = block_search.nearest(spark, frame, F.col("vec_id") % 20 == 0).collect()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+
+    def plain(query, vector):
+        candidates = [(i, unit[i]) for i, _ in rows + [rows[0]] * 2 if i != query]
+        candidates += [(20, np.array(other) / np.linalg.norm(other))] * (query != 20)
+        vector = np.array(vector) / np.linalg.norm(vector)
+        return [i for _, i in sorted((-round(float(vector @ w), 12), i) for i, w in candidates)[:5]]
+    for query in (0, 40):
+        mine = sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == query)
+        assert mine == list(enumerate(plain(query, dict(rows)[query]), 1))
+    both = sorted(enumerate(plain(20, dict(rows)[20]), 1)) + sorted(enumerate(plain(20, other), 1))
+    assert sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == 20) == sorted(both)
