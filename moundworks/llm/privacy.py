@@ -287,10 +287,13 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping ones the first."""
-    first = F.aggregate(spans, F.array().cast(SPAN), lambda kept, s: F.when(
-        F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)) <= s["start"],
-        F.concat(kept, F.array(s))).otherwise(kept))
+    """The text with each span replaced by its kind in angle brackets; overlapping ones by the first's."""
+    def join(kept: Column, s: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        wider = last.withField("end", F.greatest(last["end"], s["end"]))
+        return F.when(F.coalesce(last["end"], F.lit(0)) <= s["start"], F.concat(kept, F.array(s))).otherwise(
+            F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(wider)))
+    first = F.aggregate(spans, F.array().cast(SPAN), join)
 
     def build(kept: Column) -> Column:
         parts = F.transform(kept, lambda s, i: let(

@@ -125,3 +125,10 @@ def test_repeated_query_rows_are_one_query(spark):
         assert mine == list(enumerate(plain(query, dict(rows)[query]), 1))
     both = sorted(enumerate(plain(20, dict(rows)[20]), 1)) + sorted(enumerate(plain(20, other), 1))
     assert sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == 20) == sorted(both)
+
+
+def test_no_character_of_a_found_span_is_left(spark):
+    docs = spark.createDataFrame([(1, "at 10.0.0.18 4111 1111 1111 1111 end"), (2, "a@b.org and 10.0.0.1, x"), (3, None)],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in privacy.mask(spark, docs).collect()}
+    assert got == {1: "at <IP> end", 2: "<EMAIL> and <IP>, x", 3: None}
