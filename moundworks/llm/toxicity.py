@@ -1,11 +1,11 @@
-"""Toxicity by a weighted finite-state pattern grammar over clauses.
+"""Toxicity by word classes and the order they come in, clause by clause.
 
-Small transducers read the words of a clause and write classes: insults (stems learned from labelled
-rows, with their log odds as weight), threats, targets, negations and verbs of reported speech. Their
-composition is one machine whose state is what the clause has shown so far; it weighs each insult or
-threat by that state: more when the clause names a target, less behind a negation or a verb that
-reports someone else's words. Words alone do not score; a document's score is a logistic function of
-its clauses' weights, fitted on the labelled rows.
+One loop reads the words of a clause; transducers for insults, threats, targets, negations and reported
+speech that are composed are not built. Insults are stems learned from labelled rows, with their log
+odds as weight, and score by themselves; a threat scores only in a clause that names a target, which
+also raises the insults. A negation up to ``REACH`` words before, or a verb of reported speech before,
+lowers the weight; behind the insult or threat neither has an effect. A document's score is a logistic
+function of its clauses' weights, fitted on the labelled rows.
 
 Learning takes at most ``SAMPLE_ROWS`` labelled rows, by a hash of the id.
 
@@ -91,7 +91,7 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
 
 
 class Grammar:
-    """The composed machine: reads the words of a clause, writes the weight of what it matches."""
+    """Reads the words of a clause in one pass and gives the weight of what it matches."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
