@@ -132,3 +132,11 @@ def test_no_character_of_a_found_span_is_left(spark):
                                  "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in privacy.mask(spark, docs).collect()}
     assert got == {1: "at <IP> end", 2: "<EMAIL> and <IP>, x", 3: None}
+
+
+def test_rows_of_one_id_are_decided_one_by_one(spark):
+    text, other = "one two three four five six seven eight", "nothing like the text of the other rows"
+    rows = [(1, text), (2, text + " "), (2, other), (None, text.upper()), (None, "only once"), (None, "only  once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], " ".join(r["text"].split())) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, text), (2, other), (None, "only once")], key=str)
