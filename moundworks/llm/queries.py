@@ -111,9 +111,9 @@ def centroid_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024
         if i < rounds:
             named.append(f"""c{i + 1} AS MATERIALIZED (
         SELECT cluster, coalesce(n.c, old.c) AS c FROM c{i} AS old LEFT JOIN (
-            SELECT cluster, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY at) AS c FROM (
-                SELECT cluster, at, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
-                    SELECT cluster, unnest(v) AS x, unnest(range({size})) AS at FROM a{i}) GROUP BY cluster, at)
+            SELECT cluster, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY dim) AS c FROM (
+                SELECT cluster, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                    SELECT cluster, unnest(v) AS x, unnest(range({size})) AS dim FROM a{i}) GROUP BY cluster, dim)
             GROUP BY cluster) AS n USING (cluster))""")
     return f"""WITH {", ".join(named)}
     SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
