@@ -1,13 +1,13 @@
 """Alignment of two tokenizers' tokens and corpus-wide counts of the id pairs they link.
 
 Byte offsets where tokens of both end cut a text into groups; all pairs of one group are linked. The
-first pass aligns the documents and stores them in batches of about ``BATCH_BYTES``, with the distinct
-pairs of each batch and how many of its documents hold them, in ``BLOCKS`` blocks by the first id. The
+first pass encodes and aligns the documents and stores their ids in batches of about ``BATCH_BYTES`` of
+text, with the distinct pairs of each batch and how many of its documents hold them, in ``BLOCKS`` blocks by the first id. The
 distinct pairs of a block get a minimal perfect hash; batches add their numbers to dense vectors indexed
 by it, and the vectors are summed in a tree. The table of a block keeps each slot's pair, against
 which a lookup is verified, its count, and whether that is the highest of its first id, whose pairs are
-all in this block. Batches look their pairs up there, and the second pass aligns the stored documents
-again and takes the counts. A block has at most (first ids / ``BLOCKS``) times (second ids) pairs;
+all in this block. Batches look their pairs up there, and the second pass aligns the documents again,
+from the stored ids, and takes the counts. A block has at most (first ids / ``BLOCKS``) times (second ids) pairs;
 every step streams over sorted partitions, so no batch list, block list or corpus is held as one.
 
 Cases: texts that are null or empty, or whose tokens of either kind do not join to a space and the
@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,26 +32,63 @@ from pyspark.sql import functions as F
 from moundworks.llm.byte_pieces import PieceEncoder, byte_letters
 from moundworks.llm.common import Stages, by_size, worker_cache
 from moundworks.llm.perfect_hash import PerfectHash, build
-from moundworks.llm.piece_units import SPACE, PieceUnits
+from moundworks.llm.piece_units import CACHED_CHARS, CACHED_UNITS, SPACE, PieceUnits
 
 BATCH_BYTES, BLOCKS = 8 << 20, 256
 #: Vectors or key lists that one task adds up before the next level of the tree.
 FAN_IN = 512
 #: Both tokenizers begin a token here.
 SEAM = re.compile(rf"(?<=[^\s\x1c-\x1f\x85{SPACE}])(?=[ \n])")
-PART_CHARS, ROUND_TOKENS, SMALL_GROUP = 1 << 19, 1 << 19, 256
+PART_CHARS, ROUND_TOKENS, SMALL_GROUP = 1 << 18, 1 << 17, 256
+#: Text a worker encodes at a time, and pairs it holds before it takes equal ones together.
+CHUNK_BYTES, HELD_PAIRS = 1 << 19, 1 << 20
+
+
+class ByteUnits(PieceEncoder):
+    """Ids of pieces kept in two generations; new pieces are merged by rank where that is the same.
+
+    It is if ids number the merges in their order and each token comes out of its own bytes: two
+    neighbours that join to a token were then made by lower merges inside it alone, as in its own.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import tiktoken
+        self.old: dict[str, bytes] = {}
+        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lossless = self.tokenizer.normalizer is None and vocabulary.keys() >= byte_of.keys()
+        self.token_bytes = [b""] * self.tokenizer.get_vocab_size()
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = bytes(byte_of.get(c, 0) for c in token)
+        self.by_rank = None
+        if self.lossless and all([t.id for t in self.model.tokenize(token)] == [i] for token, i in vocabulary.items()):
+            ranks = {self.token_bytes[i]: i for i in vocabulary.values()}
+            self.by_rank = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if self.by_rank is None:
+                return super().__missing__(piece)
+            ids = array(self.code, self.by_rank.encode_ordinary(piece)).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHED_UNITS:
+            self.old = dict(self)
+            self.clear()
+        return super().encode(text)
 
 
 class Tokenizers:
     """The worker's two encoders and the bytes of their ids."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = PieceEncoder(byte_path), PieceUnits(piece_path)
-        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
-        vocabulary = {i: t for t, i in self.a.tokenizer.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = [bytes(byte_of.get(c, 0) for c in vocabulary.get(i, ""))
-                        for i in range(self.a.tokenizer.get_vocab_size())]
-        self.b_bytes = self.b.token_bytes
+        self.a, self.b = ByteUnits(byte_path), PieceUnits(piece_path)
+        self.a_bytes, self.b_bytes = self.a.token_bytes, self.b.token_bytes
         self.a_size, self.b_size = (np.array([len(t) for t in table], np.int64)
                                     for table in (self.a_bytes, self.b_bytes))
         # ids in decimal followed by what separates them, for the text form of groups
@@ -63,27 +102,36 @@ class Tokenizers:
             cache[key] = cls(byte_path, piece_path)
         return cache[key]
 
-    def encode(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both tokenizers for each part of the text, or nothing if one loses bytes."""
-        parts, at, text = [], 0, f" {text}" if text else ""
-        while len(text) - at > PART_CHARS:
-            seam = SEAM.search(text, at + PART_CHARS)
-            if seam is None:
-                break
-            parts.append(text[at:seam.start()])
-            at = seam.start()
-        if text:
-            parts.append(text[at:])
-        out = []
-        for part, units in zip(parts, self.b.of([p.replace(SPACE, " ") for p in parts])):
+    def _differs(self, part: str, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the bytes of either kind are not the part's."""
+        if self.a.lossless and self.b.splits:  # both keep every byte but those of the space's own sign
+            return SPACE in part
+        raw = part.encode()
+        return (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw
+                or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw)
+
+    def encode(self, texts: list[str | None]) -> Encoded:
+        """Ids of both tokenizers for each part of each text; no parts if one loses bytes."""
+        parts = []
+        for owner, text in enumerate(texts):
+            at, text = 0, f" {text}" if text else ""
+            while len(text) - at > PART_CHARS and self.b.splits:
+                seam = SEAM.search(text, at + PART_CHARS)
+                if seam is None:
+                    break
+                parts.append((owner, text[at:seam.start()]))
+                at = seam.start()
+            if text:
+                parts.append((owner, text[at:]))
+        seen = [p.replace(SPACE, " ") if self.b.splits else p[1:] for _, p in parts]
+        out, differing = [[] for _ in texts], set()
+        for (owner, part), units in zip(parts, self.b.of(seen)):
             a = np.frombuffer(self.a.encode(part), self.a.code).astype(np.int64)
             b = np.frombuffer(b"".join(units), self.b.code).astype(np.int64)
-            raw = part.encode()
-            if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw
-                    or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw):
-                return []
-            out.append((a, b))
-        return out
+            out[owner].append((a, b))
+            if self._differs(part, a, b):
+                differing.add(owner)
+        return [[] if owner in differing else found for owner, found in enumerate(out)]
 
 
 class Groups:
@@ -140,11 +188,14 @@ class Groups:
             yield owner, "".join(words[x:y])
 
 
-def rounds(tokenizers: Tokenizers, texts: list[str | None]) -> Iterator[Groups]:
-    """The groups of the texts in order; a text of several rounds shares none of them."""
+Encoded = list[list[tuple[np.ndarray, np.ndarray]]]
+
+
+def rounds(tokenizers: Tokenizers, encoded: Encoded) -> Iterator[Groups]:
+    """The groups of encoded texts in order; a text of several rounds shares none of them."""
     waiting, size = [], 0
-    for owner, text in enumerate(texts):
-        parts = [(owner, a, b) for a, b in tokenizers.encode(text)]
+    for owner, own in enumerate(encoded):
+        parts = [(owner, a, b) for a, b in own]
         n = sum(len(a) + len(b) for _, a, b in parts)
         if waiting and size + n > ROUND_TOKENS:
             yield Groups(tokenizers, waiting)
@@ -158,6 +209,25 @@ def rounds(tokenizers: Tokenizers, texts: list[str | None]) -> Iterator[Groups]:
         yield Groups(tokenizers, waiting)
 
 
+def stored(encoded: Encoded) -> tuple[bytes, bytes]:
+    """Encoded texts as (owner, ids of either kind) per part, and all ids, compressed."""
+    parts = [(owner, a, b) for owner, own in enumerate(encoded) for a, b in own]
+    sizes = np.array([(owner, len(a), len(b)) for owner, a, b in parts], "<i8")
+    ids = np.concatenate([x for _, a, b in parts for x in (a, b)] or [np.empty(0, "<u4")])
+    width = "<u2" if len(ids) == 0 or ids.max() < 1 << 16 else "<u4"
+    return sizes.tobytes(), width.encode() + zstandard.ZstdCompressor(level=3).compress(ids.astype(width).tobytes())
+
+
+def restored(n: int, sizes: bytes, ids: bytes) -> Encoded:
+    out: Encoded = [[] for _ in range(n)]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids[3:]), ids[:3].decode()).astype(np.int64)
+    at = 0
+    for owner, a, b in np.frombuffer(sizes, "<i8").reshape(-1, 3).tolist():
+        out[owner].append((raw[at:at + a], raw[at + a:at + a + b]))
+        at += a + b
+    return out
+
+
 def _summed(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     pair, place = np.unique(np.concatenate(pairs), return_inverse=True)
     total = np.zeros(len(pair), np.int64)
@@ -175,7 +245,7 @@ class PairDocuments:
         self.pairs.append(pair)
         self.counts.append(count)
         self.held += len(pair)
-        if self.held > 1 << 22:
+        if self.held > HELD_PAIRS:
             self.pairs, self.counts = ([x] for x in _summed(self.pairs, self.counts))
             self.held = len(self.pairs[0]) // 2
 
@@ -206,19 +276,21 @@ class PairDocuments:
         return _summed(self.pairs, self.counts) if self.pairs else (np.empty(0, np.int64),) * 2
 
 
-BATCHES = ("batch long, place long, doc_id long, text string, block int, pairs binary, counts binary")
+BATCHES = ("batch long, place long, doc_ids array<long>, sizes binary, ids binary, block int, pairs binary, "
+           "counts binary")
 
 
 def _batch(**columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    kinds = {"batch": pa.int64(), "place": pa.int64(), "doc_id": pa.int64(), "text": pa.string(),
-             "block": pa.int32(), "pairs": pa.binary(), "counts": pa.binary()}
+    kinds = {"batch": pa.int64(), "place": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.binary(),
+             "ids": pa.binary(), "block": pa.int32(), "pairs": pa.binary(), "counts": pa.binary()}
     return pa.RecordBatch.from_arrays(
         [pa.array(columns.get(c, [None] * n), k) for c, k in kinds.items()], list(kinds))
 
 
 def batch_writer(byte_path: str, piece_path: str, batch_bytes: int, blocks: int):
-    """Documents as rows of batches, and each batch's pairs as one row per block."""
+    """Encoded documents, about ``CHUNK_BYTES`` of text a row, in batches, and each batch's pairs as one
+    row per block."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = Tokenizers.of_worker(byte_path, piece_path)
         batch, place, size, held = TaskContext.get().partitionId() << 32, 0, 0, PairDocuments()
@@ -234,16 +306,17 @@ def batch_writer(byte_path: str, piece_path: str, batch_bytes: int, blocks: int)
                              pairs=[pair[order[edges[b]:edges[b + 1]]].astype("<i8").tobytes() for b in own],
                              counts=[count[order[edges[b]:edges[b + 1]]].astype("<i8").tobytes() for b in own])
 
-        for part in by_size(batches):
-            texts, n = part.column("text").to_pylist(), part.num_rows
+        for part in by_size(batches, CHUNK_BYTES):
             nbytes = part.column("text").nbytes
             if size and size + nbytes > batch_bytes:
                 yield from pair_rows()
                 batch, place, size, held = batch + 1, 0, 0, PairDocuments()
-            held.add(rounds(tokenizers, texts))
-            yield _batch(batch=[batch] * n, place=range(place, place + n),
-                         doc_id=part.column("doc_id").to_pylist(), text=texts)
-            place, size = place + n, size + nbytes
+            encoded = tokenizers.encode(part.column("text").to_pylist())
+            held.add(rounds(tokenizers, encoded))
+            sizes, ids = stored(encoded)
+            yield _batch(batch=[batch], place=[place], doc_ids=[part.column("doc_id").to_pylist()],
+                         sizes=[sizes], ids=[ids])
+            place, size = place + 1, size + nbytes
         yield from pair_rows()
     return write
 
@@ -377,20 +450,13 @@ def second_pass(byte_path: str, piece_path: str, keep_groups: bool):
     """Per document the sizes of its alignment and what the counts say of its links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = Tokenizers.of_worker(byte_path, piece_path)
-        at, answers, known, docs, size = None, [], None, [], 0
+        at, answers, known = None, [], None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal known, docs, size
-            if known is None:
-                parts = [np.concatenate([np.frombuffer(x[c], kind) for x in answers] or [np.empty(0, kind)])
-                         for c, kind in (("pairs", "<i8"), ("counts", "<i8"), ("best", bool))]
-                order = np.argsort(parts[0])
-                known = [p[order] for p in parts]
-                answers.clear()
-            facts = np.zeros((6, len(docs)), np.int64)
-            digests = [hashlib.sha256() for _ in docs]
-            texts: list[list[str]] = [[] for _ in docs]
-            for groups in rounds(tokenizers, [text for _, text in docs]):
+        def aligned(doc_ids: list[int | None], encoded: Encoded) -> pa.RecordBatch:
+            facts = np.zeros((6, len(doc_ids)), np.int64)
+            digests = [hashlib.sha256() for _ in doc_ids]
+            texts: list[list[str]] = [[] for _ in doc_ids]
+            for groups in rounds(tokenizers, encoded):
                 for i, values in enumerate((groups.n_a, groups.n_b, 1, groups.n_a * groups.n_b)):
                     np.add.at(facts[i], groups.owner, values)
                 for owner, pair, times in groups.links():
@@ -405,27 +471,23 @@ def second_pass(byte_path: str, piece_path: str, keep_groups: bool):
                         digests[owner].update(b";")
                     digests[owner].update(written[:-1].encode())
                     texts[owner].append(written[:-1] if keep_groups else "")
-            columns = [pa.array([i for i, _ in docs], pa.int64()), *map(pa.array, facts),
-                       pa.array([d.hexdigest() if t else "" for d, t in zip(digests, texts)]),
-                       pa.array([";".join(t) for t in texts] if keep_groups else [None] * len(docs), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in ALIGNED.split(", ")])
-            docs, size = [], 0
+            columns = [pa.array(doc_ids, pa.int64()), *map(pa.array, facts),
+                       pa.array([d.hexdigest() if t else "" for d, t in zip(digests, texts)], pa.string()),
+                       pa.array([";".join(t) if keep_groups else None for t in texts], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in ALIGNED.split(", ")])
 
         for row in _rows(batches):
             if row["batch"] != at:
-                if docs:
-                    yield from flush()
-                at, known = row["batch"], None
-                answers.clear()
+                at, answers, known = row["batch"], [], None
             if row["place"] is None:
                 answers.append(row)
                 continue
-            docs.append((row["doc_id"], row["text"]))
-            size += len(row["text"] or "")
-            if size > 1 << 20 or len(docs) > 10_000:
-                yield from flush()
-        if docs:
-            yield from flush()
+            if known is None:
+                parts = [np.concatenate([np.frombuffer(x[c], kind) for x in answers] or [np.empty(0, kind)])
+                         for c, kind in (("pairs", "<i8"), ("counts", "<i8"), ("best", bool))]
+                order = np.argsort(parts[0])
+                known, answers = [p[order] for p in parts], []
+            yield aligned(row["doc_ids"], restored(len(row["doc_ids"]), row["sizes"], row["ids"]))
     return run
 
 
@@ -494,7 +556,7 @@ class PairTable:
         asked = self._with_batches(self.table, ["batch", "pairs"])
         answers = self.stages.write("answers", streamed(
             asked, ["block", "part"], [F.col("levels").isNull()], answerer, ANSWERS))
-        docs = self.batches.where(F.col("place").isNotNull()).select("batch", "place", "doc_id", "text")
+        docs = self.batches.where(F.col("place").isNotNull()).select("batch", "place", "doc_ids", "sizes", "ids")
         rows = docs.unionByName(answers, allowMissingColumns=True)
         out = streamed(rows, ["batch"], [F.col("place").asc_nulls_first()],
                        second_pass(*self.paths, keep_groups), ALIGNED)

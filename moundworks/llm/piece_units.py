@@ -18,7 +18,7 @@ from moundworks.llm.common import worker_cache
 SPACE = "▁"
 UNIT = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
 SEAM = re.compile(r"(?<=[^ ])(?= )")
-CACHED_UNITS, CACHED_CHARS = 200_000, 64
+CACHED_UNITS, CACHED_CHARS = 120_000, 64
 
 
 class PieceUnits:
@@ -91,9 +91,11 @@ class PieceUnits:
         """Values of the units of each part, in order."""
         split = [UNIT.findall(p) if self.splits else [p] * bool(p) for p in parts]
         new = set().union(*split).difference(self.fresh)
-        again = new.intersection(self.old)
-        self.fresh.update((u, self.old[u]) for u in again)
-        new = list(new - again)
+        if self.old:
+            again = {u: self.old[u] for u in new if u in self.old}
+            self.fresh.update(again)
+            new = new.difference(again)
+        new = list(new)
         self.fresh.update(zip(new, self._encoded(new) if new else ()))
         values = [list(map(self.fresh.__getitem__, units)) for units in split]
         for unit in new:

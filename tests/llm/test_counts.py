@@ -196,7 +196,7 @@ def test_alignment_equals_plain_version(spark, docs, monkeypatch, batch_bytes, b
     for name, value in (("PART_CHARS", chars), ("ROUND_TOKENS", tokens), ("SMALL_GROUP", small)):
         monkeypatch.setattr(alignment, name, value)
     if batch_bytes < 1_000:
-        monkeypatch.setattr(alignment, "by_size", lambda batches: (
+        monkeypatch.setattr(alignment, "by_size", lambda batches, most: (
             b.slice(i, 1) for b in batches for i in range(b.num_rows)))
     table = alignment.PairTable(spark, docs, BPE, PIECES, batch_bytes, blocks, fan_in)
     plain = list(PlainAlignment().rows(TEXTS))
