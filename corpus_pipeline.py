@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm import cross_parsing, near_texts, packing, privacy, repeats
+from moundworks.llm import cross_parsing, packing, privacy, repeats, simhash
 from moundworks.llm.common import Stages
 
 #: A text whose phrases are shorter than two letters on average is in no language that was learned.
@@ -42,9 +42,24 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group that links of five-word similarity 0.8 or more join: the smallest id."""
+    """Keeps one document of each group that SimHash links join: the row of the smallest id, rows without
+    an id last, and of several rows of that id the one of the smallest text hash.
+
+    A text takes part under its 64-bit hash, so rows are decided one by one, whatever their ids; rows of
+    one id and text are copies.
+    """
     _small_batches(spark)
-    return near_texts.kept_rows(spark, docs)
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = simhash.near_copies(spark, docs.select(key.alias("doc_id"), "text"))
+    group = found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
+    copies = docs.groupBy("doc_id", key.alias("key")).agg(F.count("*").alias("n"))
+    stay = copies.join(group, "key").groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")).alias("low")).select("low.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       F.col("doc_id").alias("own_id"), key.alias("own_key"))
+    kept = rows.join(stay, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")))
+    once = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["own_id", "own_key"]))
+    return once.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
