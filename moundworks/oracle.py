@@ -287,6 +287,13 @@ CTES = {
       coalesce(sum(sqrt(d_ivb * d_ivb + d_hb * d_hb) / (1 + d_vaa) * w), 0) AS tunnel_score,
       coalesce(sum(d_velo * w), 0) AS velo_band, coalesce(sum(mirror * w), 0) AS mirror_score
     FROM base LEFT JOIN pairs USING (pitcher, game_year) GROUP BY ALL""",
+    "pitch_pairs": """
+    WITH thrown AS (SELECT *, row_number() OVER (ORDER BY pitch_pk) AS id FROM p)
+    SELECT a.pitcher, a.game_year, a.release_extension * b.release_extension AS w,
+      abs(a.release_speed - b.release_speed) AS d_velo, abs(a.pfx_z - b.pfx_z) AS d_ivb,
+      abs(a.pfx_x - b.pfx_x) AS d_hb, abs(a.pfx_x + b.pfx_x) AS mirror,
+      sqrt(pow(a.release_speed - b.release_speed, 2) + pow(a.pfx_z - b.pfx_z, 2) + pow(a.pfx_x - b.pfx_x, 2)) AS apart
+    FROM thrown a JOIN thrown b ON a.pitcher = b.pitcher AND a.game_year = b.game_year AND a.id < b.id""",
     "k_rates": """
     SELECT key_mlbam AS pitcher, game_year, "K_percent"
     FROM seasons JOIN players ON "IDfg" = key_fangraphs""",
@@ -601,6 +608,17 @@ BODIES: dict[str, tuple[str, str]] = {
     "arsenal_interactions_of_targets": ("SELECT * FROM inter", "velo_int ivb_int hb_int vaa_int stuff_int "
                              "min_shape_distance"),
     "arsenal_advanced_of_targets": ("SELECT * FROM advanced", "tunnel_score velo_band mirror_score"),
+    "arsenal_interactions_by_scan_of_targets": (
+        "SELECT i.*, a.mirror_score FROM inter i JOIN advanced a USING (pitcher, game_year)",
+        "velo_int ivb_int hb_int vaa_int stuff_int min_shape_distance mirror_score"),
+    "pitch_pair_sums": ("""SELECT pitcher, game_year, coalesce(sum(d_velo * w), 0) / any_value(n * n) AS velo_gap,
+        coalesce(sum(d_ivb * w), 0) / any_value(n * n) AS ivb_gap, coalesce(sum(d_hb * w), 0) / any_value(n * n) AS hb_gap,
+        coalesce(sum(mirror * w), 0) / any_value(n * n) AS hb_mirror
+        FROM (SELECT pitcher, game_year, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY ALL) LEFT JOIN pitch_pairs USING (pitcher, game_year) GROUP BY ALL""",
+        "velo_gap ivb_gap hb_gap hb_mirror"),
+    "closest_pitches": ("""SELECT pitcher, game_year, coalesce(min(apart), 0) AS least_distance
+        FROM (SELECT DISTINCT pitcher, game_year FROM p) LEFT JOIN pitch_pairs USING (pitcher, game_year) GROUP BY ALL""",
+        "least_distance"),
     "arsenal_features_of_targets": (
         "SELECT * FROM arsenals",
         "base_score velo_int ivb_int hb_int vaa_int stuff_int min_shape_distance tunnel_score "

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from moundworks import schema as S
 from moundworks.functions import pitch as P
+from moundworks.operators import pair_sums as X_any
 from moundworks.operators import pairs as X
 from moundworks.operators.learn import RidgeModel, residual, ridge_cv, standardize
 from moundworks.operators.metrics import known, plus_score
@@ -72,6 +73,18 @@ def advanced_interactions(profile: DataFrame) -> DataFrame:
     return _pairs(profile, ADVANCED, {})
 
 
+def interactions_by_scan(profile: DataFrame) -> DataFrame:
+    """The interactions of standardised profiles that need no pair formed, whatever a group's size; the
+    tunnel score, a product of two distances, has no such form."""
+    profile = cut_lineage(profile)
+    sums = X_any.pair_sums(
+        profile, S.SEASON_KEY, "usage_weight",
+        {"velo_int": "avg_velo", "ivb_int": "avg_ivb", "hb_int": "avg_hb", "vaa_int": "avg_vaa",
+         "stuff_int": "stuff_value"}, {"mirror_score": "avg_hb"})
+    closest = X_any.closest_pairs(profile, S.SEASON_KEY, [f"{c}_z" for c in SHAPE], "min_shape_distance")
+    return sums.join(closest, S.SEASON_KEY)
+
+
 def arsenal_features(profile: DataFrame) -> DataFrame:
     """Base score and all interactions; the pairs are folded once for both families."""
     profile = cut_lineage(profile)  # an aggregate read three times; its input is every pitch

@@ -17,7 +17,7 @@ from moundworks import fixtures
 from moundworks import schema as S
 from moundworks.functions import pitch as P
 from moundworks.models import Models
-from moundworks.operators import learn, metrics
+from moundworks.operators import learn, metrics, pair_sums
 from moundworks.operators import states as G
 from moundworks.operators.quantile import exact_quantile
 from moundworks.operators.scan import running_sum
@@ -172,6 +172,28 @@ def _arsenal_interactions(t: Models) -> DataFrame:
     return arsenal.interactions(t.profile(t.mean_target()))
 
 
+def _interactions_by_scan(t: Models) -> DataFrame:
+    """The interactions of a repertoire without folding it: for groups of any size."""
+    profile = learn.standardize(t.profile(t.mean_target()), arsenal.SHAPE)
+    return arsenal.interactions_by_scan(profile)
+
+
+def _pitch_pair_sums(t: Models) -> DataFrame:
+    """All pairs of single pitches of a pitcher's season, per square of their number."""
+    sums = pair_sums.pair_sums(
+        t.pitches(), S.SEASON_KEY, "release_extension",
+        {"velo_gap": "release_speed", "ivb_gap": "pfx_z", "hb_gap": "pfx_x"}, {"hb_mirror": "pfx_x"})
+    sizes = t.pitches().groupBy(*S.SEASON_KEY).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return sums.join(sizes, S.SEASON_KEY).select(
+        *S.SEASON_KEY, *[(F.col(c) / (F.col("n") * F.col("n"))).alias(c) for c in
+                         ("velo_gap", "ivb_gap", "hb_gap", "hb_mirror")])
+
+
+def _closest_pitches(t: Models) -> DataFrame:
+    return pair_sums.closest_pairs(
+        t.pitches(), S.SEASON_KEY, ["release_speed", "pfx_z", "pfx_x"], "least_distance")
+
+
 def _reversed_csv(t: Models, df: DataFrame, name: str) -> str:
     """A CSV file whose columns stand in another order than the schema's."""
     path = f"{t.workspace.new_path(name)}.csv"
@@ -300,6 +322,9 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "k_rate_by_pitcher": lambda t: arsenal.k_rates(t.seasons(), t.players()),
     "arsenal_interactions_of_targets": _arsenal_interactions,
     "arsenal_advanced_of_targets": lambda t: arsenal.advanced_interactions(t.profile(t.mean_target())),
+    "arsenal_interactions_by_scan_of_targets": _interactions_by_scan,
+    "pitch_pair_sums": _pitch_pair_sums,
+    "closest_pitches": _closest_pitches,
     "arsenal_features_of_targets": lambda t: arsenal.arsenal_features(t.profile(t.mean_target())),
     "arsenal_plus": lambda t: t.arsenal(),
     "arsenal_plus_of_targets": lambda t: t.fit_arsenal(t.mean_target())[0],
