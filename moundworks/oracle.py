@@ -512,6 +512,12 @@ BODIES: dict[str, tuple[str, str]] = {
         "WHERE game_year = 2025", " ".join(S.SEASON_NUMERIC)),
     "pitches_from_files": ("SELECT pitch_pk, pitcher, description FROM p WHERE game_date "
                            "BETWEEN DATE '2025-03-01' AND DATE '2025-12-31'", ""),
+    "pitches_loaded_by_spans": ("SELECT pitch_pk, pitcher, description FROM p WHERE game_date "
+                                "BETWEEN DATE '2024-01-01' AND DATE '2025-06-30'", ""),
+    "loaded_spans": ("""SELECT CAST(load AS BIGINT) AS load, first_day, last_day, count(game_date) AS n_rows
+        FROM (VALUES (1, '2024-01-01', '2024-12-31'), (2, '2025-01-01', '2025-06-30'), (3, '2025-06-15', '2025-06-15'))
+             AS v(load, first_day, last_day)
+        LEFT JOIN p ON game_date BETWEEN CAST(first_day AS DATE) AND CAST(last_day AS DATE) GROUP BY ALL""", ""),
     "sql_over_views": (
         'SELECT r.game_year, count(*) AS n_pitches, count(DISTINCT r.pitcher) AS n_pitchers, '
         'count(s."IDfg") AS in_season_lines FROM p r LEFT JOIN players m ON r.pitcher = m.key_mlbam '

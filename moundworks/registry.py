@@ -7,6 +7,7 @@ exactly between two decimals, where the last bit of a sum would decide.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -22,7 +23,7 @@ from moundworks.operators import states as G
 from moundworks.operators.quantile import exact_quantile
 from moundworks.operators.scan import running_sum
 from moundworks.plans import arsenal, nastiness, pitch_level, raw, relief, stuff
-from moundworks.sources import readers, writers
+from moundworks.sources import readers, spans, writers
 from moundworks.sources.readers import between
 
 GRID = 2.0 ** 20
@@ -220,6 +221,25 @@ def _pitches_from_files(t: Models) -> DataFrame:
         _pitch_pk().alias("pitch_pk"), "pitcher", "description")
 
 
+def _loaded_by_spans(t: Models) -> spans.SpanTable:
+    """Pitches loaded by a season, by a span that overlaps it, and by one that is stored already."""
+    pitches = t.raw_pitches()
+    table = spans.SpanTable(t.spark, t.workspace.new_path("spans"), pitches.schema, "game_date")
+
+    def source(a: date, b: date) -> DataFrame:
+        return between(t.pitches(), "game_date", F.lit(a), F.lit(b))
+    for first, last, refresh in ((date(2024, 1, 1), date(2024, 12, 31), False),
+                                 (date(2024, 6, 1), date(2025, 6, 30), False),
+                                 (date(2024, 2, 1), date(2025, 6, 15), False),
+                                 (date(2025, 6, 15), date(2025, 6, 15), True)):
+        table.load(source, first, last, refresh)
+    return table
+
+
+def _pitches_by_spans(t: Models) -> DataFrame:
+    return _loaded_by_spans(t).read(date(2024, 1, 1)).select(_pitch_pk().alias("pitch_pk"), "pitcher", "description")
+
+
 def _sql_over_views(t: Models) -> DataFrame:
     t.register_views()
     return t.spark.sql("""
@@ -264,6 +284,9 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "register_from_csv": _register_from_csv,
     "season_numeric_from_csv": _seasons_from_csv,
     "pitches_from_files": _pitches_from_files,
+    "pitches_loaded_by_spans": _pitches_by_spans,
+    "loaded_spans": lambda t: _loaded_by_spans(t).manifest().select(
+        "load", F.col("start").cast("string").alias("first_day"), F.col("end").cast("string").alias("last_day"), "n_rows"),
     "sql_over_views": _sql_over_views,
     "table_create_only": _create_only,
     "csv_round_trip": _csv_round_trip,

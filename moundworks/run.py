@@ -9,13 +9,15 @@ the reports also as CSV.
 from __future__ import annotations
 
 import argparse
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moundworks import schema as S
 from moundworks.models import Models
 from moundworks.plans import nastiness, pitch_level, pitcher_level
-from moundworks.sources import readers, writers
+from moundworks.sources import readers, spans, writers
 from moundworks.storage import Workspace
 
 METRICS = {
@@ -28,10 +30,22 @@ METRICS = {
 
 
 def build(spark: SparkSession, pitches: str, register: str, seasons: str, out: str,
-          start: str = "2021-03-01", end: str = "2025-12-31", top_season: int = 2025) -> dict[str, DataFrame]:
-    """All stored tables by name."""
+          start: str = "2021-03-01", end: str = "2025-12-31", top_season: int = 2025,
+          incremental: bool = False) -> dict[str, DataFrame]:
+    """All stored tables by name.
+
+    ``incremental`` keeps the pitches of earlier runs below ``out`` and reads only days not stored yet.
+    """
+    def raw_pitches() -> DataFrame:
+        if not incremental:
+            return readers.read_pitches(spark, pitches, start, end)
+        table = spans.SpanTable(spark, f"{out}/pitches_by_span", S.RAW_PITCHES, "game_date")
+        first, last = date.fromisoformat(start), date.fromisoformat(end)
+        table.load(lambda a, b: readers.read_pitches(spark, pitches, a.isoformat(), b.isoformat()), first, last)
+        return table.read(first, last)
+
     models = Models(
-        spark, Workspace(spark, out), lambda: readers.read_pitches(spark, pitches, start, end),
+        spark, Workspace(spark, out), raw_pitches,
         lambda: readers.read_player_register(spark, register),
         lambda: readers.read_season_stats(spark, seasons, int(start[:4]), int(end[:4])))
     keep = models.workspace.table
@@ -66,6 +80,7 @@ if __name__ == "__main__":
     parser = argparse.ArgumentParser(description=__doc__)
     for option in ("pitches", "register", "seasons", "out"):
         parser.add_argument(f"--{option}", required=True)
+    parser.add_argument("--incremental", action="store_true")
     parser.add_argument("--start", default="2021-03-01")
     parser.add_argument("--end", default="2025-12-31")
     args = parser.parse_args()
