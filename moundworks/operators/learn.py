@@ -14,8 +14,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moundworks.operators.forest_walk import flattened, stored_nodes, walked
 from moundworks.operators.metrics import known, z_score
-from moundworks.operators.scan import contiguous_folds, row_position
+from moundworks.operators.scan import contiguous_folds
 from moundworks.storage import cut_lineage
 
 ALPHAS = np.logspace(-3, 3, 50)
@@ -185,13 +186,13 @@ def forest_layout(rows: DataFrame, key: list[str], n: int) -> DataFrame:
     """``rows`` over a number of partitions, and in an order, that depend on the data alone.
 
     A bootstrap is seeded by partition, so the same rows give the same forest on any cluster. The
-    partitions grow with the square root of ``n``, their rows likewise. Rows are dealt by their position
-    in the order of ``key`` and a hash of the other columns, so copies of one row spread.
+    partitions grow with the square root of ``n``, their rows likewise. Rows are dealt and ordered by
+    ``key`` and a hash of the other columns; rows that agree in all of them are interchangeable.
     """
-    parts, at, rest = math.ceil(math.sqrt(n / 1000)), "forest_row", "forest_hash"
+    parts, rest = math.ceil(math.sqrt(n / 1000)), "forest_hash"
     others = [c for c in rows.columns if c not in key]
-    placed = row_position(rows.withColumn(rest, F.xxhash64(*others)), at, [*key, rest])
-    return placed.repartition(parts, at).sortWithinPartitions(at).drop(at, rest)
+    placed = rows.withColumn(rest, F.xxhash64(*others))
+    return placed.repartition(parts, *key, rest).sortWithinPartitions(*key, rest).drop(rest)
 
 
 def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], label: str,
@@ -237,14 +238,9 @@ def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], lab
         scored = rows_of(value)
         if scored.rdd.getNumPartitions() < cores:  # predictions do not depend on the layout
             scored = scored.repartition(cores)
-        for out, kept in views.items():
-            view = [F.col(f) if f in kept else F.lit(m) for f, m in zip(features, means)]
-            names = [f"{f}_view" for f in features]
-            scored = VectorAssembler(inputCols=names, outputCol=f"{out}_vector").transform(
-                scored.withColumns(dict(zip(names, view)))).drop(*names)
-            view_model = model.copy().setFeaturesCol(f"{out}_vector").setPredictionCol(out)
-            scored = view_model.transform(scored).drop(f"{out}_vector")
-        return scored
+        flat = flattened(stored_nodes(matrix.sparkSession, model), {
+            out: {i for i, f in enumerate(features) if f in kept} for out, kept in views.items()}, list(means))
+        return walked(scored, features, flat)
 
     with ThreadPoolExecutor(parallel) as pool:
         models = list(pool.map(fit, groups))

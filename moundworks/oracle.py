@@ -632,6 +632,7 @@ BODIES: dict[str, tuple[str, str]] = {
     "stuff_plus_of_targets": ("SELECT * FROM stuff_t", "stuff_value Stuff_plus"),
     "forest_facts": (
         "SELECT m.pitch_type, m.pitches, true AS unbiased, true AS better_than_mean, true AS velocity_alone, "
+        "true AS shape_counts, true AS velocity_counts, "
         "scored_seasons, scored_pitches, CASE WHEN scored_seasons > 0 THEN true END AS centred "
         "FROM (SELECT pitch_type, count(*) AS pitches FROM matrix GROUP BY pitch_type) m LEFT JOIN "
         "(SELECT pitch_type, count(*) AS scored_seasons, CAST(sum(pitches) AS BIGINT) AS scored_pitches "

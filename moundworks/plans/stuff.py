@@ -127,12 +127,15 @@ def stuff_plus(scored: DataFrame, min_pitches: int = 10) -> DataFrame:
     return type_scores(scored, PREDICTIONS, min_pitches)
 
 
-def forest_facts(scored: DataFrame, scores: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """What must hold of any forest, per pitch type.
+def forest_facts(scored: DataFrame, scores: DataFrame, tolerance: float = 0.02, learned: float = 0.9,
+                 small: int = 225, large: int = 1000) -> DataFrame:
+    """What must hold of any forest that learned something, per pitch type.
 
     Each score has mean 100 and deviation 10; the mean prediction is the mean target up to
-    ``tolerance``; the error is at most that of the type's mean target; pitches with equal velocity
-    features have equal velocity predictions.
+    ``tolerance``; pitches with equal velocity features have equal velocity predictions. In types of
+    ``small`` pitches, three leaves' worth, the error is at most the share ``learned`` of the type's
+    variance and the shape moves its prediction; in ``large`` ones velocity moves its own too. A
+    constant prediction fails all three.
     """
     def scaled(name: str) -> Column:
         plus = f"{name.title()}_plus"
@@ -143,11 +146,14 @@ def forest_facts(scored: DataFrame, scores: DataFrame, tolerance: float = 0.02)
     of_scores = scores.groupBy("pitch_type").agg(
         F.count("*").alias("scored_seasons"), F.sum("pitches").alias("scored_pitches"),
         centred.alias("centred"))
-    miss = F.col("target") - F.col("stuff_pred")
+    miss, n = F.col("target") - F.col("stuff_pred"), F.count("*")
+    share = F.when(n >= small, learned).otherwise(1 + tolerance)
     of_pitches = scored.groupBy("pitch_type").agg(
-        F.count("*").alias("pitches"),
+        n.alias("pitches"),
         (F.abs(F.avg(miss)) <= tolerance).alias("unbiased"),
-        (F.avg(miss * miss) <= F.var_pop("target") * (1 + tolerance) + 1e-12).alias("better_than_mean"))
+        (F.avg(miss * miss) <= F.var_pop("target") * share + 1e-12).alias("better_than_mean"),
+        ((n < small) | (F.stddev_pop("shape_pred") > 1e-6)).alias("shape_counts"),
+        ((n < large) | (F.stddev_pop("velo_pred") > 1e-6)).alias("velocity_counts"))
     alike = scored.groupBy("pitch_type", *S.VELOCITY_FEATURES).agg(
         (F.max("velo_pred") - F.min("velo_pred")).alias("apart")).groupBy("pitch_type").agg(
         (F.max("apart") < 1e-9).alias("velocity_alone"))

@@ -5,11 +5,15 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from moundworks.operators import learn, metrics, pairs
+from moundworks import schema as S
+from moundworks.operators import forest_walk, learn, metrics, pairs
 from moundworks.operators import states as G
 from moundworks.operators.quantile import exact_quantile
+from moundworks.plans import stuff
 from moundworks.storage import sized_lookup
 
 
@@ -201,3 +205,48 @@ def test_forest_is_repeatable_and_neutralises_features(spark):
     assert one.groupby("kind")["full"].mean().values == pytest.approx(pdf.groupby("kind")["t"].mean().values, rel=0.05)
     assert one[one.kind == "a"]["y_only"].std() < 0.2 * one[one.kind == "a"]["x_only"].std()
     assert learn.fit_predict_by_group(df.where("i < 0"), "kind", ["x"], "t", {"f": ["x"]}) is None
+
+
+@pytest.mark.parametrize("trees, depth", [(1, 0), (7, 1), (20, 5)])
+def test_one_walk_gives_the_predictions_of_the_forest(spark, trees, depth):
+    """Bit by bit those of the library, view by view."""
+    rng = np.random.default_rng(8)
+    names = ["x", "y", "z"]
+    pdf = pd.DataFrame({c: rng.normal(size=400).round(1) for c in names})
+    pdf["t"] = pdf.x * pdf.y + (pdf.z > 0.3) + rng.normal(size=400) * 0.1
+    df = frame(spark, pdf).repartition(3)
+    means = [float(v) for v in pdf[names].mean()]
+    assemble = VectorAssembler(inputCols=names, outputCol="features").transform
+    model = RandomForestRegressor(labelCol="t", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=3).fit(assemble(df))
+    views = {"all": {0, 1, 2}, "x_z": {0, 2}, "y_only": {1}, "none": set()}
+    flat = forest_walk.flattened(forest_walk.stored_nodes(spark, model), views, means)
+    got = forest_walk.walked(df, names, flat).toPandas()
+    for out, kept in views.items():
+        seen = pd.DataFrame({c: got[c] if i in kept else means[i] for i, c in enumerate(names)}, index=got.index)
+        want = model.transform(assemble(frame(spark, seen).coalesce(1))).select("prediction").toPandas()["prediction"]
+        np.testing.assert_array_equal(got[out], want)
+    assert forest_walk.walked(df.where("x > 99"), names, flat).count() == 0
+
+
+def test_forest_facts_are_red_for_a_constant(spark):
+    """The mean target of each type in place of the three predictions, and a forest's own."""
+    rng = np.random.default_rng(9)
+    n = 3_000
+    pdf = pd.DataFrame({c: rng.normal(size=n) for c in S.STUFF_FEATURES})
+    pdf["pitcher"], pdf["game_year"] = rng.integers(0, 40, n), 2024
+    pdf["pitch_type"] = np.where(rng.random(n) < 0.5, "FF", "SL")
+    pdf["velo"] = pdf["velo"].round(1)
+    pdf["velo_sq"] = pdf["velo"] ** 2
+    pdf["target"] = np.sin(pdf["velo"]) + pdf["ivb"] + rng.normal(size=n) * 0.3
+    for i, c in enumerate(S.PITCH_KEY):
+        if c != "pitcher":
+            pdf[c] = np.arange(n) * (i + 1)
+    matrix = frame(spark, pdf)
+    learned = stuff.predictions(matrix, trees=5, depth=5, min_leaf=20).cache()
+    names = ["unbiased", "better_than_mean", "shape_counts", "velocity_counts", "velocity_alone"]
+    facts = stuff.forest_facts(learned, stuff.stuff_plus(learned)).collect()
+    assert len(facts) == 2 and all(r[c] for r in facts for c in names)
+    mean = learned.groupBy("pitch_type").agg(F.avg("target").alias("mean"))
+    constant = learned.join(mean, "pitch_type").withColumns({c: F.col("mean") for c in stuff.PREDICTIONS.values()})
+    for r in stuff.forest_facts(constant, stuff.stuff_plus(constant)).collect():
+        assert not (r["better_than_mean"] or r["shape_counts"] or r["velocity_counts"])
