@@ -25,24 +25,32 @@ BLOCK_ROWS = 256
 
 @dataclass
 class FlatForest:
-    """Nodes of all views; a leaf is its own child. ``roots`` has a row per view."""
+    """Nodes of all views; ``children`` has the left and the right one of each, a leaf is its own child.
+
+    ``roots`` and ``depths`` have a row per view and a column per tree.
+    """
     views: list[str]
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    children: np.ndarray
     value: np.ndarray
     roots: np.ndarray
-    depth: int
+    depths: np.ndarray
 
     def predict(self, rows: np.ndarray) -> np.ndarray:
         """(rows, views): the mean of the trees, added in their order."""
-        node = np.broadcast_to(self.roots.ravel(), (len(rows), self.roots.size))
-        at = np.arange(len(rows))[:, None]
-        for _ in range(self.depth):
-            low = rows[at, self.feature[node]] <= self.threshold[node]
-            node = np.where(low, self.left[node], self.right[node])
-        leaves = self.value[node].reshape(len(rows), *self.roots.shape)
+        deep = np.argsort(-self.depths.ravel(), kind="stable")
+        depths = self.depths.ravel()[deep]
+        node = np.repeat(self.roots.ravel()[deep][:, None], len(rows), 1)  # a row per tree, deep ones first
+        values, n = np.ascontiguousarray(rows.T).ravel(), len(rows)
+        at = np.arange(n)
+        for level in range(int(depths[0])):
+            going = node[:np.searchsorted(-depths, -level)]
+            high = ~(values.take(self.feature.take(going) * n + at) <= self.threshold.take(going))
+            going[:] = self.children.take(2 * going + high)
+        leaves = np.empty_like(node, np.float64)
+        leaves[deep] = self.value.take(node)
+        leaves = leaves.T.reshape(n, *self.roots.shape)
         total = np.zeros((len(rows), len(self.views)))
         for tree in range(leaves.shape[2]):
             total += leaves[:, :, tree]
@@ -67,26 +75,23 @@ def flattened(nodes: list[tuple], views: dict[str, set[int]], fixed: list[float]
     for tree, *node in nodes:
         trees.setdefault(tree, {})[node[0]] = node
     flat: list[list] = []  # feature, threshold, left, right, value
-    deepest = 0
 
-    def place(tree: dict[int, tuple], i: int, kept: set[int], level: int) -> int:
-        nonlocal deepest
+    def place(tree: dict[int, tuple], i: int, kept: set[int]) -> tuple[int, int]:
+        """The place of a subtree and its depth."""
         _, value, left, right, feature, threshold = tree[i]
         while left >= 0 and feature not in kept:
             _, value, left, right, feature, threshold = tree[left if fixed[feature] <= threshold else right]
-        at = len(flat)
+        at, deepest = len(flat), 0
         flat.append([0, np.inf, at, at, value])
-        deepest = max(deepest, level)
         if left >= 0:
-            flat[at][:2] = feature, threshold
-            flat[at][2] = place(tree, left, kept, level + 1)
-            flat[at][3] = place(tree, right, kept, level + 1)
-        return at
+            (low, a), (high, b) = place(tree, left, kept), place(tree, right, kept)
+            flat[at][:4], deepest = (feature, threshold, low, high), 1 + max(a, b)
+        return at, deepest
 
-    roots = [[place(trees[t], 0, kept, 0) for t in sorted(trees)] for kept in views.values()]
+    placed = np.array([[place(trees[t], 0, kept) for t in sorted(trees)] for kept in views.values()])
     feature, threshold, left, right, value = zip(*flat)
-    return FlatForest(list(views), np.array(feature, np.int32), np.array(threshold), np.array(left, np.int32),
-                      np.array(right, np.int32), np.array(value), np.array(roots, np.int32), deepest)
+    return FlatForest(list(views), np.array(feature), np.array(threshold), np.stack([left, right], 1).ravel(),
+                      np.array(value), placed[..., 0], placed[..., 1])
 
 
 def walked(df: DataFrame, features: list[str], forest: FlatForest) -> DataFrame:
