@@ -3,15 +3,16 @@
 Per language the suffix automaton of some labelled text is built; it accepts every substring of
 that text. A document is parsed, from left to right, into the longest phrases the automaton accepts,
 and the language that needs the fewest phrases per letter wins: the entropy of the document relative
-to that language is smallest. Letters are lower-cased, runs of other characters are one space. Texts
-are parsed as a whole, in blocks of ``BLOCK`` letters that are steps of one numpy walk.
+to that language is smallest. Letters are lower-cased, runs of other characters are one space. A text
+is one parse: its blocks of ``BLOCK`` letters are steps of one numpy walk and then joined by their states.
 
 Learning takes a bounded sample: ``SAMPLE_ROWS`` labelled rows per language by hash, up to
 ``SAMPLE_LETTERS`` letters of them, and ``ALL_LETTERS`` over all languages, which share them equally.
 The automata are sent to the workers; their size is bounded by that.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was
-learned; ties go to the language that sorts first; letters no language has are phrases of their own;
+learned; ties go to the language that sorts first; letters no language has are phrases of their own
+(letters beyond the ``OWN_CLASSES`` commonest of all languages share ``SHARED`` classes by code point);
 repeated rows and null ids are predicted like others, but one text of an id (the first in order) is
 learned from, and none of a null id; an empty table gives an empty result; other
 columns are ignored.
@@ -33,6 +34,8 @@ from moundworks.llm.common import by_size, worker_cache
 
 SAMPLE_ROWS, SAMPLE_LETTERS, ALL_LETTERS = 64, 40_000, 400_000
 BLOCK = 512
+#: Letters within which two walks of a block usually meet.
+MEETING = 64
 #: Letters of a piece of training text that is kept or left out as a whole.
 SEGMENT = 256
 #: Letters with a class of their own; all others share ``SHARED`` classes by code point.
@@ -135,24 +138,63 @@ def automaton_table(goes: list[dict[int, int]], classes: int) -> np.ndarray:
 
 
 def phrase_counts(kinds: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray, classes: int) -> np.ndarray:
-    """Phrases of each of ``n`` documents under one automaton."""
+    """Phrases of each of ``n`` documents under one automaton, each parsed as a whole.
+
+    All blocks are first walked from the start of a phrase. A block that follows another one is then
+    walked from the state that one ends in, until both walks are in one state, from where they are
+    one; if they do not meet soon, to its end, and if it ends in another state than before, its
+    follower is walked anew.
+    """
     sizes = np.bincount(doc, minlength=n)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(n), blocks)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     starts = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
     length = np.minimum(sizes[owner] - nth * BLOCK, BLOCK)
-    order = np.argsort(-length, kind="stable")
-    starts, length = starts[order], length[order]
-    state, count = np.zeros(len(order), np.int32), np.ones(len(order), np.int64)
-    active = len(order)
-    for j in range(int(length[0]) if len(length) else 0):
-        while active and length[active - 1] <= j:
-            active -= 1
-        to = table[state[:active] * classes + kinds[starts[:active] + j]]
-        count[:active] += to >> 28
-        state[:active] = to & NEXT
-    return np.bincount(owner[order], count, n)
+    by_length = np.argsort(-length, kind="stable")
+    states = np.zeros((MEETING, len(owner)), np.int32)
+    counts = np.zeros((MEETING, len(owner)), np.int64)
+
+    def walk(some: np.ndarray, state: np.ndarray, steps: int, each=None) -> tuple[np.ndarray, np.ndarray]:
+        """Last states and counts of blocks that are given longest first."""
+        state, count, active = state.copy(), np.zeros(len(some), np.int64), len(some)
+        for j in range(min(steps, int(length[some[0]]) if active else 0)):
+            while active and length[some[active - 1]] <= j:
+                active -= 1
+            to = table[state[:active] * classes + kinds[starts[some[:active]] + j]]
+            count[:active] += to >> 28
+            state[:active] = to & NEXT
+            if each:
+                each(j, active, state, count)
+        return state, count
+
+    def keep(j: int, active: int, state: np.ndarray, count: np.ndarray) -> None:
+        if j < MEETING:
+            states[j, by_length[:active]], counts[j, by_length[:active]] = state[:active], count[:active]
+
+    ends, totals = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
+    ends[by_length], totals[by_length] = walk(by_length, np.zeros(len(owner), np.int32), BLOCK, keep)
+    first_ends, first_totals = ends.copy(), totals.copy()
+    todo = by_length[nth[by_length] > 0]
+    while len(todo):
+        entry = ends[todo - 1]
+        met, total = np.zeros(len(todo), bool), np.zeros(len(todo), np.int64)
+
+        def meet(j: int, active: int, state: np.ndarray, count: np.ndarray) -> None:
+            some = todo[:active]
+            new = ~met[:active] & (state[:active] == states[j, some])
+            total[:active][new] = (count[:active] + first_totals[some] - counts[j, some])[new]
+            met[:active] |= new
+        walk(todo, entry, MEETING, meet)
+        before = ends[todo]
+        ends[todo[met]], totals[todo[met]] = first_ends[todo[met]], total[met]
+        apart = todo[~met]
+        ends[apart], totals[apart] = walk(apart, entry[~met], BLOCK)
+        after = todo[ends[todo] != before] + 1
+        after = after[after < len(owner)]
+        after = after[nth[after] > 0]
+        todo = after[np.argsort(-length[after], kind="stable")]
+    return np.bincount(owner, totals, n) + (sizes > 0)
 
 
 def _tables(segments: dict[str, list[np.ndarray]], classes: int) -> dict[str, np.ndarray]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from moundworks.llm import block_search, metric_join, privacy, queries
+from moundworks.llm import block_search, cross_parsing, metric_join, privacy, queries
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -179,3 +179,33 @@ def test_rows_of_one_id_are_decided_one_by_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r["doc_id"], " ".join(r["text"].split())) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(1, text), (2, other), (None, "only once")], key=str)
+
+
+def greedy_phrases(kinds, trained):
+    """Phrases of a parse from left to right, each the longest that the training text holds."""
+    trained, n, at = "".join(map(chr, trained)), 0, 0
+    text = "".join(map(chr, kinds))
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at:at + size + 1] in trained:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_long_texts_are_one_parse(monkeypatch):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(300)]
+    trained = " ".join(rng.choice(words, 2_000))
+    letters = cross_parsing.Letters.seen_in([trained])
+    kinds = letters.of([trained])[0]
+    table = cross_parsing.automaton_table(cross_parsing.suffix_automaton(kinds.tolist()), letters.count)
+    texts = [trained[:8_000], " ".join(rng.choice(words, 1_500)), "".join(rng.choice(list("abcdefgh "), 6_000)),
+             trained[5:3_000] + trained[70:2_500] * 2, "", "a", "abc" * 700, trained[:512], trained[:513], trained[100:1_124]]
+    for block, meeting in ((512, 64), (7, 3), (50, 1)):
+        monkeypatch.setattr(cross_parsing, "BLOCK", block)
+        monkeypatch.setattr(cross_parsing, "MEETING", meeting)
+        own, doc = letters.of(texts)
+        got = cross_parsing.phrase_counts(own, doc, len(texts), table, letters.count)
+        want = [greedy_phrases(own[doc == i].tolist(), kinds.tolist()) for i in range(len(texts))]
+        assert got.tolist() == want and want[0] == 1 and max(want) > 500
