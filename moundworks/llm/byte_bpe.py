@@ -5,8 +5,12 @@ into chunks that overlap by ``OVERLAP``; they are rows of their own, pre-tokenis
 their own first character. Where two neighbours first begin a piece at the same place of their
 overlap they have resynchronised: from there on both cut alike, so the text is stitched at that
 place. Pieces between stitches are encoded in parallel and their ids joined in order. Where two
-chunks never agree (one run without white space longer than the overlap), the rest of that text
-stays one piece. Decoding concatenates the raw bytes of the ids.
+chunks never agree (one run without white space longer than the overlap), the two stay in one piece,
+and the next stitch ends it. Decoding concatenates the raw bytes of the ids.
+
+A stitch is kept only where white space follows a visible character and is no line break behind a
+sign. Patterns whose pieces hold white space inside only as line breaks behind signs (as the public
+ones do) always begin a piece there, wherever they began to read.
 
 Cases: a null text is empty and has no ids; repeated rows and null ids are documents of their own;
 an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moundworks.llm.common import Stages, worker_cache
+from moundworks.llm.common import Stages, by_size, worker_cache
 
 CHUNK, OVERLAP = 32_768, 512
 ENCODED = "doc_id long, ids binary"
@@ -59,7 +63,7 @@ def text_encoder(path: str, pattern: str):
     """Replaces ``text`` by ``ids``: little-endian unsigned 32-bit integers."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoding_of(path, pattern)
-        for batch in batches:
+        for batch in by_size(batches):
             ids = [np.array(encoding.encode_ordinary(t.as_py() or ""), "<u4").tobytes()
                    for t in batch.column("text")]
             names = [n for n in batch.schema.names if n != "text"]
@@ -71,7 +75,7 @@ def text_encoder(path: str, pattern: str):
 def chunk_cutter(chunk: int, overlap: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in by_size(batches):
             for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
                 uid += 1
                 parts = [text[a:a + chunk + overlap] for a in range(0, len(text), chunk)]
@@ -95,15 +99,19 @@ def boundary_finder(pattern: str, chunk: int, overlap: int):
     Places are relative to the chunk whose head it is. Kept are those whose piece begins with white
     space after a visible character: what stands before cannot reach beyond them.
     """
+    def seam(text: str, s: int) -> bool:
+        before, at = text[s - 1:s], text[s]
+        breaks = at in "\r\n" or "\x1c" <= at <= "\x1f"
+        return at.isspace() and s > 0 and not before.isspace() and (before.isalnum() or not breaks)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         pieces = regex.compile(pattern)
-        for batch in batches:
+        for batch in by_size(batches):
             heads, tails = [], []
             for text in batch.column("text").to_pylist():
                 starts = [m.start() for m in pieces.finditer(text) if m.end() < len(text)]
-                seams = [s for s in starts if (s < overlap or s >= chunk)
-                         and text[s].isspace() and s and not text[s - 1].isspace()]
+                seams = [s for s in starts if (s < overlap or s >= chunk) and seam(text, s)]
                 heads.append([s for s in seams if s < overlap])
                 tails.append([s - chunk for s in seams if s >= chunk])
             ints = pa.list_(pa.int32())
@@ -120,8 +128,7 @@ def stitched(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataF
     row = W.partitionBy("uid").orderBy("k")
     common = F.array_intersect("head", F.lag("tail").over(row))
     seams = found.withColumn("cut", F.when(F.col("k") > 0, F.try_element_at(common, F.lit(1))))
-    met = F.when((F.col("k") == 0) | F.col("cut").isNotNull(), 1).otherwise(0)
-    seams = seams.withColumn("own", F.min(met).over(row) == 1)
+    seams = seams.withColumn("own", (F.col("k") == 0) | F.col("cut").isNotNull())
     after = F.when(F.lead("own").over(row), F.lead("cut").over(row)).otherwise(0)
     begin = F.when(F.col("own"), F.coalesce("cut", F.lit(0))).otherwise(0)
     end = F.when(F.col("last"), F.length("text")).otherwise(chunk + after)
