@@ -1,13 +1,17 @@
-"""Toxicity by word classes and the order they come in, clause by clause.
+"""Toxicity by a weighted finite-state grammar over the words of a clause.
 
-One loop reads the words of a clause; transducers for insults, threats, targets, negations and reported
-speech that are composed are not built. Insults are stems learned from labelled rows, with their log
-odds as weight, and score by themselves; a threat scores only in a clause that names a target, which
-also raises the insults. A negation up to ``REACH`` words before, or a verb of reported speech before,
-lowers the weight; behind the insult or threat neither has an effect. A document's score is a logistic
-function of its clauses' weights, fitted on the labelled rows.
+Small transducers read the classes of a clause's words: insults, threats, targets, negations and
+reported speech. Their composition is one transducer whose states are products of theirs and whose
+weights are products of their weights. A path through it picks one insult or threat of the clause as
+its head; the clause's weight is the sum over all accepted paths. Insults are stems learned from
+labelled rows, with their log odds as weight. An insult is accepted where other words say what it is
+about, and weighs more beside a named target; a clause of nothing but insults is no match. A threat is
+accepted only beside a named target. A negation up to ``REACH`` words away, or a verb of reported
+speech anywhere in the clause, lowers the weight, whether it stands before the head or behind it. A
+document's score is a logistic function of its clauses' weights, fitted on the labelled rows.
 
-Learning takes at most ``SAMPLE_ROWS`` labelled rows, by a hash of the id.
+Learning takes at most ``SAMPLE_ROWS`` labelled rows, by a hash of the id, and the model holds at most
+``MAX_STEMS`` beginnings, the shortest and best attested first.
 
 Cases: null and empty texts, and texts without a match, have no weight and get the score of the
 intercept; rows without a label are scored only; without labelled rows of both kinds nothing is
@@ -19,14 +23,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moundworks.llm.common import by_size
+
 SAMPLE_ROWS = 12_000
 SHORTEST, LONGEST = 3, 8
 MIN_ODDS, MIN_EVIDENCE, MIN_DOCS = 2.5, 20.0, 3
@@ -39,12 +46,12 @@ TARGETS = ("you your yours he she him her they them these those people du dich d
 NEGATIONS = "not no never neither nor isn't aren't nicht kein keine nie pas jamais ne nunca jamás".split()
 REPORTS = ("said says wrote writes quoted quotes called claimed reported sagte schrieb dit écrit "
            "dijo escribió").split()
-#: How far a negation reaches, in words, and what the states multiply a weight by.
+#: How far a negation reaches, in words, and what the transducers multiply a weight by.
 REACH = 4
 WITH_TARGET, NEGATED, REPORTED, THREAT_WEIGHT = 1.25, 0.4, 0.6, 2.0
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:\n|]+")
+CLAUSE = re.compile(r"[.!?;:\n]+")
 FEATURES = ("weight", "strongest", "clauses", "density")
 
 
@@ -55,7 +62,7 @@ def stems_of(text: str) -> set[str]:
 
 
 def stem_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches):
         counts = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             counts[toxic].update(stems_of(text or ""))
@@ -90,8 +97,83 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     return stems
 
 
+#: Classes a word is read as; a path reads its head as ``head``.
+WORD_CLASSES = ("insult", "threat", "target", "negation", "report", "other")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs by state and class; a class without an arc stays in its state, one to None has no path."""
+    start: object
+    arcs: dict
+    ends: dict
+
+    def step(self, state, kind: str):
+        return self.arcs.get((state, kind), state)
+
+
+def compose(*parts: Transducer) -> Transducer:
+    """The transducer that reads what all parts read; states are products, and so are weights."""
+    start = tuple(p.start for p in parts)
+    arcs, ends, open_states, seen = {}, {}, [start], {start}
+    while open_states:
+        state = open_states.pop()
+        if all(s in p.ends for p, s in zip(parts, state)):
+            ends[state] = math.prod(p.ends[s] for p, s in zip(parts, state))
+        for kind in (*WORD_CLASSES, "head"):
+            after = tuple(p.step(s, kind) for p, s in zip(parts, state))
+            arcs[state, kind] = None if None in after else after
+            if None not in after and after not in seen:
+                seen.add(after)
+                open_states.append(after)
+    return Transducer(start, arcs, ends)
+
+
+def negations(reach: int = REACH) -> Transducer:
+    """Counts words from a negation to the head, and from the head to a negation."""
+    arcs = {}
+    for left in range(reach, 0, -1):
+        for kind in WORD_CLASSES:
+            arcs[("before", left), kind] = ("before", left - 1)
+            arcs[("behind", left), kind] = ("behind", left - 1)
+        arcs[("before", left), "head"] = "negated"
+        arcs[("behind", left), "negation"] = "negated"
+    for left in range(reach + 1):
+        arcs[("before", left), "negation"] = ("before", reach)
+    arcs[("before", 0), "head"] = ("behind", reach)
+    return Transducer(("before", 0), arcs,
+                      {"negated": NEGATED} | {("behind", left): 1.0 for left in range(reach + 1)})
+
+
+#: One word is the head.
+HEAD = Transducer("open", {("open", "head"): "found", ("found", "head"): None}, {"found": 1.0})
+#: What an insult is about: a named target, or something that other words of the clause say.
+INSULTED = Transducer(
+    "nothing", {("nothing", "other"): "something", ("nothing", "threat"): "something",
+                ("nothing", "target"): "named", ("something", "target"): "named"},
+    {"something": 1.0, "named": WITH_TARGET})
+THREATENED = Transducer("nothing", {("nothing", "target"): "named"}, {"named": 1.0})
+REPORTED_SPEECH = Transducer("direct", {("direct", "report"): "reported"}, {"direct": 1.0, "reported": REPORTED})
+PATTERNS = {"insult": compose(HEAD, INSULTED, negations(), REPORTED_SPEECH),
+            "threat": compose(HEAD, THREATENED, negations(), REPORTED_SPEECH)}
+
+
+def path_sum(pattern: Transducer, head: str, words: list[tuple[str, float]]) -> float:
+    """The weights of all accepted paths over the words, summed; paths in one state go on together."""
+    live = {pattern.start: 1.0}
+    for kind, value in words:
+        after = defaultdict(float)
+        for state, weight in live.items():
+            after[pattern.arcs[state, kind]] += weight
+            if kind == head:
+                after[pattern.arcs[state, "head"]] += weight * value
+        after.pop(None, None)
+        live = after
+    return sum(weight * pattern.ends.get(state, 0.0) for state, weight in live.items())
+
+
 class Grammar:
-    """Reads the words of a clause in one pass and gives the weight of what it matches."""
+    """The classes of words, and the weight of what a clause of them matches."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
@@ -112,24 +194,11 @@ class Grammar:
         return "other", 0.0
 
     def clause(self, text: str) -> float:
-        target = reported = False
-        negation, weight, threat = -REACH - 1, 0.0, 0.0
-        for at, word in enumerate(WORD.findall(text)):
-            kind, value = self.classify(word)
-            if kind == "target":
-                target = True
-            elif kind == "negation":
-                negation = at
-            elif kind == "report":
-                reported = True
-            elif value:
-                value *= NEGATED if at - negation <= REACH else 1.0
-                value *= REPORTED if reported else 1.0
-                if kind == "threat":
-                    threat += value
-                else:
-                    weight += value
-        return (weight * WITH_TARGET + threat) if target else weight
+        if not self.any.search(text):
+            return 0.0
+        words = [self.classify(w) for w in WORD.findall(text)]
+        heads = {kind for kind, _ in words}
+        return sum(path_sum(pattern, head, words) for head, pattern in PATTERNS.items() if head in heads)
 
     def features(self, text: str | None) -> list[float]:
         if not text:
@@ -146,7 +215,7 @@ class Grammar:
 def featurizer(model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.value)
-        for batch in batches:
+        for batch in by_size(batches):
             rows = np.array([grammar.features(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), *(pa.array(c) for c in rows.reshape(-1, len(FEATURES)).T)],

@@ -109,6 +109,20 @@ def test_byte_bpe_equals_whole_encoding(spark, docs, nothing, chunk, overlap):
     assert byte_bpe.digest(byte_bpe.encode(spark, nothing, RANKS, P.PATTERN), RANKS).count() == 0
 
 
+def test_stitching_goes_on_behind_a_long_run(spark):
+    text = prose(1, 400) + " " + "x" * 2_000 + "\n" + prose(2, 30) + "!\n?" + " -" * 300 + "\n\n" + prose(3, 400)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    cut = docs.mapInArrow(byte_bpe.chunk_cutter(300, 40), byte_bpe.CHUNKS)
+    pieces = [r["text"] for r in byte_bpe.stitched(cut, P.PATTERN, 300, 40).orderBy("piece").collect()]
+    assert "".join(pieces) == text and len(pieces) > 20
+    assert sorted(map(len, pieces))[-2] < 1_000 and max(map(len, pieces)) < 3_000
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for chunk, overlap in [(300, 40), (37, 9)]:
+        ids = byte_bpe.encode(spark, docs, RANKS, P.PATTERN, chunk, overlap).first()["ids"]
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(text)
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)] * bool(words)
@@ -226,7 +240,33 @@ def test_toxicity_learns_insults(spark, docs, nothing):
     grammar = toxicity.Grammar({"idiot": 3.0})
     assert grammar.clause("you idiot") > grammar.clause("an idiot") > grammar.clause("not an idiot") > 0
     assert grammar.clause("they said an idiot") < grammar.clause("they are an idiot")
+    assert grammar.clause("an idiot they said") == grammar.clause("they said an idiot")
+    assert grammar.clause("an idiot he is not") < grammar.clause("an idiot he is")
     assert grammar.clause("kill") == 0 < grammar.clause("kill you")
+    assert grammar.clause("idiot") == grammar.clause("idiot, not idiot") == 0
+
+
+def plain_clause(words):
+    """One accepted path per insult or threat of the clause."""
+    kinds, total = [kind for kind, _ in words], 0.0
+    for at, (head, value) in enumerate(words):
+        around = kinds[:at] + kinds[at + 1:]
+        if head == "insult":
+            about = 1.25 if "target" in around else 1.0 if {"other", "threat"} & set(around) else 0.0
+        else:
+            about = float("target" in around) if head == "threat" else 0.0
+        near = kinds[max(at - 4, 0):at] + kinds[at + 1:at + 5]
+        total += value * about * (0.4 if "negation" in near else 1.0) * (0.6 if "report" in around else 1.0)
+    return total
+
+
+def test_clause_weights_sum_all_accepted_paths():
+    rng = np.random.default_rng(8)
+    grammar = toxicity.Grammar({"idiot": 3.0, "clow": 1.7})
+    words = "idiot clowns kill you not said the house burn them".split()
+    for n in [*range(8)] * 150:
+        clause = rng.choice(words, n).tolist()
+        assert grammar.clause(" ".join(clause)) == pytest.approx(plain_clause([grammar.classify(w) for w in clause]))
 
 
 def test_languages_by_fewest_phrases(spark, nothing):
