@@ -354,6 +354,29 @@ def test_block_search_equals_brute_force(spark, vectors, monkeypatch):
     assert block_search.nearest(spark, frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_first_pass_wants_every_neighbour_and_few_others():
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3_000, 64))
+    base[1_000:2_000] = base[0] + rng.normal(size=(1_000, 64)) * 1e-3
+    ids = np.arange(3_000)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    exact = unit @ unit.T
+    np.fill_diagonal(exact, -np.inf)
+    asked = np.array([2_100, 2_200, 2_300])
+    queries = block_search.Block.of_vectors(asked, base[asked])
+    best, wanted = np.full((3, 5), -np.inf, np.float32), []
+    for a in range(0, 3_000, 700):
+        candidates = block_search.Block.of_vectors(ids[a:a + 700], base[a:a + 700])
+        again = block_search.Block.of_row({**candidates.stored(), "vectors": None})
+        lower, upper = block_search.tile_bounds(queries, again, 0)
+        held = exact[asked][:, a:a + 700]
+        others = held > -1
+        assert (lower <= held).all() and (held <= upper).all() and (upper[others] - lower[others] < 0.05).all()
+        wanted.append(block_search.wanted_rows(queries, again, best))
+    wanted = np.concatenate(wanted)
+    assert wanted[np.argsort(-exact[asked], axis=1)[:, :5].ravel()].all() and wanted.sum() < 300
+
+
 def test_pipeline_stages_take_effect(spark, docs, tmp_path):
     docs = docs.withColumn("n_chars", F.lit(0).cast("long"))
     given = docs
