@@ -6,6 +6,7 @@ Each text is assembled from the common table expressions it mentions.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from moundworks import fixtures
 from moundworks import schema as S
@@ -573,6 +574,21 @@ BODIES: dict[str, tuple[str, str]] = {
     "nastiness_standardized": (
         f"SELECT pitch_pk, {', '.join(f'{c}_z' for c in S.NASTINESS_FEATURES)} FROM nasty_z",
         " ".join(f"{c}_z" for c in S.NASTINESS_FEATURES)),
+    "nastiness_correlations": (" UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n_rows, corr({a}, {b}) AS correlation FROM nasty"
+        for a, b in combinations(S.NASTINESS_FEATURES, 2)), "correlation"),
+    "spin_weights": ("""
+        SELECT 'spin' AS model, 0.0E0 AS alpha, unnest(['release_speed', 'release_extension']) AS feature,
+               unnest([w1, w2]) AS coefficient, my - w1 * m1 - w2 * m2 AS intercept FROM (
+          SELECT *, (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12) AS w1,
+                 (c2y * v1 - c1y * c12) / (v1 * v2 - c12 * c12) AS w2 FROM (
+            SELECT avg(release_speed) AS m1, avg(release_extension) AS m2, avg(release_spin_rate) AS my,
+                   var_pop(release_speed) AS v1, var_pop(release_extension) AS v2,
+                   covar_pop(release_speed, release_extension) AS c12,
+                   covar_pop(release_speed, release_spin_rate) AS c1y,
+                   covar_pop(release_extension, release_spin_rate) AS c2y
+            FROM p WHERE release_speed IS NOT NULL AND release_extension IS NOT NULL
+              AND release_spin_rate IS NOT NULL))""", "alpha coefficient intercept"),
     "nastiness_plus": ('SELECT pitch_pk, game_year, nastiness_raw, "Nastiness_plus" FROM nastiness',
                        "nastiness_raw Nastiness_plus"),
     "nastiness_top200": (
@@ -653,6 +669,8 @@ BODIES: dict[str, tuple[str, str]] = {
     "pitch_gap_of_targets": ("SELECT * FROM gap_t", "Stuff_plus PitchGrade_plus PitchGap"),
     "arsenal_plus_of_targets": ("SELECT * FROM arsenal_t", "ArsenalK_plus ArsenalDesign_plus"),
     "ridge_weights_of_targets": (WEIGHT_ROWS, "alpha coefficient"),
+    "interaction_weights_by_factors_of_targets": (
+        f"SELECT * FROM ({WEIGHT_ROWS}) WHERE model = 'interaction'", "alpha coefficient"),
     "relievers": ("SELECT pitcher, game_year, total_appearances, games_started, start_pct FROM relievers",
                   "start_pct"),
     "relief_pitches": ("SELECT pitch_pk FROM relief_p", ""),

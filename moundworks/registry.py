@@ -18,7 +18,7 @@ from moundworks import fixtures
 from moundworks import schema as S
 from moundworks.functions import pitch as P
 from moundworks.models import Models
-from moundworks.operators import learn, metrics, pair_sums
+from moundworks.operators import factors, learn, metrics, pair_sums
 from moundworks.operators import states as G
 from moundworks.operators.quantile import exact_quantile
 from moundworks.operators.scan import running_sum
@@ -268,6 +268,19 @@ def _csv_round_trip(t: Models) -> DataFrame:
     return readers.in_file_order(t.spark, path, scores.schema, "place")
 
 
+def _interaction_weights(t: Models) -> DataFrame:
+    """The interaction model of the arsenal scores, solved from triangular factors."""
+    features = arsenal.arsenal_features(t.profile(t.mean_target()))
+    model = factors.ridge_cv(features, S.INTERACTION_FEATURES, "base_score", S.SEASON_KEY)
+    return learn.weight_report(t.spark, {"interaction": model})
+
+
+def _speed_weights(t: Models) -> DataFrame:
+    """Spin by release speed and extension, without a penalty."""
+    model = factors.least_squares(t.pitches(), ["release_speed", "release_extension"], "release_spin_rate")
+    return learn.weight_report(t.spark, {"spin": model}).withColumn("intercept", F.lit(float(model.intercept)))
+
+
 def _top(df: DataFrame, score: str, n: int = 5) -> DataFrame:
     return df.orderBy(F.col(score).desc(), "pitcher", "game_year").limit(n)
 
@@ -317,6 +330,9 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "pitch_level_model_of_targets": lambda t: t.pitch_level_of_targets(),
     "nastiness_features": _nastiness_features,
     "nastiness_standardized": _nastiness_standardized,
+    "nastiness_correlations": lambda t: factors.correlations(
+        nastiness.features(t.pitches()), S.NASTINESS_FEATURES),
+    "spin_weights": _speed_weights,
     "nastiness_plus": lambda t: t.nastiness().select(
         "pitch_pk", "game_year", "nastiness_raw", "Nastiness_plus"),
     "nastiness_top200": _nastiest,
@@ -354,6 +370,7 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "ridge_weights": lambda t: learn.weight_report(t.spark, t.fit_arsenal(t.stuff())[1]),
     "ridge_weights_of_targets": lambda t: learn.weight_report(
         t.spark, t.fit_arsenal(t.mean_target())[1]),
+    "interaction_weights_by_factors_of_targets": _interaction_weights,
     "relievers": lambda t: relief.relievers(relief.games_pitched(t.pitches())),
     "relief_pitches": lambda t: relief.relief_pitches(t.pitches()).select("pitch_pk"),
     "entry_state": _entry_state,

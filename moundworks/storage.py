@@ -25,8 +25,8 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder ``spark.checkpoint.dir`` names; else one in the warehouse that executors share.
 
-    Only a session that runs in one process (``local``) takes a folder of this machine. The caller's
-    settings stay as they are.
+    Only a session that runs in one process (``local``) takes a folder of this machine; on a cluster
+    whose warehouse is one, the folder has to be named. The caller's settings stay as they are.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -36,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
         if context.applicationId not in _LOCAL_FOLDERS:
             _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="moundworks-")
         return _LOCAL_FOLDERS[context.applicationId]
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_moundworks"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) or ":" not in warehouse:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: "
+                           f"{warehouse} may be a folder of one machine")
+    return f"{warehouse.rstrip('/')}/_moundworks"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

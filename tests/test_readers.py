@@ -63,6 +63,20 @@ def test_a_cluster_without_a_named_folder_uses_the_warehouse(master):
     assert shared_dir(fake) == "hdfs://shared/warehouse/_moundworks"
 
 
+@pytest.mark.parametrize("warehouse", ["file:/home/me/spark-warehouse", "/home/me/spark-warehouse", "spark-warehouse"])
+def test_a_cluster_does_not_write_to_folders_of_one_machine(warehouse):
+    from types import SimpleNamespace as Fake
+
+    from moundworks.storage import shared_dir
+    settings = {"spark.sql.warehouse.dir": warehouse}
+    fake = Fake(conf=Fake(get=lambda key, default=None: settings.get(key, default)),
+                sparkContext=Fake(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(fake)
+    settings["spark.checkpoint.dir"] = "file:/mnt/shared"
+    assert shared_dir(fake) == "file:/mnt/shared"
+
+
 def test_scan_of_a_large_group_equals_the_small_one(spark):
     from moundworks.operators.scan import row_position
     got = row_position(spark.range(3_000), "at", ["id"], task_rows=100)
