@@ -26,6 +26,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,21 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 FEATURES = ("weight", "strongest", "clauses", "density")
 
 
+def clauses(text: str) -> list[str]:
+    """The clauses of a text. A single word between marks calls or exclaims: it belongs to the words that
+    follow, and the last one of a text to those before."""
+    out, waiting, n = [], [], 0
+    for part in CLAUSE.split(text):
+        waiting.append(part)
+        n += sum(1 for _ in islice(WORD.finditer(part), 2))
+        if n > 1:
+            out.append(" ".join(waiting))
+            waiting, n = [], 0
+    if n:
+        out[-1:] = [" ".join([*out[-1:], *waiting])]
+    return out
+
+
 def stems_of(text: str) -> set[str]:
     """Beginnings of the words of a text, marked with a star, and its whole words."""
     words = set(WORD.findall(text.lower()))
@@ -206,7 +222,7 @@ class Grammar:
         low = text.lower()
         if not self.any.search(low):
             return [0.0] * len(FEATURES)
-        weights = [w for w in map(self.clause, CLAUSE.split(low)) if w > 0]
+        weights = [w for w in map(self.clause, clauses(low)) if w > 0]
         total = sum(weights)
         return [math.log1p(total), math.log1p(max(weights, default=0.0)), math.log1p(len(weights)),
                 math.log1p(1000 * total / (len(low) + 100))]

@@ -246,6 +246,13 @@ def test_toxicity_learns_insults(spark, docs, nothing):
     assert grammar.clause("idiot") == grammar.clause("idiot, not idiot") == 0
 
 
+def test_single_words_between_marks_join_a_clause():
+    assert toxicity.clauses("idiot! you did it. go!! on!! ...\n now") == ["idiot  you did it", " go  on    now"]
+    assert toxicity.clauses("idiot!") == ["idiot "] and toxicity.clauses(" .. !") == toxicity.clauses("") == []
+    grammar = toxicity.Grammar({"idiot": 3.0})
+    assert grammar.features("The. House. Idiot!")[0] > 0 == grammar.features("Idiot!")[0]
+
+
 def plain_clause(words):
     """One accepted path per insult or threat of the clause."""
     kinds, total = [kind for kind, _ in words], 0.0
