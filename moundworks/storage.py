@@ -10,13 +10,18 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_CELLS = 5_000_000
+#: HotSpot never compiles longer methods; Spark's own limit is the JVM's, eight times as much.
+COMPILED_BYTES = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+#: A task that writes few partition values keeps their files open and does not sort its rows by them.
+OPEN_FILES = {"spark.sql.maxConcurrentOutputFileWriters": "8"}
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -43,12 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/_moundworks"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the queries run inside; the session's own come back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an intermediate that several plans read or that must not change."""
+    """Reliable checkpoint of an intermediate that several plans read or that must not change.
+
+    Steps over many columns become one method per stage; those that would run uncompiled are split.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with settings(df.sparkSession, COMPILED_BYTES):
+        return df.checkpoint(eager=True)
 
 
 def sized_lookup(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -104,7 +129,8 @@ class Workspace:
         writer = (df.hint("rebalance", *partition_by) if rebalance else df).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        with settings(self.spark, COMPILED_BYTES | OPEN_FILES):
+            writer.parquet(path)
         self._tables[name] = self.spark.read.schema(df.schema).parquet(path).select(*_quoted(df))
         return self._tables[name]
 
