@@ -26,6 +26,8 @@ from moundworks.storage import cut_lineage
 
 #: Cells are made smaller than the bound by no rounding.
 MARGIN = 1 + 1e-9
+#: Cells that meet are so many bounds wide, so that few points lie within the bound of a neighbouring cell.
+WIDE = 3
 SIDES = ["wa", "sa", "wb", "sb"]
 
 
@@ -106,7 +108,19 @@ def _celled(points: DataFrame, groups: DataFrame, keys: list[str], columns: list
     placed = _join(points.drop("copies"), groups, keys).where("bound > 0")
     return placed.select(
         *keys, *columns, *[f"{c}_low" for c in columns], "bound",
-        *[F.floor((F.col(c) - F.col(f"{c}_low")) / (F.col("bound") * MARGIN)).alias(f"{c}_cell") for c in columns])
+        *[F.floor(_place(c, 1)).alias(f"{c}_cell") for c in columns])
+
+
+def _place(column: str, bounds: int) -> Column:
+    """Where a coordinate lies, counted in cells of so many bounds."""
+    return (F.col(column) - F.col(f"{column}_low")) / (F.col("bound") * (MARGIN * bounds))
+
+
+def _reaches(column: str, step: Column) -> Column:
+    """A neighbouring cell of width ``WIDE`` may hold points within the bound; roundings only add some."""
+    at = F.col(f"{column}_place")
+    inside, near = at - F.floor(at), 1 / WIDE + 1e-6 + at * 1e-15
+    return F.when(step < 0, inside <= near).when(step > 0, inside >= 1 - near).otherwise(True)
 
 
 def closest_pairs(df: DataFrame, keys: list[str], columns: list[str], out: str,
@@ -132,11 +146,14 @@ def closest_pairs(df: DataFrame, keys: list[str], columns: list[str], out: str,
         groups = groups.drop("most")
         if largest <= cell_rows:
             break
-    cells = _celled(points, groups, keys, columns)
+    places = [_place(c, WIDE).alias(f"{c}_place") for c in columns]
+    cells = _celled(points, groups, keys, columns).select(*keys, *columns, *places).withColumns(
+        {f"{c}_cell": F.floor(f"{c}_place") for c in columns})
     # of two neighbouring cells one asks the other; within a cell the smaller point asks
     steps = [s for s in product((-1, 0, 1), repeat=d) if s >= (0,) * d]
     offsets = F.array(*[F.array(*[F.lit(i) for i in s]) for s in steps])
-    asks = cells.withColumn("step", F.explode(offsets)).select(
+    reached = reduce(lambda a, b: a & b, (_reaches(c, F.col("step")[i]) for i, c in enumerate(columns)))
+    asks = cells.withColumn("step", F.explode(offsets)).where(reached).select(
         *[F.col(k).alias(f"ask_{k}") for k in keys], *[F.col(c).alias(f"ask_{c}") for c in columns],
         *[(F.col(f"{c}_cell") + F.col("step")[i]).alias(f"ask_{c}_cell") for i, c in enumerate(columns)],
         reduce(lambda a, b: a & b, (F.col("step")[i] == 0 for i in range(d))).alias("inside"))
@@ -145,7 +162,7 @@ def closest_pairs(df: DataFrame, keys: list[str], columns: list[str], out: str,
         *[F.col(f"{c}_cell") == F.col(f"ask_{c}_cell") for c in columns]])
     later = ~F.col("inside") | (F.struct(*columns) > F.struct(*[f"ask_{c}" for c in columns]))
     apart = F.sqrt(sum(((F.col(c) - F.col(f"ask_{c}")) * (F.col(c) - F.col(f"ask_{c}")) for c in columns), F.lit(0.0)))
-    least = cells.join(asks, meet & later).groupBy(*keys).agg(F.min(apart).alias("least"))
+    least = cells.drop(*[f"{c}_place" for c in columns]).join(asks, meet & later).groupBy(*keys).agg(F.min(apart).alias("least"))
     copied = points.groupBy(*keys).agg(F.max("copies").alias("copies"))
     found = _join(_join(df.select(*keys).distinct(), copied, keys, "left"), least, keys, "left")
     return found.select(*keys, F.when(F.col("copies") > 1, 0.0).otherwise(

@@ -104,3 +104,19 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert pair_sums.pair_sums(df, ["g"], "w", {"gap": "x"}).count() == 0
     assert pair_sums.closest_pairs(df, ["g"], ["x", "y"], "least").count() == 0
+
+
+def test_few_points_ask_neighbouring_cells(spark):
+    """A point asks only cells within the bound: of 26 neighbours about (1 + 2 / WIDE)^3 - 1."""
+    places = spark.range(20_000).selectExpr(*[f"1000 * rand({i}) AS {c}_place" for i, c in enumerate("xyz")])
+    reached = places.select(sum(
+        (F.when(pair_sums._reaches("x", F.lit(i)) & pair_sums._reaches("y", F.lit(j)) & pair_sums._reaches("z", F.lit(k)), 1)
+         .otherwise(0) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)), F.lit(0)).alias("n"))
+    assert 1 < reached.agg(F.avg("n")).first()[0] < 6
+
+
+def test_pairs_across_borders_of_wide_cells_are_found(spark):
+    """Two points as near as the bound, at every place relative to the borders of cells."""
+    pairs = [(g, float(x), 0.0) for g in range(60) for x in (0, 100, 40 + g / 7, 41 + g / 7)]
+    least = pair_sums.closest_pairs(spark.createDataFrame(pairs, "g long, x double, y double"), ["g"], ["x", "y"], "least")
+    assert {round(r["least"], 9) for r in least.collect()} == {1.0}
