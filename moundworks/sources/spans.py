@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.storage import _exists, _hadoop_fs, _hadoop_path
+from moundworks.storage import COMPILED_BYTES, _exists, _hadoop_fs, _hadoop_path, settings
 
 Span = tuple[date, date]
 PARTS = ["load_year", "load_month"]
 MANIFEST = "start date, end date, n_rows long, load long"
 DAY = timedelta(days=1)
+#: A load of so few months is written by the tasks that read it, each with a file per month.
+OPEN_MONTHS = 8
 
 
 def merged(spans: list[Span]) -> list[Span]:
@@ -118,8 +120,12 @@ class SpanTable:
         in_month = [(F.col(PARTS[0]) == y) & (F.col(PARTS[1]) == m + 1) for y, m in touched]
         numbers = [F.coalesce(F.sum("is_new"), F.lit(0)).alias("n_new"),
                    *[F.count(F.when(c, 1)).alias(f"month_{i}") for i, c in enumerate(in_month)]]
-        rows.observe(seen, *numbers).select(*names, *PARTS).hint("rebalance", *PARTS).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(f"{self.path}/data")
+        stored = rows.observe(seen, *numbers).select(*names, *PARTS)
+        if len(touched) > OPEN_MONTHS:  # many tasks times many months would be many small files
+            stored = stored.hint("rebalance", *PARTS)
+        with settings(self.spark, COMPILED_BYTES | {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_MONTHS)}):
+            stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(
+                f"{self.path}/data")
         try:
             counts = seen.get
         except Py4JJavaError:  # a plan that turns out to have no rows loses its observation

@@ -104,3 +104,15 @@ def test_build_reads_only_new_days(spark, tmp_path):
     assert 0 < some < 6000 == tables["raw_statcast"].count()
     assert tables["pitcher_strike_plus"].count() == 276
     assert first < files(tmp_path / "out" / "pitches_by_span")
+
+
+def test_a_load_of_few_months_is_not_shuffled(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, date(2024, i % 12 + 1, 1 + i % 28)) for i in range(200)], "id long, day date")
+    table = spans.SpanTable(spark, str(tmp_path / "few"), rows.schema, "day")
+    hints, hint = [], type(rows).hint
+    monkeypatch.setattr(type(rows), "hint", lambda df, *args: (hints.append(args[0]), hint(df, *args))[1])
+    table.load(lambda a, b: rows.where(F.col("day").between(F.lit(a), F.lit(b))), date(2024, 1, 1), date(2024, 12, 31))
+    assert hints == ["rebalance"]
+    table.load(lambda a, b: rows.where(F.col("day").between(F.lit(a), F.lit(b))), date(2024, 3, 1), date(2024, 5, 9), True)
+    assert hints == ["rebalance"]
+    assert sorted(table.read().collect()) == sorted(rows.collect())
