@@ -41,7 +41,7 @@ FAN_IN = 512
 SEAM = re.compile(rf"(?<=[^\s\x1c-\x1f\x85{SPACE}])(?=[ \n])")
 PART_CHARS, ROUND_TOKENS, SMALL_GROUP = 1 << 18, 1 << 17, 256
 #: Text a worker encodes at a time, and pairs it holds before it takes equal ones together.
-CHUNK_BYTES, HELD_PAIRS = 1 << 19, 1 << 20
+CHUNK_BYTES, HELD_PAIRS = 1 << 19, 1 << 19
 
 
 class ByteUnits(PieceEncoder):
