@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.operators.forest_walk import flattened, stored_nodes, walked
+from moundworks.operators.forest_grow import Group, grow_forests, row_hash
+from moundworks.operators.forest_walk import flattened, walked
 from moundworks.operators.metrics import known, z_score
 from moundworks.operators.scan import contiguous_folds
 from moundworks.storage import cut_lineage
@@ -182,19 +179,6 @@ def residual(df: DataFrame, label: str, base: str, out: str,
 
 # --- forests --------------------------------------------------------------------------------
 
-def forest_layout(rows: DataFrame, key: list[str], n: int) -> DataFrame:
-    """``rows`` over a number of partitions, and in an order, that depend on the data alone.
-
-    A bootstrap is seeded by partition, so the same rows give the same forest on any cluster. The
-    partitions grow with the square root of ``n``, their rows likewise. Rows are dealt and ordered by
-    ``key`` and a hash of the other columns; rows that agree in all of them are interchangeable.
-    """
-    parts, rest = math.ceil(math.sqrt(n / 1000)), "forest_hash"
-    others = [c for c in rows.columns if c not in key]
-    placed = rows.withColumn(rest, F.xxhash64(*others))
-    return placed.repartition(parts, *key, rest).sortWithinPartitions(*key, rest).drop(rest)
-
-
 def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], label: str,
                          views: dict[str, list[str]], *, key: list[str] = (), trees: int = 120,
                          depth: int = 8, min_leaf: int = 75, bins: int = 32, seed: int = 42,
@@ -203,45 +187,37 @@ def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], lab
 
     ``views`` maps an output column to the features that keep their values in it; the others are
     set to their mean over all groups. ``matrix`` should be a stored table partitioned by
-    ``group``: every fit then scans its own files. ``key`` orders the rows of a group, so that the
-    forest depends on the rows alone (``forest_layout``).
-    ``bins`` bounds the split candidates of a feature; an exact-split forest has one per value.
-    The forests train one after another over the whole cluster; ``parallel`` of them overlap so
-    that the small last jobs of one do not leave executors idle. Up to ``node_cache_rows`` rows a
-    fit keeps each row's node of every tree (4 bytes * trees * rows over the cluster); beyond, walking
-    the trees again is cheaper than spilling that. The forest is the same either way.
-    More than ``MAX_FORESTS`` groups are refused.
+    ``group``: predictions of a group then scan its own files. The forests of all groups grow together,
+    a job per level (``forest_grow``); they depend on the rows and on ``key``, which tells rows with
+    equal features apart, but not on the order of rows.
+    ``bins`` bounds the split candidates of a feature and one; an exact-split forest has one per value.
+    ``parallel`` and ``node_cache_rows`` are taken from older callers and have no effect.
+    More than ``MAX_FORESTS`` groups are refused, and missing values in what a forest reads.
     """
-    sizes = {r[0]: r["count"] for r in matrix.groupBy(group).count().limit(MAX_FORESTS + 1).collect()}
-    if len(sizes) > MAX_FORESTS:
+    missing = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in (*features, label)]
+    hashed = row_hash(list(key), features, label)
+    found = matrix.groupBy(group).agg(
+        F.count("*"), F.count_distinct(hashed), F.min(label).cast("double"), F.max(label).cast("double"),
+        F.max(reduce(lambda a, b: a | b, missing))).limit(MAX_FORESTS + 1).collect()
+    if len(found) > MAX_FORESTS:
         raise ValueError(f"{group} has more than {MAX_FORESTS} values")
-    if not sizes:
+    if not found:
         return None
-    groups = sorted(sizes, key=lambda value: (-sizes[value], value))  # large ones first
+    if any(r[0] is None or r[5] for r in found):
+        raise ValueError(f"{group}, the features and {label} must have values")
+    found.sort(key=lambda r: (-r[1], r[0]))  # large ones first
+    groups = {r[0]: Group(i, *r[1:5]) for i, r in enumerate(found)}
     means = column_means(matrix, features).first()
-    learner = RandomForestRegressor(
-        featuresCol="features", labelCol=label, predictionCol="prediction",
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, maxBins=bins,
-        featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed, maxMemoryInMB=512)
-    assemble = VectorAssembler(inputCols=features, outputCol="features").transform
     cores = matrix.sparkSession.sparkContext.defaultParallelism
+    nodes = grow_forests(matrix, group, groups, features, label, list(key), trees=trees, depth=depth,
+                         min_leaf=min_leaf, bins=bins, seed=seed)
 
-    def rows_of(value):
-        return matrix.where(F.col(group) == value)
-
-    def fit(value):
-        cached = learner.copy().setCacheNodeIds(sizes[value] <= node_cache_rows)
-        rows = forest_layout(rows_of(value).select(*key, *features, label), list(key), sizes[value])
-        return cached.fit(assemble(rows).select("features", label))
-
-    def predict(value, model):
-        scored = rows_of(value)
+    def predict(value):
+        scored = matrix.where(F.col(group) == value)
         if scored.rdd.getNumPartitions() < cores:  # predictions do not depend on the layout
             scored = scored.repartition(cores)
-        flat = flattened(stored_nodes(matrix.sparkSession, model), {
+        flat = flattened(nodes[value], {
             out: {i for i, f in enumerate(features) if f in kept} for out, kept in views.items()}, list(means))
         return walked(scored, features, flat)
 
-    with ThreadPoolExecutor(parallel) as pool:
-        models = list(pool.map(fit, groups))
-    return reduce(DataFrame.unionByName, [predict(g, m) for g, m in zip(groups, models)])
+    return reduce(DataFrame.unionByName, map(predict, groups))
