@@ -229,10 +229,11 @@ def restored(n: int, sizes: bytes, ids: bytes) -> Encoded:
 
 
 def _summed(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    pair, place = np.unique(np.concatenate(pairs), return_inverse=True)
-    total = np.zeros(len(pair), np.int64)
-    np.add.at(total, place, np.concatenate(counts))
-    return pair, total
+    pair = np.concatenate(pairs)
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[:len(pair)])
+    return pair[first], np.add.reduceat(np.concatenate(counts)[order], first)
 
 
 class PairDocuments:
@@ -245,9 +246,9 @@ class PairDocuments:
         self.pairs.append(pair)
         self.counts.append(count)
         self.held += len(pair)
-        if self.held > HELD_PAIRS:
+        if self.held > max(HELD_PAIRS, len(self.pairs[0]) // 2):  # new ones; so each is sorted a few times
             self.pairs, self.counts = ([x] for x in _summed(self.pairs, self.counts))
-            self.held = len(self.pairs[0]) // 2
+            self.held = 0
 
     def add(self, found: Iterator[Groups]) -> None:
         long_owner, long_pairs = None, np.empty(0, np.int64)
