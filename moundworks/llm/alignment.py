@@ -45,42 +45,9 @@ CHUNK_BYTES, HELD_PAIRS = 1 << 19, 1 << 19
 
 
 class ByteUnits(PieceEncoder):
-    """Ids of pieces kept in two generations; new pieces are merged by rank where that is the same.
-
-    It is if ids number the merges in their order and each token comes out of its own bytes: two
-    neighbours that join to a token were then made by lower merges inside it alone, as in its own.
-    """
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        import tiktoken
-        self.old: dict[str, bytes] = {}
-        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.lossless = self.tokenizer.normalizer is None and vocabulary.keys() >= byte_of.keys()
-        self.token_bytes = [b""] * self.tokenizer.get_vocab_size()
-        for token, i in vocabulary.items():
-            self.token_bytes[i] = bytes(byte_of.get(c, 0) for c in token)
-        self.by_rank = None
-        if self.lossless and all([t.id for t in self.model.tokenize(token)] == [i] for token, i in vocabulary.items()):
-            ranks = {self.token_bytes[i]: i for i in vocabulary.values()}
-            self.by_rank = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            if self.by_rank is None:
-                return super().__missing__(piece)
-            ids = array(self.code, self.by_rank.encode_ordinary(piece)).tobytes()
-        if len(piece) <= CACHED_CHARS:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > CACHED_UNITS:
-            self.old = dict(self)
-            self.clear()
-        return super().encode(text)
+    """Ids of pieces, with as many held as of the other tokenizer's units."""
+
+    most, longest = CACHED_UNITS, CACHED_CHARS
 
 
 class Tokenizers:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.byte_pieces import PieceEncoder
+from moundworks.llm.byte_pieces import WordEncoder
 from moundworks.llm.common import Stages, by_size
 
 WINDOW = 1024
@@ -31,7 +31,7 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def stream_encoder(tokenizer_path: str, end_id: int, added_tokens: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of_worker(tokenizer_path, added_tokens)
+        encoder = WordEncoder.of_worker(tokenizer_path, added_tokens)
         end = np.array([end_id], encoder.code).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in by_size(batches):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.byte_pieces import PieceEncoder
+from moundworks.llm.byte_pieces import WordEncoder
 from moundworks.llm.common import Stages, by_size
 
 NULL_ID = -(1 << 63)
@@ -40,7 +40,7 @@ def _open(path: str):
 def shard_writer(folder: str, tokenizer_path: str, end_id: int, added_tokens: bool):
     """Writes the documents of one partition, in their order, as one shard; returns its manifest row."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of_worker(tokenizer_path, added_tokens)
+        encoder = WordEncoder.of_worker(tokenizer_path, added_tokens)
         end = np.array([end_id], encoder.code).tobytes()
         width, part = len(end), TaskContext.get().partitionId()
         stem = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"

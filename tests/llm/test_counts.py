@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from moundworks.llm import alignment, perfect_hash, piece_units, queries, threshold_centroids, token_counts
+from moundworks.llm import alignment, byte_pieces, perfect_hash, piece_units, queries, threshold_centroids, token_counts
 
 BPE, WORDS, PIECES = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
 COLUMNS = ("doc_id long, text string, lang string, n_tokens long, n_bytes string, uid int, k int, part int, "
@@ -229,3 +229,18 @@ def test_registered_queries_return_the_contract(spark, docs, tmp_path):
     aligned = named["op13_alignment"](spark, str(tmp_path))
     assert aligned.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted(map(tuple, aligned.collect())) == [r[:8] for r in PlainAlignment().rows(ids)]
+
+
+def test_words_give_the_ids_of_the_library(monkeypatch):
+    """Fails where words forget all at once or are searched for pieces one text after the other."""
+    monkeypatch.setattr(byte_pieces.WordEncoder, "most", 40)
+    path = P.path("byte_bpe_50k.json")
+    encoder, library = byte_pieces.WordEncoder(path, True), Tokenizer.from_file(path)
+    parts = ["ab", "The", " ", "  ", " ", "\n", "\t", "\r", "'s", "'", ".", "12", "é", "Ж", "‐", "中", "<|endoftext|>", "\xa0", "word"]
+    rng = np.random.default_rng(5)
+    for n in rng.integers(0, 14, 2_000):
+        text = "".join(rng.choice(parts, n))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), f"<u{np.dtype(encoder.code).itemsize}").tolist() == ids, text
+    assert encoder.words.old and len(encoder.words) <= 40 + 14
+    assert encoder.by_rank is not None
