@@ -44,7 +44,10 @@ WIDTH = MIN_BYTES + MAX_RUN - 1
 GROUP_BYTES, BUCKET_RUNS, ARRAY_CUTS = 1 << 18, 1_000_000, 25_000
 #: Documents in the sample for frequent keys, and the share of them that makes a key frequent.
 SAMPLE_DOCS, FREQUENT_SHARE = 2_000, 0.02
-GROUPS_AT_ONCE = 2_000
+#: Intervals, and members or places of them, that a task spreads at a time.
+GROUPS_AT_ONCE, PLACES_AT_ONCE = 2_000, 1 << 18
+#: Texts whose copies a packing task knows.
+MET_TEXTS = 1 << 17
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 
@@ -140,9 +143,19 @@ def run_packer(buckets: int, frequent):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("repeats")
         common = frequent.value
+        met: set[bytes] = set()
         for batch in by_size(batches):
-            hashes = np.array(batch.column("same").to_pylist(), np.int64)
-            found = list(runs_of(_bytes(batch.column("text"))))
+            # copies count once, so a task sends the runs of a text once
+            if len(met) > MET_TEXTS:
+                met.clear()
+            texts, new = _bytes(batch.column("text")), []
+            for i, text in enumerate(texts):
+                n = len(met)
+                met.add(hashlib.sha256(text).digest())
+                if len(met) > n:
+                    new.append(i)
+            hashes = np.array(batch.column("same").to_pylist(), np.int64)[new]
+            found = list(runs_of([texts[i] for i in new]))
             if not found:
                 continue
             text, start, count, key = (np.concatenate(c) for c in zip(*found))
@@ -254,18 +267,30 @@ def smallest_documents(cuts: list[bytes], lowest: np.ndarray) -> tuple[np.ndarra
     array = SuffixArray(cuts)
     groups = np.array(list(array.maximal_repeats()), np.int64).reshape(-1, 3)
     place, documents = offset[array.cut] + array.at, lowest[array.cut]
-    for a in range(0, len(groups), GROUPS_AT_ONCE):
-        length, first, last = groups[a:a + GROUPS_AT_ONCE].T
+    for some in _batches(groups[:, 2] - groups[:, 1] + 1, GROUPS_AT_ONCE):
+        length, first, last = groups[some].T
         low = np.minimum.reduceat(np.append(documents, LAST), np.stack([first, last + 1], 1).ravel())[::2]
         group, member = _expanded(last - first + 1)
         member += first[group]
         above = documents[member] > low[group]
         group, member = group[above], member[above]
-        which, shift = _expanded(length[group] - MIN_BYTES + 1)
-        np.minimum.at(smallest, place[member][which] + shift, low[group][which])
+        for part in _batches(length[group] - MIN_BYTES + 1, PLACES_AT_ONCE):
+            which, shift = _expanded(length[group[part]] - MIN_BYTES + 1)
+            np.minimum.at(smallest, place[member[part]][which] + shift, low[group[part]][which])
     return offset, smallest
 
 
+def _batches(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbours of about ``PLACES_AT_ONCE`` in all, at most ``most``, or one larger one."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        before = ends[a - 1] if a else 0
+        b = int(np.searchsorted(ends, before + PLACES_AT_ONCE, "right"))
+        b = min(max(b, a + 1), a + most)
+        yield slice(a, b)
+        a = b
+
+
 def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each count n, its index n times and 0 to n - 1."""
     index = np.repeat(np.arange(len(counts)), counts)

@@ -1,15 +1,17 @@
 """Cases in which an operator once did less than the whole job, against plain versions."""
 
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from moundworks.llm import block_search, cross_parsing, metric_join, privacy, queries
+from moundworks.llm import block_search, cross_parsing, metric_join, privacy, queries, repeats
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -209,3 +211,27 @@ def test_long_texts_are_one_parse(monkeypatch):
         got = cross_parsing.phrase_counts(own, doc, len(texts), table, letters.count)
         want = [greedy_phrases(own[doc == i].tolist(), kinds.tolist()) for i in range(len(texts))]
         assert got.tolist() == want and want[0] == 1 and max(want) > 500
+
+
+def test_a_task_sends_the_runs_of_a_text_once():
+    text = "".join(chr(97 + i * i * 7 % 26) for i in range(300))
+    batch = pa.RecordBatch.from_pydict({"same": [1] * 500 + [2], "text": [text] * 500 + [text[::-1]]})
+    pack = repeats.run_packer(1, types.SimpleNamespace(value=np.array([], np.int64)))
+    sent = [np.frombuffer(b, "<i8") for out in pack(iter([batch, batch])) for b in out.column("same").to_pylist()]
+    one = sum(len(c) for _, _, c, _ in repeats.runs_of([text.encode(), text[::-1].encode()]))
+    assert sum(map(len, sent)) == one
+
+
+def test_intervals_are_spread_in_bounded_parts(monkeypatch):
+    """All places of 2,000 intervals at once held 16 bytes for each of their members' bytes."""
+    rng = np.random.default_rng(2)
+    base = bytes(rng.integers(97, 123, 110).astype(np.uint8))
+    cuts = [base[:n] + bytes([65 + i]) for i, n in enumerate(range(60, 110))]
+    lowest = rng.permutation(len(cuts)).astype(np.int64)
+    whole = repeats.smallest_documents(cuts, lowest)
+    sizes, spread = [], repeats._expanded
+    monkeypatch.setattr(repeats, "PLACES_AT_ONCE", 100)
+    monkeypatch.setattr(repeats, "_expanded", lambda c: sizes.append(int(c.sum())) or spread(c))
+    parts = repeats.smallest_documents(cuts, lowest)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    assert max(sizes) <= 100 + repeats.WIDTH
