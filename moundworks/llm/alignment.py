@@ -21,6 +21,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.byte_pieces import PieceEncoder, byte_letters
+from moundworks.llm.byte_pieces import PIECES, PLAIN, SPACE_RUNS, PieceEncoder, byte_letters
 from moundworks.llm.common import Stages, by_size, worker_cache
 from moundworks.llm.perfect_hash import PerfectHash, build
-from moundworks.llm.piece_units import CACHED_CHARS, CACHED_UNITS, SPACE, PieceUnits
+from moundworks.llm.piece_units import CACHED_CHARS, SPACE, PieceUnits
 
 BATCH_BYTES, BLOCKS = 8 << 20, 256
 #: Vectors or key lists that one task adds up before the next level of the tree.
@@ -42,12 +43,82 @@ SEAM = re.compile(rf"(?<=[^\s\x1c-\x1f\x85{SPACE}])(?=[ \n])")
 PART_CHARS, ROUND_TOKENS, SMALL_GROUP = 1 << 18, 1 << 17, 256
 #: Text a worker encodes at a time, and pairs it holds before it takes equal ones together.
 CHUNK_BYTES, HELD_PAIRS = 1 << 19, 1 << 19
+#: Words of a generation that are looked up, new ones encoded by one call, and pieces of other texts.
+CACHED_WORDS, WORDS_AT_ONCE, CACHED_PIECES, SECOND = 80_000, 1_024, 10_000, 1 << 31
 
 
 class ByteUnits(PieceEncoder):
-    """Ids of pieces, with as many held as of the other tokenizer's units."""
-
-    most, longest = CACHED_UNITS, CACHED_CHARS
+    """Ids of pieces, of which few are held, as most texts are looked up by ``WordIds``."""
+
+    most, longest, taken = CACHED_PIECES, CACHED_CHARS, PIECES.pattern
+
+
+class WordIds(dict):
+    """Ids of both tokenizers for a space and the characters up to the next one, by those characters, in
+    two generations; the second tokenizer's have the bit ``SECOND``.
+
+    In texts that ``reads`` accepts such a space begins a piece of the one and a unit of the other. So new
+    words are encoded by one call for many of them, and cut where their bytes end.
+    """
+
+    def __init__(self, a: ByteUnits, b: PieceUnits, a_size: np.ndarray, b_size: np.ndarray):
+        self.a, self.b, self.a_size, self.b_size = a, b, a_size, b_size
+        self.splits = a.by_rank is not None and b.splits
+        self.old: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+    def reads(self, part: str) -> bool:
+        return (self.splits and part[0] == " " and not any(run in part for run in SPACE_RUNS)
+                and PLAIN.fullmatch(part) is not None)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that end in a visible character."""
+        text = " ".join(words)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        found, owners, edges = [], [], np.zeros(len(words) + 1, np.int64)
+        for ids, size, mark in ((self.a.by_rank.encode_ordinary(f" {text}"), self.a_size, 0),
+                                (self.b.processor.encode(text), self.b_size, SECOND)):
+            ids = np.array(ids, np.uint32)
+            token_end = np.cumsum(size[ids])
+            last = np.searchsorted(token_end, ends)
+            if not (token_end[last] == ends).all():
+                raise RuntimeError("a token reaches across the space in front of a word")
+            edges[1:] += last + 1
+            owners.append(np.repeat(np.arange(len(words)), np.diff(last, prepend=-1)))
+            found.append(ids | np.uint32(mark))
+        raw = np.concatenate(found)[np.argsort(np.concatenate(owners), kind="stable")].tobytes()
+        places = (4 * edges).tolist()
+        self.update(zip(words, [raw[x:y] for x, y in zip(places, places[1:])]))
+
+    def of(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of either kind of each part."""
+        split = [p[1:].split(" ") for p in parts]
+        new = set().union(*split).difference(self)
+        again = [w for w in new if w in self.old]
+        self.update(zip(again, map(self.old.__getitem__, again)))
+        blank = [w for w in new if not w or w[-1].isspace()]  # only the last of a part
+        for word in blank:
+            self[word] = (np.frombuffer(self.a.plain(f" {word}"), self.a.code).astype(np.uint32).tobytes()
+                          + (np.frombuffer(b"".join(self.b.of([f" {word}"])[0]), self.b.code)
+                             | np.uint32(SECOND)).tobytes())
+        new = list(new.difference(again, blank))
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(new[i:i + WORDS_AT_ONCE])
+        found = []
+        for words in split:
+            ids = np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32).astype(np.int64)
+            second = ids >= SECOND
+            found.append((ids[~second], ids[second] - SECOND))
+        for word in new:
+            if len(word) >= CACHED_CHARS:
+                del self[word]
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return found
 
 
 class Tokenizers:
@@ -58,9 +129,7 @@ class Tokenizers:
         self.a_bytes, self.b_bytes = self.a.token_bytes, self.b.token_bytes
         self.a_size, self.b_size = (np.array([len(t) for t in table], np.int64)
                                     for table in (self.a_bytes, self.b_bytes))
-        # ids in decimal followed by what separates them, for the text form of groups
-        self.written = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))
-                        for end in ends for i in range(n)]
+        self.words = WordIds(self.a, self.b, self.a_size, self.b_size)
 
     @classmethod
     def of_worker(cls, byte_path: str, piece_path: str) -> Tokenizers:
@@ -69,6 +138,12 @@ class Tokenizers:
             cache[key] = cls(byte_path, piece_path)
         return cache[key]
 
+    @cached_property
+    def written(self) -> list[str]:
+        """Ids in decimal followed by what separates them, for the text form of groups."""
+        return [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))
+                for end in ends for i in range(n)]
+
     def _differs(self, part: str, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether the bytes of either kind are not the part's."""
         if self.a.lossless and self.b.splits:  # both keep every byte but those of the space's own sign
@@ -90,11 +165,15 @@ class Tokenizers:
                 at = seam.start()
             if text:
                 parts.append((owner, text[at:]))
-        seen = [p.replace(SPACE, " ") if self.b.splits else p[1:] for _, p in parts]
+        read = [self.words.reads(p) for _, p in parts]
+        by_word = iter(self.words.of([p for (_, p), r in zip(parts, read) if r]))
+        by_unit = iter(self.b.of([p.replace(SPACE, " ") if self.b.splits else p[1:]
+                                  for (_, p), r in zip(parts, read) if not r]))
         out, differing = [[] for _ in texts], set()
-        for (owner, part), units in zip(parts, self.b.of(seen)):
-            a = np.frombuffer(self.a.encode(part), self.a.code).astype(np.int64)
-            b = np.frombuffer(b"".join(units), self.b.code).astype(np.int64)
+        for (owner, part), r in zip(parts, read):
+            a, b = next(by_word) if r else (
+                np.frombuffer(self.a.encode(part), self.a.code).astype(np.int64),
+                np.frombuffer(b"".join(next(by_unit)), self.b.code).astype(np.int64))
             out[owner].append((a, b))
             if self._differs(part, a, b):
                 differing.add(owner)
@@ -418,6 +497,7 @@ def second_pass(byte_path: str, piece_path: str, keep_groups: bool):
     """Per document the sizes of its alignment and what the counts say of its links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = Tokenizers.of_worker(byte_path, piece_path)
+        tokenizers.words.forget()  # texts are not encoded again
         at, answers, known = None, [], None
 
         def aligned(doc_ids: list[int | None], encoded: Encoded) -> pa.RecordBatch:

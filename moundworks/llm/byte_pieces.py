@@ -59,6 +59,8 @@ class PieceEncoder(dict):
     """
 
     most, longest = CACHED_PIECES, CACHED_CHARS
+    #: What ``by_rank`` takes as one piece: all of what it is given.
+    taken = r"[\s\S]+"
 
     def __init__(self, path: str, added_tokens: bool = False):
         import tiktoken
@@ -81,7 +83,7 @@ class PieceEncoder(dict):
         if self.lossless and merges_in_order(self.tokenizer, vocabulary) and all(
                 [t.id for t in self.model.tokenize(token)] == [i] for token, i in vocabulary.items()):
             ranks = {self.token_bytes[i]: i for i in vocabulary.values()}
-            self.by_rank = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+            self.by_rank = tiktoken.Encoding("pieces", pat_str=self.taken, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def of_worker(cls, path: str, added_tokens: bool = False) -> PieceEncoder:
