@@ -59,9 +59,17 @@ class Models:
         return self.workspace.table(
             "pitch_predictions", lambda: stuff.predictions(self.stuff_matrix()))
 
+    def training_rows(self) -> DataFrame:
+        """The training matrix for one reader: the stored one if there is one, else only the columns that
+        are read are computed, and nothing is shuffled or written."""
+        stored = self.workspace.stored("stuff_matrix")
+        return stuff.training_matrix(self.pitches()) if stored is None else stored
+
     def mean_target(self, *scores: str) -> DataFrame:
         """Stuff scores SQL can compute: the mean target instead of the mean prediction."""
-        return stuff.type_scores(self.stuff_matrix(), dict.fromkeys(scores or ["stuff"], "target"))
+        names = scores or ("stuff",)
+        return self.workspace.table("_".join(["target_scores", *names]), lambda: stuff.type_scores(
+            self.training_rows(), dict.fromkeys(names, "target")))
 
     def grade(self) -> DataFrame:
         return self.workspace.table("pitch_grade", lambda: pitch_level.pitch_grade(self.pitches()))

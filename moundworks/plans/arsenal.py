@@ -66,6 +66,7 @@ CLOSEST = {"min_shape_distance": X.distance(*[f"{c}_z" for c in SHAPE])}
 
 def interactions(profile: DataFrame) -> DataFrame:
     """Weighted gaps between pitches and the distance of the two most alike."""
+    profile = cut_lineage(profile)  # read for its means too; its input is every pitch
     return _pairs(standardize(profile, SHAPE), INTERACTIONS, CLOSEST)
 
 

@@ -25,6 +25,7 @@ from moundworks.operators.scan import running_sum
 from moundworks.plans import arsenal, nastiness, pitch_level, raw, relief, stuff
 from moundworks.sources import readers, spans, writers
 from moundworks.sources.readers import between
+from moundworks.storage import cut_lineage
 
 GRID = 2.0 ** 20
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +176,7 @@ def _arsenal_interactions(t: Models) -> DataFrame:
 
 def _interactions_by_scan(t: Models) -> DataFrame:
     """The interactions of a repertoire without folding it: for groups of any size."""
-    profile = learn.standardize(t.profile(t.mean_target()), arsenal.SHAPE)
+    profile = learn.standardize(cut_lineage(t.profile(t.mean_target())), arsenal.SHAPE)
     return arsenal.interactions_by_scan(profile)
 
 
@@ -320,7 +321,7 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "event_weight_fill": _event_weights,
     "stuff_target": lambda t: _target_parts(t).select(
         "pitch_pk", "is_whiff", "weak_contact", "contact_value", "target"),
-    "feature_means": lambda t: learn.column_means(t.stuff_matrix(), S.STUFF_FEATURES),
+    "feature_means": lambda t: learn.column_means(t.training_rows(), S.STUFF_FEATURES),
     "stuff_plus": lambda t: t.stuff(),
     "stuff_plus_of_targets": lambda t: t.mean_target(),
     "forest_facts": lambda t: stuff.forest_facts(t.predictions(), t.stuff()),

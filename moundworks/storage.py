@@ -113,6 +113,12 @@ class Workspace:
         """A path nothing was written to."""
         return f"{self.root}/{name}-{uuid.uuid4().hex}"
 
+    def stored(self, name: str) -> DataFrame | None:
+        """The table if it was built before."""
+        if name in self._tables and _exists(self.spark, f"{self.root}/{name}/_SUCCESS"):
+            return self._tables[name]
+        return None
+
     def table(self, name: str, build: Callable[[], DataFrame],
               partition_by: list[str] | None = None, rebalance: bool = False) -> DataFrame:
         """The stored result of ``build``.
@@ -122,9 +128,9 @@ class Workspace:
         """
         if self.root is None:
             return build()
-        path = f"{self.root}/{name}"
-        if name in self._tables and _exists(self.spark, f"{path}/_SUCCESS"):
-            return self._tables[name]
+        path, found = f"{self.root}/{name}", self.stored(name)
+        if found is not None:
+            return found
         df = build()
         writer = (df.hint("rebalance", *partition_by) if rebalance else df).write.mode("overwrite")
         if partition_by:
