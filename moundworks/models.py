@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from moundworks import schema as S
 from moundworks.operators import states as G
 from moundworks.plans import (
     arsenal, clutch, nastiness, pitch_level, pitcher_level, raw, relief, stuff)
@@ -47,12 +48,15 @@ class Models:
         register(self.seasons(), "pitcher_season_stats")
 
     def stuff_matrix(self) -> DataFrame:
-        return self.workspace.table(
-            "stuff_matrix", lambda: stuff.training_matrix(self.pitches()),
-            partition_by=["pitch_type"], rebalance=True)
+        return self.workspace.table("stuff_matrix", lambda: stuff.training_matrix(self.pitches()))
 
     def stuff(self) -> DataFrame:
-        return self.workspace.table("pitcher_stuff", lambda: stuff.stuff_plus(self.predictions()))
+        """Scores of the predictions, which are stored only where single ones are asked for as well."""
+        def build() -> DataFrame:
+            stored = self.workspace.stored("pitch_predictions")
+            return stuff.stuff_plus(
+                stuff.predictions(self.stuff_matrix(), S.ARSENAL_KEY) if stored is None else stored)
+        return self.workspace.table("pitcher_stuff", build)
 
     def predictions(self) -> DataFrame:
         """The forests' predictions per pitch."""

@@ -1,10 +1,11 @@
 """Random forests of many groups, grown level by level from sums per node, feature and bin.
 
-Rows are turned into bytes once: the bin of every feature, the label as a whole number and a seed. Then
-each level is one job for the trees of all groups: a task walks its rows down the trees grown so far and
-adds up weights and labels per node, feature and bin; a shuffle by group and tree merges these sums, and
-the best split of every open node comes back. Of two siblings only the lighter is counted, the other is its
-parent less it. Memory and shuffled rows depend on trees and nodes, not on the number of rows.
+Rows are turned into bytes once, before they are dealt to parts of one group or some small ones: the bin of
+every feature, the label as a whole number and a seed. Then each level is one job for the trees of all groups:
+a task walks the rows of a part down the trees grown so far and adds up weights and labels per node, feature
+and bin; a shuffle by group and tree merges these sums, and the best split of every open node comes back. Of
+two siblings only the lighter is counted, the other is its parent less it. Memory and shuffled rows depend on
+trees and nodes, not on the number of rows.
 
 A row's weight in a tree is a Poisson(1) draw from a hash of the row, its occurrence among equal rows and
 the tree; labels are whole numbers whose sums stay below 2^53. So all sums are exact, and the same rows
@@ -22,16 +23,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
+from moundworks.operators.forest_walk import COLUMN_ROWS, COLUMN_STEPS, first_paths, stepped_down
 from moundworks.storage import _exists, _hadoop_fs, _hadoop_path, settings, shared_dir
 
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 17
+#: Rows of a part from which on there are two or three for a core.
+PART_ROWS = 250_000
+#: Rows whose seeds are mixed at a time.
+MIXED_ROWS = 1 << 14
+#: Bins up to which two features are added up at a time.
+JOINT_BINS = 64
 #: Distinct rows of a group that split candidates are taken from; Spark ML takes 10,000 rows.
 CANDIDATE_ROWS = 100_000
 #: Sums a task holds at a time; more open nodes than fit are taken in several jobs of fewer trees.
 SUMS_BYTES = 256 << 20
 #: Groups whose forests grow together.
 GROUPS_AT_ONCE = 32
+#: Rows of megabytes, and a task per file.
+BLOCK_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.files.maxPartitionBytes": "1g",
+                  "spark.sql.files.openCostInBytes": "1g"}
 BLOCKS = "group int, n int, codes binary, labels binary, seeds binary"
 STEP = 0x9E3779B97F4A7C15
 #: Poisson(1) by 16 random bits
@@ -80,24 +92,33 @@ class Tree:
         self.value.append(value)
         return node
 
-    def walked_by(self) -> tuple[np.ndarray, ...]:
-        """Arrays a task walks by; the last one has the place of counted nodes, -1 for others."""
-        place = np.full(len(self.feature), -1)
+    def walked_by(self, kind: str) -> tuple[np.ndarray, ...]:
+        """Arrays a task walks by: feature, bin and left child of each node, the right one comes next. No bin is
+        above a leaf's. The last array has the place of counted nodes, -1 for others."""
+        place, left = np.full(len(self.feature), -1), np.array(self.children[::2])
         place[self.counted] = np.arange(len(self.counted))
-        return np.array(self.feature), np.array(self.cut), np.array(self.children), place
+        cut = np.where(left == np.arange(len(left)), np.iinfo(kind).max, self.cut).astype(kind)
+        return np.array(self.feature), cut, left, place
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finisher of SplitMix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def weights(seeds: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row is drawn for a tree."""
-    salt = mixed(np.array([(seed * STEP + tree + 1) % (1 << 64)], np.uint64))
-    return POISSON.take(mixed(seeds ^ salt) >> np.uint64(48))
+    salt, drawn = mixed(np.array([(seed * STEP + tree + 1) % (1 << 64)], np.uint64)), np.empty(len(seeds), np.uint8)
+    for a in range(0, len(seeds), MIXED_ROWS):
+        at = mixed(seeds[a:a + MIXED_ROWS] ^ salt)
+        at >>= np.uint64(48)
+        POISSON.take(at.view(np.int64), mode="clip", out=drawn[a:a + MIXED_ROWS])
+    return drawn
 
 
 def candidates(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
@@ -138,8 +159,45 @@ def _cuts(rows: DataFrame, groups: dict[int, Group], features: list[str], bins:
         groups[row["group"]].cuts.append(np.array(row["cuts"]))
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], groups: dict[int, Group], features: list[str], label: str,
-              kind: str) -> Iterator[pa.RecordBatch]:
+def parts_of(groups: dict[int, Group], parallel: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """The first part of each group and how many its rows are dealt to, in proportion to rows, and the number of
+    all parts. Small groups share parts; each part is a task of every level, which sends sums of all trees."""
+    total = sum(g.rows for g in groups.values())
+    wanted = max(1, min(total // 10_000, parallel * max(1, min(3, total // (PART_ROWS * parallel)))))
+    exact = {i: g.rows * wanted / total for i, g in groups.items()}
+    own = {i: int(x) for i, x in exact.items()}
+    for i in sorted(groups, key=lambda i: (own[i] - exact[i], i))[:wanted - sum(own.values())]:
+        own[i] += exact[i] >= 0.5
+    parts, n, shared, held = {}, 0, 0, math.inf
+    for i, g in groups.items():
+        if own[i]:
+            parts[i], n = (n, own[i]), n + own[i]
+            continue
+        if held + g.rows > total / wanted:
+            shared, held, n = n, 0, n + 1
+        parts[i], held = (shared, 1), held + g.rows
+    return parts, n
+
+
+def coded(batches: Iterator[pa.RecordBatch], groups: dict[int, Group], features: list[str], label: str,
+          kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows with the bins of their features as bytes and their label as a whole number."""
+    for batch in batches:
+        of, values = batch.column("group").to_numpy(), [batch.column(f).to_numpy() for f in features]
+        codes, labels = np.empty((len(of), len(features)), kind), batch.column(label).to_numpy().copy()
+        for i in np.unique(of).tolist():
+            g, here = groups[i], np.flatnonzero(of == i)
+            for j, cuts in enumerate(g.cuts):
+                codes[here, j] = np.searchsorted(cuts, values[j][here])
+            labels[here] = np.rint((labels[here] - g.low) * g.scale)
+        width = codes.itemsize * len(features)
+        edges = pa.py_buffer(np.arange(0, len(of) * width + 1, width, np.int32))
+        yield pa.RecordBatch.from_pydict({
+            "group": batch.column("group"), "hash": batch.column("hash"), "label": pa.array(labels),
+            "codes": pa.Array.from_buffers(pa.binary(), len(of), [None, edges, pa.py_buffer(codes.tobytes())])})
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], n_features: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Rows in the order of group and hash, as blocks of one group each."""
     last, occurrence, held, size = None, 0, [], 0
 
@@ -151,7 +209,10 @@ def blocks_of(batches: Iterator[pa.RecordBatch], groups: dict[int, Group], featu
             "codes": [codes.tobytes()], "labels": [labels.tobytes()], "seeds": [seeds.tobytes()]})
 
     for batch in batches:
-        of, hashes = (batch.column(c).to_numpy() for c in ("group", "hash"))
+        if not batch.num_rows:
+            continue
+        of, hashes, labels = (batch.column(c).to_numpy() for c in ("group", "hash", "label"))
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), kind).reshape(len(of), n_features)
         new = np.r_[True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])]
         starts = np.flatnonzero(new)
         nth = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
@@ -163,17 +224,66 @@ def blocks_of(batches: Iterator[pa.RecordBatch], groups: dict[int, Group], featu
             if held and (of[a] != last[0] or size + b - a > BLOCK_ROWS):
                 yield block(int(last[0]))
                 size = 0
-            g = groups[int(of[a])]
-            codes = np.stack([np.searchsorted(cuts, batch.column(f).to_numpy()[a:b]) for f, cuts in
-                              zip(features, g.cuts)]).astype(kind)
-            labels = np.rint((batch.column(label).to_numpy()[a:b] - g.low) * g.scale)
             seeds = mixed(hashes[a:b].view(np.uint64) + nth[a:b].astype(np.uint64) * np.uint64(STEP))
-            held.append((codes, labels, seeds))
+            held.append((codes[a:b].T, labels[a:b], seeds))
             size, last, occurrence = size + b - a, (of[b - 1], hashes[b - 1]), int(nth[b - 1])
     if held:
         yield block(int(last[0]))
 
 
+def joint_codes(codes: np.ndarray, bins: int) -> list[tuple[int, np.ndarray, bool]]:
+    """Features two by two as one code, the last one alone if their number is odd: (first feature, codes, two)."""
+    if bins > JOINT_BINS:
+        return []
+    pairs = [(j, codes[j].astype(np.uint16) * np.uint16(bins) + codes[j + 1], True) for j in range(0, len(codes) - 1, 2)]
+    return pairs + [(len(codes) - 1, codes[-1], False)] * (len(codes) % 2)
+
+
+def add_up(found: np.ndarray, node: np.ndarray, at: np.ndarray, codes: np.ndarray,
+           joint: list[tuple[int, np.ndarray, bool]], values: tuple[np.ndarray, ...], bins: int) -> None:
+    """Add ``values`` of the rows ``at`` to the sums per value, feature, place of their node and bin.
+
+    Where rows are many for it, they are added up by the bins of two features and these sums by each of them.
+    """
+    places = found.shape[2]
+    if not joint or len(at) < places * bins * bins:
+        joint = [(j, codes[j], False) for j in range(len(codes))]
+    starts = {two: node * (bins * bins if two else bins) for two in {two for *_, two in joint}}
+    for j, of, two in joint:
+        where = starts[two] + of.take(at, mode="clip")
+        for total, value in zip(found, values):
+            if two:
+                sums = np.bincount(where, value, places * bins * bins).reshape(places, bins, bins)
+                total[j] += sums.sum(2)
+                total[j + 1] += sums.sum(1)
+            else:
+                total[j] += np.bincount(where, value, places * bins).reshape(places, bins)
+
+
+def drawn_rows(codes: np.ndarray, by_row: np.ndarray, weight: np.ndarray, tree: tuple[np.ndarray, ...],
+               level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of positive weight in counted nodes, and the places of these."""
+    *walk, place = tree
+    if level <= COLUMN_STEPS:  # a byte tells where a row is
+        where, at = np.empty(len(weight), np.uint8), np.empty(len(weight), bool)
+        for a in range(0, len(weight), COLUMN_ROWS):
+            b = a + COLUMN_ROWS
+            turns, ends = first_paths(codes[:, a:b], *walk, level)
+            places = np.full(256, 255, np.uint8)
+            places[:len(ends)] = place[ends] % 256
+            where[a:b] = np.frombuffer(turns.tobytes().translate(places.tobytes()), np.uint8)
+            np.logical_and(weight[a:b], where[a:b] != 255, out=at[a:b])
+        at = np.flatnonzero(at)
+        return at, where.take(at, mode="clip").astype(np.int64)
+    at, turns = np.flatnonzero(weight > 0), np.empty(len(weight), np.uint8)
+    for a in range(0, len(weight), COLUMN_ROWS):
+        turns[a:a + COLUMN_ROWS], ends = first_paths(codes[:, a:a + COLUMN_ROWS], *walk, COLUMN_STEPS)
+    node = ends.take(turns.take(at, mode="clip"))
+    node = place.take(stepped_down(by_row, at * len(codes), node, *walk, level - COLUMN_STEPS), mode="clip")
+    here = np.flatnonzero(node >= 0)
+    return at.take(here, mode="clip"), node.take(here, mode="clip")
+
+
 def level_sums(batches: Iterator[pa.RecordBatch], trees: dict[int, dict[int, tuple]], level: int, n_features: int,
                bins: int, kind: str, seed: int) -> Iterator[pa.RecordBatch]:
     """Weights and weighted labels per counted node, feature and bin of each tree, over the rows of a task."""
@@ -189,28 +299,16 @@ def level_sums(batches: Iterator[pa.RecordBatch], trees: dict[int, dict[int, tup
             if row["group"] != group:
                 yield from flushed()
                 group = row["group"]
-            n, codes = row["n"], np.frombuffer(row["codes"], kind)
+            codes = np.frombuffer(row["codes"], kind).reshape(n_features, row["n"])
             labels, seeds = np.frombuffer(row["labels"]), np.frombuffer(row["seeds"], np.uint64)
-            for tree, (feature, cut, children, place) in trees[group].items():
+            joint, by_row = joint_codes(codes, bins), codes.T.ravel()
+            for tree, walk in trees[group].items():
                 weight = weights(seeds, tree, seed)
-                at = np.flatnonzero(weight > 0)
-                node = np.zeros(len(at), np.int64)
-                for _ in range(level):
-                    right = codes.take(feature.take(node) * n + at) > cut.take(node)
-                    node = children.take(2 * node + right)
-                node = place.take(node)
-                here = np.flatnonzero(node >= 0)
-                if len(here) < len(node):
-                    at, node = at.take(here), node.take(here)
-                weight = weight.take(at).astype(np.float64)
-                label, size = labels.take(at) * weight, bins * int(place.max() + 1)
+                at, node = drawn_rows(codes, by_row, weight, walk, level)
+                weight = weight.take(at, mode="clip").astype(np.float64)
                 if tree not in sums:
-                    sums[tree] = np.zeros((2, n_features, size))
-                found, node = sums[tree], node * bins
-                for j in range(n_features):
-                    where = node + codes[j * n:(j + 1) * n].take(at)
-                    found[0, j] += np.bincount(where, weight, size)
-                    found[1, j] += np.bincount(where, label, size)
+                    sums[tree] = np.zeros((2, n_features, walk[-1].max() + 1, bins))
+                add_up(sums[tree], node, at, codes, joint, (weight, labels.take(at, mode="clip") * weight), bins)
     yield from flushed()
 
 
@@ -316,7 +414,7 @@ def _grown(blocks: DataFrame, folder: str, groups: dict[int, Group], n_features:
             wanted = {i: found for i, found in wanted.items() if found}
             if not wanted:
                 continue
-            grown = spark.sparkContext.broadcast({i: {t: tree.walked_by() for t, tree in w.items()} for i, w in wanted.items()})
+            grown = spark.sparkContext.broadcast({i: {t: tree.walked_by(kind) for t, tree in w.items()} for i, w in wanted.items()})
             sources = spark.sparkContext.broadcast({i: {t: np.array(tree.source) for t, tree in w.items()} for i, w in wanted.items()})
             sums = blocks.where(F.col("group").isin(list(wanted))).mapInArrow(
                 lambda batches: level_sums(batches, grown.value, level, n_features, bins, kind, seed),
@@ -338,30 +436,40 @@ def _grown(blocks: DataFrame, folder: str, groups: dict[int, Group], n_features:
     return forests
 
 
+def group_number(group: str, values: dict, of_type: DataType) -> Column:
+    """The number of a row's group; ``values`` has the ``Group`` of each value."""
+    numbers = [x for v, g in values.items() for x in (F.lit(v).cast(of_type), F.lit(g.index))]
+    return F.element_at(F.create_map(*numbers), F.col(group))
+
+
 def grow_forests(matrix: DataFrame, group: str, values: dict, features: list[str], label: str, key: list[str], *,
                  trees: int, depth: int, min_leaf: int, bins: int, seed: int) -> dict:
-    """The nodes of a forest per value of ``group``; ``values`` has the ``Group`` of each, by its number in order."""
+    """The nodes of a forest per value of ``group``; ``values`` has the ``Group`` of each, by its number in order.
+
+    Rows are bytes before they are dealt out; equal ones come to one part, and a part has few groups.
+    """
     spark = matrix.sparkSession
-    of_type, parallel = matrix.schema[group].dataType, spark.sparkContext.defaultParallelism
-    numbers = F.create_map(*[x for v, g in values.items() for x in (F.lit(v).cast(of_type), F.lit(g.index))])
     rows = matrix.select(
-        F.element_at(numbers, F.col(group)).alias("group"), row_hash(key, features, label).alias("hash"),
+        group_number(group, values, matrix.schema[group].dataType).alias("group"), row_hash(key, features, label).alias("hash"),
         *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("y"))
     names, groups = [f"x{i}" for i in range(len(features))], {g.index: g for g in values.values()}
     kind = "u1" if bins <= 256 else "<u4"
     _cuts(rows, groups, names, bins)
-    parts = max(1, min(2 * parallel, sum(g.rows for g in groups.values()) // 10_000))
+    parts, n_parts = parts_of(groups, spark.sparkContext.defaultParallelism)
     folder = f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
-    told = spark.sparkContext.broadcast(groups)
-    rows.repartitionByRange(parts, "group", "hash").sortWithinPartitions("group", "hash").mapInArrow(
-        lambda batches: blocks_of(batches, told.value, names, "y", kind),
-        BLOCKS).write.parquet(f"{folder}/blocks")
+    told, n_features = spark.sparkContext.broadcast(groups), len(features)
+    first, among = (F.element_at(F.create_map(*[F.lit(x) for i, p in parts.items() for x in (i, p[k])]), F.col("group"))
+                    for k in (0, 1))
+    rows.mapInArrow(
+        lambda batches: coded(batches, told.value, names, "y", kind), "group int, hash long, label double, codes binary"
+    ).repartitionById(n_parts, (first + F.pmod("hash", among)).cast("int")).sortWithinPartitions("group", "hash").mapInArrow(
+        lambda batches: blocks_of(batches, n_features, kind), BLOCKS).write.parquet(f"{folder}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     nodes, order = {}, list(values)
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}):  # rows of megabytes
+    with settings(spark, BLOCK_SETTINGS):
         for a in range(0, len(order), GROUPS_AT_ONCE):
             some = {values[v].index: values[v] for v in order[a:a + GROUPS_AT_ONCE]}
-            forests = _grown(blocks, folder, some, len(features), trees, depth, min_leaf, bins, kind, seed)
+            forests = _grown(blocks, folder, some, n_features, trees, depth, min_leaf, bins, kind, seed)
             nodes |= {v: _nodes(forests[values[v].index], values[v]) for v in order[a:a + GROUPS_AT_ONCE]}
     _hadoop_fs(spark, folder).delete(_hadoop_path(spark, folder), True)
     return nodes

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.operators.forest_grow import Group, grow_forests, row_hash
-from moundworks.operators.forest_walk import flattened, walked
+from moundworks.operators.forest_grow import GROUPS_AT_ONCE, Group, group_number, grow_forests, row_hash
+from moundworks.operators.forest_walk import flattened, walked_by_group
 from moundworks.operators.metrics import known, z_score
 from moundworks.operators.scan import contiguous_folds
 from moundworks.storage import cut_lineage
@@ -182,13 +182,14 @@ def residual(df: DataFrame, label: str, base: str, out: str,
 def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], label: str,
                          views: dict[str, list[str]], *, key: list[str] = (), trees: int = 120,
                          depth: int = 8, min_leaf: int = 75, bins: int = 32, seed: int = 42,
-                         parallel: int = 2, node_cache_rows: int = 20_000_000) -> DataFrame | None:
+                         parallel: int = 2, node_cache_rows: int = 20_000_000,
+                         kept: list[str] | None = None) -> DataFrame | None:
     """A random forest per ``group`` value and its predictions on its own rows.
 
     ``views`` maps an output column to the features that keep their values in it; the others are
-    set to their mean over all groups. ``matrix`` should be a stored table partitioned by
-    ``group``: predictions of a group then scan its own files. The forests of all groups grow together,
-    a job per level (``forest_grow``); they depend on the rows and on ``key``, which tells rows with
+    set to their mean over all groups. ``matrix`` should be a stored table, as it is read several times; ``kept``
+    names the columns that stay beside the predictions, all unless it is given. The forests of all groups grow
+    together, a job per level (``forest_grow``); they depend on the rows and on ``key``, which tells rows with
     equal features apart, but not on the order of rows.
     ``bins`` bounds the split candidates of a feature and one; an exact-split forest has one per value.
     ``parallel`` and ``node_cache_rows`` are taken from older callers and have no effect.
@@ -212,12 +213,14 @@ def fit_predict_by_group(matrix: DataFrame, group: str, features: list[str], lab
     nodes = grow_forests(matrix, group, groups, features, label, list(key), trees=trees, depth=depth,
                          min_leaf=min_leaf, bins=bins, seed=seed)
 
-    def predict(value):
-        scored = matrix.where(F.col(group) == value)
-        if scored.rdd.getNumPartitions() < cores:  # predictions do not depend on the layout
-            scored = scored.repartition(cores)
-        flat = flattened(nodes[value], {
-            out: {i for i, f in enumerate(features) if f in kept} for out, kept in views.items()}, list(means))
-        return walked(scored, features, flat)
+    kept_by_view = {out: {i for i, f in enumerate(features) if f in some} for out, some in views.items()}
+    number, order = group_number(group, groups, matrix.schema[group].dataType), list(groups)
+    if matrix.rdd.getNumPartitions() < cores:  # predictions do not depend on the layout
+        matrix = matrix.repartition(cores)
 
-    return reduce(DataFrame.unionByName, map(predict, groups))
+    def predict(some: list) -> DataFrame:
+        forests = {groups[v].index: flattened(nodes[v], kept_by_view, list(means)) for v in some}
+        rows = matrix.where(number.isin(list(forests))) if len(some) < len(groups) else matrix
+        return walked_by_group(rows, number, features, forests, kept or matrix.columns)
+
+    return reduce(DataFrame.unionByName, [predict(order[a:a + GROUPS_AT_ONCE]) for a in range(0, len(order), GROUPS_AT_ONCE)])

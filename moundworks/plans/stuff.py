@@ -14,6 +14,8 @@ from moundworks.operators.metrics import join_lookup, known, plus_score, weighte
 from moundworks.storage import cut_lineage
 
 XWOBA = "estimated_woba_using_speedangle"
+#: What a check of the forests reads of a pitch beside its predictions.
+SCORED = [*S.PITCH_KEY, "game_year", "pitch_type", *S.VELOCITY_FEATURES, "target"]
 
 
 def eligible_pitches(pitches: DataFrame) -> DataFrame:
@@ -112,14 +114,13 @@ def type_scores(scored: DataFrame, predictions: dict[str, str], min_pitches: int
 PREDICTIONS = {"stuff": "stuff_pred", "shape": "shape_pred", "velo": "velo_pred"}
 
 
-def predictions(matrix: DataFrame, **forest) -> DataFrame:
-    """The forests' predictions per pitch with what a check of them reads."""
-    scored = score_pitches(matrix, **forest)
+def predictions(matrix: DataFrame, kept: list[str] = SCORED, **forest) -> DataFrame:
+    """The forests' predictions per pitch with the columns ``kept``, those a check of them reads unless given."""
+    scored = score_pitches(matrix, kept=kept, **forest)
     if scored is None:
         none = F.lit(None).cast("double")
         scored = matrix.withColumns({c: none for c in PREDICTIONS.values()})
-    return scored.select(*S.PITCH_KEY, "game_year", "pitch_type", *S.VELOCITY_FEATURES, "target",
-                         *PREDICTIONS.values())
+    return scored.select(*kept, *PREDICTIONS.values())
 
 
 def stuff_plus(scored: DataFrame, min_pitches: int = 10) -> DataFrame:

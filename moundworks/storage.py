@@ -120,19 +120,15 @@ class Workspace:
         return None
 
     def table(self, name: str, build: Callable[[], DataFrame],
-              partition_by: list[str] | None = None, rebalance: bool = False) -> DataFrame:
-        """The stored result of ``build``.
-
-        ``rebalance`` shuffles by the partition columns first, with AQE splitting the large ones,
-        so that many writing tasks times many partition values do not leave tiny files.
-        """
+              partition_by: list[str] | None = None) -> DataFrame:
+        """The stored result of ``build``."""
         if self.root is None:
             return build()
         path, found = f"{self.root}/{name}", self.stored(name)
         if found is not None:
             return found
         df = build()
-        writer = (df.hint("rebalance", *partition_by) if rebalance else df).write.mode("overwrite")
+        writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         with settings(self.spark, COMPILED_BYTES | OPEN_FILES):
